@@ -1,0 +1 @@
+"""The workload is batch only: nothing is streamed, so nothing is built here."""
