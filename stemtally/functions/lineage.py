@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,17 +18,17 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
-def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
+def cut_lineage(df: DataFrame, name: str = "stage", by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` once and go on from the files, so a lost executor never replays the past.
 
     Parquet rather than ``DataFrame.checkpoint``: later steps read only the
     columns they use, and file sizes give the optimizer real statistics.
     """
     path = f"{checkpoint_root(df.sparkSession).rstrip('/')}/stages/{uuid.uuid4().hex}/{name}"
-    df.write.mode("error").option("compression", "zstd").parquet(path)
+    df.write.mode("error").option("compression", "zstd").partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def keep_lazy(df: DataFrame, name: str = "stage") -> DataFrame:
+def keep_lazy(df: DataFrame, name: str = "stage", by: Sequence[str] = ()) -> DataFrame:
     """Drop-in for :func:`cut_lineage` where the plan is short enough to stay whole."""
     return df

@@ -7,10 +7,12 @@ each node carries the weight ``g`` its estimate has in the entity, and the part
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stemtally.functions.keys import Spine, prefix
+from stemtally.functions.keys import Spine, common_width, prefix
 from stemtally.operators.gls_diagonal import DiagonalPasses
 
 
@@ -33,53 +35,110 @@ def _lift(parts: DataFrame, sums: DataFrame) -> DataFrame:
     # unequal weights on several uninformed siblings leave the variance infinite
     spread = (k > 1) & (F.abs(F.col("free_gg") - F.col("free_g") * F.col("free_g") / k) > 1e-9)
     return j.withColumn("g", g).select(
-        "entity", F.col("parent").alias("geocode"), "cell", "g",
+        "entity", "top", F.col("parent").alias("geocode"), "cell", "g",
         F.when(spread, F.lit(float("inf"))).otherwise(F.col("r") + settled).alias("r"),
     )
 
 
+def cover_tops(cover: DataFrame, spine: Spine) -> DataFrame:
+    """(entity, top): depth of the lowest node that holds the whole cover."""
+    b = cover.groupBy("entity").agg(F.min("geocode").alias("lo"), F.max("geocode").alias("hi"))
+    width = common_width(F.col("lo"), F.col("hi"), spine.widths)
+    return b.select("entity", (F.array_position(F.array(*[F.lit(w) for w in spine.widths]), width) - 1).cast("int").alias("top"))
+
+
 def entity_variance(cover: DataFrame, passes: DiagonalPasses) -> DataFrame:
-    """(entity, cell, variance) of the sum over each cover.
+    """(entity, cell, variance) of the sum over each cover; infinite where the data leave it open.
 
-    ``cover``: (entity, depth, geocode). Infinite where the data leave it open.
+    ``cover``: (entity, depth, geocode). An entity climbs only to the lowest
+    node that holds all of it.
     """
     spine: Spine = passes.spine
-    carried = None
-    for d in range(spine.depth, 0, -1):
-        here = cover.filter(F.col("depth") == d).select("entity", "geocode")
-        lone = d == spine.depth
-        w = spine.widths[d - 1]
-        start = here.join(passes.up[d].select("geocode", "cell", "up_variance"), "geocode").select(
-            "entity", "geocode", "cell", "up_variance", F.lit(1.0).alias("g"), F.lit(0.0).alias("r")
+    cover = cover.join(cover_tops(cover, spine), "entity")
+    carried, done = None, []
+    cols = ["entity", "top", "geocode", "cell", "g", "r"]
+    zero = F.lit(0.0)
+    for d in range(spine.depth, -1, -1):
+        here = cover.filter(F.col("depth") == d).join(passes.up[d].select("geocode", "cell"), "geocode").select(
+            "entity", "top", "geocode", "cell", F.lit(1.0).alias("g"), zero.alias("r")
         )
-        if carried is not None:
-            moved = carried.join(passes.up[d].select("geocode", "cell", "up_variance"), ["geocode", "cell"])
-            start = start.unionByName(moved.select(start.columns))
+        rows = here if carried is None else here.unionByName(carried.select(cols))
+        done.append(
+            rows.filter(F.col("top") == d).join(passes.final[d].select("geocode", "cell", "final_variance"), ["geocode", "cell"])
+        )
+        if d == 0:
+            break
+        keyed = rows.filter(F.col("top") < d).join(passes.up[d].select("geocode", "cell", "up_variance"), ["geocode", "cell"])
+        keyed = keyed.withColumn("parent", prefix("geocode", spine.widths[d - 1]))
         v, g = F.col("up_variance"), F.col("g")
-        keyed = start.withColumn("parent", prefix("geocode", w))
-        if lone:  # an only leaf repeats its parent: treat it as uninformed
+        if d == spine.depth:  # an only leaf repeats its parent: treat it as uninformed
             only = passes.sums[d - 1].filter("num_siblings = 1").select("parent").distinct().withColumn("only", F.lit(True))
             keyed = keyed.join(only, "parent", "left").withColumn("up_variance", F.when(F.col("only").isNull(), v))
-        free = v.isNull()
-        zero = F.lit(0.0)
-        parts = keyed.groupBy("entity", "parent", "cell").agg(
+        parts = keyed.groupBy("entity", "top", "parent", "cell").agg(
             F.coalesce(F.sum(v * g), zero).alias("vg"),
             F.coalesce(F.sum(v * g * g), zero).alias("vgg"),
-            F.coalesce(F.sum(F.when(free, g)), zero).alias("free_g"),
-            F.coalesce(F.sum(F.when(free, g * g)), zero).alias("free_gg"),
+            F.coalesce(F.sum(F.when(v.isNull(), g)), zero).alias("free_g"),
+            F.coalesce(F.sum(F.when(v.isNull(), g * g)), zero).alias("free_gg"),
             F.sum("r").alias("r"),
         )
         carried = passes.cut(_lift(parts, passes.sums[d - 1]), f"entity_{d}")
-    root_cover = cover.filter("depth = 0").join(passes.final[0].select("geocode", "cell"), "geocode").select(
-        "entity", "geocode", "cell", F.lit(1.0).alias("g"), F.lit(0.0).alias("r")
+    v, g, r = F.col("final_variance"), F.col("g"), F.col("r")
+    total = F.when(g == 0, r).otherwise(r + g * g * v)
+    return reduce(DataFrame.unionByName, done).groupBy("entity", "cell").agg(
+        F.first(F.coalesce(total, F.lit(float("inf")))).alias("variance")
     )
-    at_root = carried.select("entity", "geocode", "cell", "g", "r").unionByName(root_cover)
-    return at_root.groupBy("entity", "geocode", "cell").agg(F.sum("g").alias("g"), F.sum("r").alias("r")).join(
-        passes.final[0].select("geocode", "cell", "final_variance"), ["geocode", "cell"]
-    ).select(
-        "entity", "cell",
-        F.coalesce(
-            F.when(F.col("g") == 0, F.col("r")).otherwise(F.col("r") + F.col("g") * F.col("g") * F.col("final_variance")),
-            F.lit(float("inf")),
-        ).alias("variance"),
+
+
+# ---- covariances between single nodes, for reporting and checks ----------------------------
+
+
+def ancestor_covariance(passes: DiagonalPasses, depth: int, top: int) -> DataFrame:
+    """(node, ancestor, cell, covariance) between each node of ``depth`` and its ancestor at depth ``top``."""
+    rows = passes.final[depth].select(F.col("geocode").alias("node"), "cell", F.col("share").alias("chain"))
+    for d in range(depth - 1, top, -1):
+        above = passes.final[d].select(F.col("geocode").alias("p"), "cell", "share")
+        rows = rows.withColumn("p", prefix("node", passes.spine.widths[d])).join(above, ["p", "cell"]).select(
+            "node", "cell", (F.col("chain") * F.col("share")).alias("chain")
+        )
+    a = passes.final[top].select(F.col("geocode").alias("ancestor"), "cell", "final_variance")
+    return rows.withColumn("ancestor", prefix("node", passes.spine.widths[top])).join(a, ["ancestor", "cell"]).select(
+        "node", "ancestor", "cell", (F.col("chain") * F.col("final_variance")).alias("covariance")
     )
+
+
+def _between_siblings(rows: DataFrame, passes: DiagonalPasses, depth: int) -> DataFrame:
+    """Rows (x, y, cell ...) of sibling nodes at ``depth`` -> the same with ``cov``."""
+    f, w = passes.final[depth], passes.spine.widths[depth - 1]
+    one = f.select(F.col("geocode").alias("x"), "cell", F.col("share").alias("sx"))
+    two = f.select(F.col("geocode").alias("y"), "cell", F.col("share").alias("sy"))
+    vy = passes.up[depth].select(F.col("geocode").alias("y"), "cell", "up_variance")
+    top = passes.final[depth - 1].select(F.col("geocode").alias("p"), "cell", F.col("final_variance").alias("pv"))
+    out = rows.join(one, ["x", "cell"]).join(two, ["y", "cell"]).join(vy, ["y", "cell"]).withColumn("p", prefix("x", w)).join(top, ["p", "cell"])
+    return out.withColumn("cov", F.col("sx") * F.col("sy") * F.col("pv") - F.col("sx") * F.col("up_variance")).drop(
+        "sx", "sy", "up_variance", "pv", "p"
+    )
+
+
+def sibling_covariance(passes: DiagonalPasses, depth: int) -> DataFrame:
+    """(a, b, cell, covariance) for a < b under one parent. A report of quadratic size by nature: meant for upper levels."""
+    w = passes.spine.widths[depth - 1]
+    n = passes.final[depth].select("geocode", "cell", prefix("geocode", w).alias("p"))
+    pairs = n.withColumnRenamed("geocode", "x").join(n.withColumnRenamed("geocode", "y"), ["p", "cell"]).filter("x < y")
+    return _between_siblings(pairs.select("x", "y", "cell"), passes, depth).select(
+        F.col("x").alias("a"), F.col("y").alias("b"), "cell", F.col("cov").alias("covariance")
+    )
+
+
+def cousin_covariance(passes: DiagonalPasses, pairs: DataFrame, depth: int, meet: int) -> DataFrame:
+    """(a, b, cell, covariance) for given pairs at ``depth`` whose ancestors at ``meet`` are different siblings."""
+    w = passes.spine.widths
+    rows = pairs.select("a", "b").join(passes.final[depth].select(F.col("geocode").alias("a"), "cell"), "a").withColumn("chain", F.lit(1.0))
+    for d in range(depth, meet, -1):
+        f = passes.final[d]
+        for side in ("a", "b"):
+            step = f.select(F.col("geocode").alias("q"), "cell", "share")
+            rows = rows.withColumn("q", prefix(side, w[d])).join(step, ["q", "cell"]).withColumn(
+                "chain", F.col("chain") * F.col("share")
+            ).drop("q", "share")
+    rows = rows.withColumn("x", prefix("a", w[meet])).withColumn("y", prefix("b", w[meet]))
+    return _between_siblings(rows, passes, meet).select("a", "b", "cell", (F.col("chain") * F.col("cov")).alias("covariance"))

@@ -39,9 +39,9 @@ def _some(x) -> bool:
 
 
 def own_signatures(measurements: DataFrame, masked: DataFrame | None, share: bool = True) -> DataFrame:
-    """(geocode, own_sig) from the measured queries, their variances and the masked cells."""
+    """(depth, geocode, own_sig) from the measured queries, their variances and the masked cells."""
     tag = F.concat_ws(":", "query_name", F.col("variance").cast("string"))
-    head = measurements.groupBy("geocode").agg(
+    head = measurements.groupBy("depth", "geocode").agg(
         F.array_join(F.array_sort(F.collect_set(tag)), ";").alias("q"),
         F.coalesce(F.bool_or((F.col("query_name") == "detailed") & (F.col("variance") == INF)), F.lit(False)).alias("off"),
     )
@@ -52,7 +52,7 @@ def own_signatures(measurements: DataFrame, masked: DataFrame | None, share: boo
         head = head.join(m, "geocode", "left")
     parts = [F.col("q"), F.coalesce("m", F.lit(""))] + ([] if share else [F.col("geocode")])
     sig = F.when(F.col("off"), F.lit(NO_OWN)).otherwise(F.sha2(F.concat_ws("|", *parts), 256))
-    return head.select("geocode", sig.alias("own_sig"))
+    return head.select("depth", "geocode", sig.alias("own_sig"))
 
 
 def own_rhs(measurements: DataFrame, design: DataFrame, n: int) -> DataFrame:
@@ -116,9 +116,9 @@ def _multiset(counts: DataFrame) -> DataFrame:
 
 
 class DensePasses:
-    """Both passes. ``own[k]`` = (nodes(geocode, own_sig, rhs), precision(own_sig, p)) of level k."""
+    """Both passes over ``nodes`` (depth, geocode, own_sig, rhs) and ``precision`` (own_sig, p)."""
 
-    def __init__(self, spine: Spine, n: int, own: Sequence[tuple[DataFrame, DataFrame]], cut: Cut = cut_lineage):
+    def __init__(self, spine: Spine, n: int, nodes: DataFrame, precision: DataFrame, cut: Cut = cut_lineage):
         self.spine, self.n, self.cut = spine, n, cut
         d = spine.depth
         self.nodes: list = [None] * (d + 1)  # geocode, sig, up (vector given the subtree)
@@ -127,9 +127,10 @@ class DensePasses:
         self.down: list = [None] * (d + 1)  # geocode, dsig, estimate
         self.down_mats: list = [None] * (d + 1)  # dsig, sig, ct
         self.pairs: list = [None] * (d + 1)  # dsig, parent_dsig, sig, parent_sig
-        self._build_leaves(*own[d])
+        own = [nodes.filter(F.col("depth") == k).drop("depth") for k in range(d + 1)]
+        self._build_leaves(own[d], precision)
         for k in range(d - 1, -1, -1):
-            self._build_level(k, *own[k])
+            self._build_level(k, own[k], precision)
 
     # -- upwards --
 
@@ -344,37 +345,34 @@ class DensePasses:
 
 
 def dense_own(
-    measurements: DataFrame, design: DataFrame, n: int, masked: DataFrame | None = None, share: bool = True, cut: Cut = cut_lineage
+    measurements: DataFrame, design: DataFrame, n: int, masked: DataFrame | None = None, share: bool = True
 ) -> tuple[DataFrame, DataFrame]:
-    """Inputs of :class:`DensePasses` for one level.
+    """Inputs of :class:`DensePasses`, all levels at once.
 
-    ``measurements``: (geocode, query_name, value, variance) with one row per
-    query; ``design`` as in :func:`own_rhs`; ``masked``: (geocode, cell).
+    ``measurements``: (depth, geocode, query_name, value, variance) with one
+    row per query; ``design`` as in :func:`own_rhs`; ``masked``: (geocode, cell).
     """
     sigs = own_signatures(measurements, masked, share)
-    nodes = cut(sigs.join(own_rhs(measurements, design, n), "geocode", "left"), "own")
-    return nodes, cut(own_precision(nodes, measurements, design, masked, n), "precision")
+    nodes = cut_lineage(sigs.join(own_rhs(measurements, design, n), "geocode", "left"), "own", by=["depth"])
+    return nodes, cut_lineage(own_precision(nodes, measurements, design, masked, n), "precision")
 
 
-def own_covariance(nodes: DataFrame, precision: DataFrame) -> DataFrame:
-    """(geocode, estimate, covariance) of each unit alone; NULL covariance when bypassed."""
+def own_estimates(nodes: DataFrame, precision: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """Each unit alone: (depth, geocode, own_sig, estimate) and (own_sig, c); bypassed units are zero without c."""
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             c = [pack(spd_inverse(unpack(p))) for p in pdf["p"]]
             yield pd.DataFrame({"own_sig": pdf["own_sig"], "c": pd.Series(c, dtype=object)})
 
-    mats = precision.mapInPandas(solve, "own_sig string, c array<double>")
+    mats = cut_lineage(precision.mapInPandas(solve, "own_sig string, c array<double>"), "own_mats")
 
     def run(rows: pd.DataFrame, m: dict) -> pd.DataFrame:
-        n = len(rows["rhs"].iloc[0]) if _some(rows["rhs"].iloc[0]) else 0
         est = stack(rows["rhs"]) @ unpack(m["c"]) if _some(m.get("c")) else np.zeros((len(rows), n))
-        c = m.get("c") if _some(m.get("c")) else None
-        return pd.DataFrame({
-            "geocode": rows["geocode"], "estimate": list(est), "covariance": pd.Series([c] * len(rows), index=rows.index, dtype=object)
-        })
-
-    return apply_by_signature(
-        nodes.select("geocode", "own_sig", "rhs"), mats, "own_sig", run,
-        "geocode string, estimate array<double>, covariance array<double>", row_bytes=1 << 16,
+        return rows[["depth", "geocode", "own_sig"]].assign(estimate=list(est))
+
+    units = apply_by_signature(
+        nodes.select("depth", "geocode", "own_sig", "rhs"), mats, "own_sig", run,
+        "depth int, geocode string, own_sig string, estimate array<double>", row_bytes=24 * n,
     )
+    return units, mats

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from stemtally.functions.lineage import keep_lazy
+from stemtally.functions.lineage import cut_lineage
 from stemtally.operators import entities, gls_diagonal as gd
 from stemtally.operators.gls_dense import DensePasses, dense_own
 from trees import DESIGN, brute_force, node_selector, only_children, random_tree
@@ -27,13 +27,8 @@ def dense_passes(spark, spine, table, share=True):
         [(q, i, j, c, 1.0) for q, m in DESIGN.items() for i, r in enumerate(m) for j, c in enumerate(r) if c],
         "query_name string, row_ix int, cell int, coef double, mult double",
     )
-    own = []
-    for d in range(spine.depth + 1):
-        m = spark.createDataFrame(
-            [r[1:] for r in table if r[0] == d], "geocode string, query_name string, value array<double>, variance double"
-        )
-        own.append(dense_own(m, design, 2, share=share))
-    return DensePasses(spine, 2, own).run_down(leaf_matrices=True)
+    m = spark.createDataFrame(table, "depth int, geocode string, query_name string, value array<double>, variance double")
+    return DensePasses(spine, 2, *dense_own(m, design, 2, share=share)).run_down(leaf_matrices=True)
 
 
 @pytest.mark.parametrize("seed,shared", [(1, False), (2, True)])
@@ -63,7 +58,7 @@ def diagonal_passes(spark, spine, levels, table):
             "geocode string, cell int, value double, variance double",
         )
         own.append(gd.own_estimate(cells))
-    return gd.DiagonalPasses(spine, own, cut=keep_lazy).run_down()
+    return gd.DiagonalPasses(spine, own, cut=cut_lineage).run_down()
 
 
 @pytest.mark.parametrize("seed,bypass", [(3, 0.0), (4, 0.25), (5, 0.45)])
