@@ -165,10 +165,11 @@ class DiagonalPasses:
             self.sums[k] = cut(child_sums(self.up[k + 1], spine.widths[k], leaf_level=k + 1 == d), f"sums_{k}")
             self.up[k] = cut(bottom_up(own[k], self.sums[k]), f"up_{k}")
 
-    def run_down(self) -> "DiagonalPasses":
+    def run_down(self, cut: Cut = keep_lazy) -> "DiagonalPasses":
+        """Top-down pass. The inputs are already cut, so results stay lazy unless asked otherwise."""
         self.final[0] = root_start(self.up[0])
         for k in range(1, self.spine.depth + 1):
-            self.final[k] = self.cut(
+            self.final[k] = cut(
                 top_down(self.up[k], self.sums[k - 1], self.final[k - 1], self.spine.widths[k - 1]), f"final_{k}"
             )
         return self

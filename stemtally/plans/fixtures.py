@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stemtally.functions.keys import Spine, prefix
+from stemtally.functions.lineage import cut_lineage
 from stemtally.operators import gls_diagonal as gd
 from stemtally.operators.covers import coarsest_cover
 
@@ -62,15 +63,22 @@ class Tables:
 
     def true_counts(self, depth: int) -> DataFrame:
         """(geocode, cell, n, key) with every cell present."""
-        leaf = self.leaf.select("geocode", "key", F.explode(F.sequence(F.lit(0), F.lit(CELLS - 1))).alias("cell")).join(
-            self.order_cells, ["key", "cell"], "left"
-        ).select("geocode", "key", "cell", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
         if depth == 3:
-            return leaf
-        up = leaf.groupBy(prefix("geocode", SPINE.widths[depth]).alias("geocode"), "cell").agg(F.sum("n").alias("n"))
+            return self._leaf_counts
+        below = self.true_counts(depth + 1)
+        up = below.groupBy(prefix("geocode", SPINE.widths[depth]).alias("geocode"), "cell").agg(F.sum("n").alias("n"))
         key = {0: F.lit(0), 1: F.col("geocode"), 2: F.substring("geocode", 2, 2)}[depth].cast("bigint")
         return up.withColumn("key", key)
 
+    @cached_property
+    def _leaf_counts(self) -> DataFrame:
+        every = self.leaf.select("geocode", "key", F.explode(F.sequence(F.lit(0), F.lit(CELLS - 1))).alias("cell"))
+        return cut_lineage(
+            every.join(self.order_cells, ["key", "cell"], "left").select(
+                "geocode", "key", "cell", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")
+            ), "leaf_counts",
+        )
+
     def measured(self, depth: int) -> DataFrame:
         """(geocode, cell, value, variance), variance infinite where bypassed."""
         noise = (F.col("key") * 31 + F.col("cell") * 17) % 13 - 6
@@ -93,8 +101,6 @@ class Tables:
         return gd.own_estimate(self.measured(depth))
 
     def passes(self, cut=None) -> gd.DiagonalPasses:
-        from stemtally.functions.lineage import cut_lineage
-
         return gd.DiagonalPasses(SPINE, [self.own(d) for d in range(4)], cut=cut or cut_lineage)
 
     @cached_property

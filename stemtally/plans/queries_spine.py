@@ -40,7 +40,7 @@ def _(t):
     )
 
 
-@query("measurement_rows_resolved", sql("""SELECT substr(geocode, 1, 3) AS geocode, c_mktsegment AS query_name, min(c_acctbal) AS value FROM leaf JOIN customer ON c_custkey = key GROUP BY 1, 2"""))
+@query("measurement_rows_resolved", sql("""SELECT substr(geocode, 1, 3) AS geocode, leaf.c_mktsegment AS query_name, min(c_acctbal) AS value FROM leaf JOIN customer ON c_custkey = key GROUP BY 1, 2"""))
 def _(t):
     rows = t.leaf.join(t.read("customer").select(F.col("c_custkey").alias("key"), "c_acctbal"), "key").select(
         F.substring("geocode", 1, 3).alias("geocode"), F.concat("c_mktsegment", F.lit("_dpq")).alias("query_name"),
@@ -87,7 +87,7 @@ def _(t):
 
 
 @query("path_closure", sql("""SELECT entity, node AS geocode, bool_or(node = geocode) AS in_cover FROM (
-  SELECT c.entity, c.geocode, unnest(list_filter([0, 1, 3, 13], w -> w <= length(c.geocode))) AS w, substr(c.geocode, 1, w) AS node FROM cover c) GROUP BY 1, 2"""))
+  SELECT c.entity, c.geocode, unnest(list_filter([0, 1, 3, 13], lambda w: w <= length(c.geocode))) AS w, substr(c.geocode, 1, w) AS node FROM cover c) GROUP BY 1, 2"""))
 def _(t):
     return covers.path_closure(t.segment_cover, SPINE)
 
