@@ -186,7 +186,7 @@ def answer(cells: DataFrame, query: LinearQuery, keys: Sequence[str] = (), value
 
 def zero_fill(answers: DataFrame, nodes: DataFrame, num_rows: int, key: str, value: str = "n") -> DataFrame:
     """Every (node, row) of the domain, 0 where nothing was counted."""
-    domain = nodes.select(key, F.explode(F.sequence(F.lit(0), F.lit(num_rows - 1))).cast("bigint").alias("row_ix"))
+    domain = nodes.select(key, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(num_rows - 1).cast("bigint"))).alias("row_ix"))
     return domain.join(answers, [key, "row_ix"], "left").select(
         key, "row_ix", F.coalesce(F.col(value), F.lit(0)).alias(value)
     )

@@ -135,7 +135,7 @@ def _(t):
 @query("stub", sql("SELECT nation, CAST(r AS BIGINT) AS row_ix, count(*)::DOUBLE AS n FROM micro CROSS JOIN range(3) x(r) WHERE s = r GROUP BY 1, 2", _ROWS))
 def _(t):
     zero = tab.stub_query(t.spark, "stub", 3)
-    every = cells(t).select("nation").distinct().withColumn("row_ix", F.explode(F.sequence(F.lit(0), F.lit(2))).cast("bigint")).join(zero, "row_ix").select("nation", "row_ix", "n")
+    every = cells(t).select("nation").distinct().withColumn("row_ix", F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(3)]))).join(zero, "row_ix").select("nation", "row_ix", "n")
     a = tab.answer(cells(t), tab.tabular_query("status", SHAPE, {}, [1]), ["nation"])
     return tab.multi_histogram([a, every], [1.0, 1.0], ["nation"])
 
@@ -266,12 +266,17 @@ def _(t):
 _REL8 = "CASE rel WHEN 0 THEN 'Householder living alone' WHEN 1 THEN 'Householder not living alone' END"
 
 
-@query("workload_drop_rules", sql(f"""SELECT tbl, level, count(*) AS n FROM (SELECT 'PCT9' || t.x AS tbl, {_REL8} || ' BY ' || sex || ' BY 65 years and over' ||
-    CASE t.x WHEN '' THEN '' WHEN 'A' THEN ' BY White alone' WHEN 'G' THEN ' BY Two or more races' ELSE ' BY Hispanic or Latino' END AS level
-  FROM dhcp JOIN (VALUES (''), ('A'), ('G'), ('H')) t(x) ON t.x = '' OR (t.x = 'A' AND race = 0) OR (t.x = 'G' AND race >= 6) OR (t.x = 'H' AND hisp = 1) WHERE age >= 65 AND rel < 2) GROUP BY 1, 2""", _DHCP))
+_OF_GROUP = """(VALUES ('', ''), ('A', ' BY White alone'), ('B', ' BY Black or African American alone'), ('C', ' BY American Indian and Alaska Native alone'), ('D', ' BY Asian alone'),
+  ('E', ' BY Native Hawaiian and Pacific Islander alone'), ('F', ' BY Some Other Race alone'), ('G', ' BY Two or more races'), ('H', ' BY Hispanic or Latino'), ('I', ' BY Not Hispanic or Latino BY White alone')) t(x, label)
+  ON CASE t.x WHEN '' THEN true WHEN 'G' THEN race >= 6 WHEN 'H' THEN hisp = 1 WHEN 'I' THEN race = 0 AND hisp = 0 ELSE race = ascii(t.x) - 65 END"""
+
+
+@query("workload_drop_rules", sql(f"""SELECT tbl, level, count(*) AS n FROM (SELECT 'PCT9' || t.x AS tbl, {_REL8} || ' BY ' || sex || ' BY 65 years and over' || t.label AS level
+  FROM dhcp JOIN {_OF_GROUP} WHERE age >= 65 AND rel < 2) GROUP BY 1, 2""", _DHCP))
 def _(t):
-    rows = wl.published_rows(t.spark, "person").filter(F.col("QUERY").startswith("65andover * relgq8cats * sex") & F.col("TABLE").isin("PCT9", "PCT9A", "PCT9G", "PCT9H"))
-    names = [q for k, qs in wl.tb.workload("person").items() if k in ("PCT9", "PCT9A", "PCT9G", "PCT9H") for q in qs if q.startswith("65andover * relgq8cats * sex")]
+    start = "65andover * relgq8cats * sex"
+    rows = wl.published_rows(t.spark, "person").filter(F.col("QUERY").startswith(start))
+    names = [q for qs in wl.tb.workload("person").values() for q in qs if q.startswith(start)]
     got = wl.answer_workload(dhcp_cells(t), rows, DHCP, names)
     return got.select(F.col("TABLE").alias("tbl"), F.col("LEVEL").alias("level"), "n")
 
@@ -355,11 +360,13 @@ def _(t):
 # ---- coarsenings ----------------------------------------------------------------------------
 
 
-@query("common_coarsening", sql("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey // 40 AS g, o_orderkey // 400 AS m FROM orders WHERE o_totalprice > 490000), r(m, x) AS (
+@query("common_coarsening", sql("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey * 1000 + (year(o_orderdate) % 50) * 12 + month(o_orderdate) AS g, o_orderkey // 2 AS m FROM orders), r(m, x) AS (
   SELECT m, m FROM e UNION SELECT b.m, r.x FROM r JOIN e a ON a.m = r.m JOIN e b ON b.g = a.g WHERE r.x < b.m) SELECT m AS member, min(x) AS component FROM r GROUP BY 1"""))
 def _(t):
-    groups = t.read("orders").filter("o_totalprice > 490000").select(
-        F.floor(F.col("o_custkey") / 40).cast("bigint").alias("grp"), F.floor(F.col("o_orderkey") / 400).cast("bigint").alias("member")
+    # orders of one customer in one month belong together, and so do neighbouring order numbers
+    d = F.col("o_orderdate")
+    groups = t.read("orders").select(
+        (F.col("o_custkey") * 1000 + F.year(d) % 50 * 12 + F.month(d)).alias("grp"), F.floor(F.col("o_orderkey") / 2).cast("bigint").alias("member")
     )
     return mg.merge_overlapping(groups)
 
@@ -369,14 +376,12 @@ def _(t):
   LEFT JOIN (SELECT i.coarse_row, count(*) AS got, count(DISTINCT f.cell) AS covered FROM ins i JOIN fi f ON f.row_ix = i.fine_row GROUP BY 1) g ON g.coarse_row = c.coarse_row
   LEFT JOIN ins i ON i.coarse_row = c.coarse_row""",
     ("fi", "SELECT DISTINCT CAST(o_custkey // 5 AS BIGINT) AS row_ix, o_custkey AS cell FROM orders"),
-    ("co", "SELECT DISTINCT CAST(c_nationkey AS BIGINT) * 1000 + c_custkey // 10 AS row_ix, c_custkey AS cell FROM customer WHERE c_custkey // 10 % 2 = 0 OR c_nationkey < 5"),
+    ("co", "SELECT c_custkey // 10 AS row_ix, c_custkey AS cell FROM customer"),
     ("ins", "SELECT x.coarse_row, x.fine_row FROM (SELECT co.row_ix AS coarse_row, fi.row_ix AS fine_row, count(*) AS shared FROM fi JOIN co ON co.cell = fi.cell GROUP BY 1, 2) x JOIN (SELECT row_ix, count(*) AS size FROM fi GROUP BY 1) s ON s.row_ix = x.fine_row WHERE x.shared = s.size")))
 def _(t):
+    # groups of five buying customers against groups of ten customers: exact where all ten bought
     fine = t.read("orders").select(F.floor(F.col("o_custkey") / 5).cast("bigint").alias("row_ix"), F.col("o_custkey").alias("cell")).distinct()
-    tens = F.floor(F.col("c_custkey") / 10).cast("bigint")
-    coarse = t.read("customer").filter((tens % 2 == 0) | (F.col("c_nationkey") < 5)).select(
-        (F.col("c_nationkey").cast("bigint") * 1000 + tens).alias("row_ix"), F.col("c_custkey").alias("cell")
-    )
+    coarse = t.read("customer").select(F.floor(F.col("c_custkey") / 10).cast("bigint").alias("row_ix"), F.col("c_custkey").alias("cell"))
     return mg.refinement(fine, coarse)
 
 
