@@ -107,14 +107,17 @@ def nway_names(spark: SparkSession, schema: sc.Schema, ways: list[int], include:
     """
     bases = [(p, d, p) for p, d in enumerate(schema.dims) if d not in ignore]
     bases += [(len(schema.dims) + i, r, d) for i, (r, (d, _)) in enumerate(schema.recodes.items()) if r not in ignore]
-    b = spark.createDataFrame(bases, "pos int, base string, dim int")
-    level = spark.createDataFrame([(-1, [], [])], "last int, parts array<string>, dims array<int>")
+    listed = F.array(*[F.struct(F.lit(p).alias("pos"), F.lit(b).alias("base"), F.lit(d).alias("dim")) for p, b, d in bases])
+    level = spark.range(1).select(
+        listed.alias("bases"), F.lit(-1).alias("last"), F.array().cast("array<string>").alias("parts"), F.array().cast("array<int>").alias("dims")
+    )
     out = []
     for w in range(max(ways) + 1):
         if w in ways:
             out.append(level.select("parts", F.lit(w).alias("ways")))
-        level = level.join(b, (F.col("pos") > F.col("last")) & ~F.array_contains("dims", F.col("dim"))).select(
-            F.col("pos").alias("last"), F.array_append("parts", F.col("base")).alias("parts"), F.array_append("dims", F.col("dim")).alias("dims")
+        later = F.filter("bases", lambda b: (b["pos"] > F.col("last")) & ~F.array_contains("dims", b["dim"]))
+        level = level.select("bases", "parts", "dims", F.inline(later)).select(
+            "bases", F.col("pos").alias("last"), F.array_append("parts", F.col("base")).alias("parts"), F.array_append("dims", F.col("dim")).alias("dims")
         )
     crosses = reduce(DataFrame.unionByName, out)
     for i in include:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stemtally.functions.lineage import cut_lineage
-from stemtally.operators.tabulate import Factor, LinearQuery, levels_of, ravel
+from stemtally.operators.tabulate import Factor, LinearQuery, int_array, levels_of, ravel
 
 
 def common_groups(first: Sequence[Sequence[int]], second: Sequence[Sequence[int]]) -> list[list[int]]:
@@ -62,7 +62,7 @@ def coarse_row(row_ix: Column, fine: LinearQuery, coarse: LinearQuery) -> Column
         elif m == list(range(f.rows)):
             levels.append(r)
         else:
-            levels.append(F.get(F.array(*[F.lit(x).cast("int") for x in m]), r))
+            levels.append(F.get(int_array(m), r))
     return ravel(levels, coarse.row_shape)
 
 

@@ -126,6 +126,11 @@ def kron_query(name: str, matrices: Sequence[Sequence[Sequence[float]]]) -> Line
 # ---- expressions --------------------------------------------------------------------------
 
 
+def int_array(values: Iterable[int | None]) -> Column:
+    """Literal look-up array, written as text: one plan node to build instead of one per level."""
+    return F.expr("array(" + ", ".join("cast(null as int)" if v is None else str(int(v)) for v in values) + ")")
+
+
 def level_of(index: Column, shape: Sequence[int], d: int) -> Column:
     """Level of attribute ``d`` in a row-major index."""
     return ((index / F.lit(prod(shape[d + 1 :]))).cast("bigint") % shape[d]).cast("int")
@@ -158,7 +163,7 @@ def _with_rows(df: DataFrame, query: LinearQuery, cell: str) -> DataFrame:
             by_level[i].append((r, c))
         plain = all(c == 1.0 for *_, c in f.entries)
         if not f.overlaps:
-            look = F.array(*[F.lit(b[0][0] if b else None).cast("int") for b in by_level])
+            look = int_array(b[0][0] if b else None for b in by_level)
             df = df.withColumn(f"_r{d}", F.get(look, lv)).filter(F.col(f"_r{d}").isNotNull())
             rows.append(F.col(f"_r{d}"))
             if not plain:

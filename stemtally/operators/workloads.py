@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from stemtally.catalog import tables as tb
 from stemtally.catalog.attributes import RACES, race_combinations
 from stemtally.catalog.schemas import BY, Schema, UnknownQuery, schema
-from stemtally.operators.tabulate import LinearQuery, _with_rows, answer
+from stemtally.operators.tabulate import LinearQuery, _with_rows, answer, int_array, level_of, ravel
 
 # fixed values: source names of the attributes, and what is subtracted from a code to get a level
 PL94_SOURCE = (("hhgq", "hhgq", 0), ("voting_age", "votingage", 1), ("hispanic", "hispanic", 1), ("cenrace", "cenrace", 1))
@@ -168,8 +168,6 @@ def answer_many(cells: DataFrame, queries: Sequence[LinearQuery], keys: Sequence
 
 
 def _row_or_null(q: LinearQuery) -> Column:
-    from stemtally.operators.tabulate import level_of, ravel
-
     rows = []
     for d, f in enumerate(q.factors):
         if f.rows == 1 and len(f.entries) == f.size:
@@ -180,7 +178,7 @@ def _row_or_null(q: LinearQuery) -> Column:
             rows.append(lv)
             continue
         of = {i: r for r, i, _ in f.entries}
-        rows.append(F.get(F.array(*[F.lit(of.get(i)).cast("int") for i in range(f.size)]), lv))
+        rows.append(F.get(int_array(of.get(i) for i in range(f.size)), lv))
     return ravel(rows, q.row_shape)
 
 
