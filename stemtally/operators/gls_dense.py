@@ -150,7 +150,6 @@ class DensePasses:
             F.count(F.lit(1)).alias("cnt")
         )
         if leaf:  # an only leaf repeats its parent and adds nothing
-            counts = self.cut(counts, f"counts_{k}")
             lone = counts.groupBy("parent").agg(F.sum("cnt").alias("t")).filter("t = 1").select("parent", F.lit(True).alias("lone"))
             counts = counts.join(lone, "parent", "left").withColumn(
                 "child_sig", F.when(F.col("lone"), F.lit(NO_OWN)).otherwise(F.col("child_sig"))
@@ -165,11 +164,12 @@ class DensePasses:
             self.mats[k + 1].select(F.col("sig").alias("child_sig"), "c"), "child_sig", "left"
         )
         totals = child.groupBy("sig").agg(
-            F.coalesce(F.sum(F.when(F.col("c").isNull(), F.col("cnt"))), F.lit(0)).alias("free"), F.count(F.lit(1)).alias("rows")
+            F.coalesce(F.sum(F.when(F.col("c").isNull(), F.col("cnt"))), F.lit(0)).alias("free")
         )
-        weighted = child.filter("c is not null").select("sig", F.transform("c", lambda x: x * F.col("cnt")).alias("f"))
-        hottest = totals.agg(F.max("rows")).first()[0] or 1
-        f = sum_arrays(weighted, ["sig"], ["f"], salts=min(256, -(-hottest // 64)))
+        weighted = child.filter("c is not null").select("sig", "child_sig", F.transform("c", lambda x: x * F.col("cnt")).alias("f"))
+        salts = min(256, -(-(own.agg(F.max("kinds")).first()[0] or 1) // 64))
+        salt = F.pmod(F.xxhash64("child_sig"), F.lit(salts)) if salts > 1 else None
+        f = sum_arrays(weighted, ["sig"], ["f"], salt)
         solved = reps.select("sig", "own_sig", "num_siblings", "kinds").join(precision, "own_sig", "left").join(
             totals.select("sig", "free"), "sig", "left"
         ).join(f, "sig", "left").select(

@@ -50,6 +50,14 @@ def own_estimate(cells: DataFrame, masked: DataFrame | None = None) -> DataFrame
     )
 
 
+def single_estimate(cells: DataFrame) -> DataFrame:
+    """:func:`own_estimate` where every cell has exactly one row: a projection, no shuffle."""
+    v = _finite(F.col("variance"))
+    return cells.select(
+        "geocode", "cell", F.when(v.isNull(), F.lit(0.0)).otherwise(F.col("value")).alias("estimate"), v.alias("variance")
+    )
+
+
 def leaf_start(leaf: DataFrame) -> DataFrame:
     """Leaves know only themselves: up = own."""
     return leaf.select("geocode", "cell", F.col("estimate").alias("up_estimate"), F.col("variance").alias("up_variance"))
@@ -152,7 +160,11 @@ def leaf_top_down(up: DataFrame, sums: DataFrame, parent_final: DataFrame, paren
 
 
 class DiagonalPasses:
-    """Both passes, level by level; every level's tables stay reachable by depth."""
+    """Both passes, level by level; every level's tables stay reachable by depth.
+
+    ``own`` should rest on stored measurements: the leaf level is read several
+    times rather than copied.
+    """
 
     def __init__(self, spine: Spine, own: Sequence[DataFrame], cut: Cut = keep_lazy):
         self.spine, self.cut = spine, cut
@@ -160,7 +172,7 @@ class DiagonalPasses:
         self.up: list[DataFrame] = [None] * (d + 1)
         self.sums: list[DataFrame] = [None] * (d + 1)  # sums[k]: over the children of depth k
         self.final: list[DataFrame] = [None] * (d + 1)
-        self.up[d] = cut(leaf_start(own[d]), f"up_{d}")
+        self.up[d] = leaf_start(own[d])
         for k in range(d - 1, -1, -1):
             self.sums[k] = cut(child_sums(self.up[k + 1], spine.widths[k], leaf_level=k + 1 == d), f"sums_{k}")
             self.up[k] = cut(bottom_up(own[k], self.sums[k]), f"up_{k}")

@@ -98,7 +98,7 @@ class Tables:
         return F.lit(False)
 
     def own(self, depth: int) -> DataFrame:
-        return gd.own_estimate(self.measured(depth))
+        return gd.single_estimate(self.measured(depth))
 
     def passes(self, cut=None) -> gd.DiagonalPasses:
         return gd.DiagonalPasses(SPINE, [self.own(d) for d in range(4)], cut=cut or cut_lineage)

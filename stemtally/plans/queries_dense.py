@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stemtally.functions import matrices as mx
+from stemtally.functions.lineage import cut_lineage
 from stemtally.operators import entities_dense as ed, fuse, gls_dense as gd, marginalize as mg, tabulate as tab
 from stemtally.plans.fixtures import CELLS, SHAPE, SPINE, VARIANCE, Tables, sql
 from stemtally.plans.queries_estimates import _QC, r, rs
@@ -21,7 +22,7 @@ def measurements(t: Tables) -> DataFrame:
     out = None
     for d in range(4):
         out = t.arrays(d) if out is None else out.unionByName(t.arrays(d))
-    return out
+    return cut_lineage(out, "measurements", by=["depth"])
 
 
 def dense_inputs(t: Tables, marginal=DETAILED, share: bool = True):

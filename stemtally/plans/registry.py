@@ -32,4 +32,4 @@ def query(name: str, oracle: str | None = None):
 
 
 def load_all() -> None:
-    from stemtally.plans import queries_dense, queries_estimates, queries_schema, queries_spine, queries_tabulation  # noqa: F401
+    from stemtally.plans import queries_dense, queries_estimates, queries_schema, queries_spine, queries_storage, queries_tabulation  # noqa: F401
