@@ -54,7 +54,7 @@ def entity_variance(cover: DataFrame, passes: DiagonalPasses) -> DataFrame:
     node that holds all of it.
     """
     spine: Spine = passes.spine
-    cover = cover.join(cover_tops(cover, spine), "entity")
+    cover = passes.cut(cover.join(cover_tops(cover, spine), "entity").select("entity", "depth", "geocode", "top"), "cover")
     carried, done = None, []
     cols = ["entity", "top", "geocode", "cell", "g", "r"]
     zero = F.lit(0.0)
@@ -119,14 +119,12 @@ def _between_siblings(rows: DataFrame, passes: DiagonalPasses, depth: int) -> Da
     )
 
 
-def sibling_covariance(passes: DiagonalPasses, depth: int) -> DataFrame:
-    """(a, b, cell, covariance) for a < b under one parent. A report of quadratic size by nature: meant for upper levels."""
-    w = passes.spine.widths[depth - 1]
-    n = passes.final[depth].select("geocode", "cell", prefix("geocode", w).alias("p"))
-    pairs = n.withColumnRenamed("geocode", "x").join(n.withColumnRenamed("geocode", "y"), ["p", "cell"]).filter("x < y")
-    return _between_siblings(pairs.select("x", "y", "cell"), passes, depth).select(
-        F.col("x").alias("a"), F.col("y").alias("b"), "cell", F.col("cov").alias("covariance")
+def sibling_covariance(passes: DiagonalPasses, pairs: DataFrame, depth: int) -> DataFrame:
+    """(a, b, cell, covariance) for given pairs (a, b) of different nodes under one parent."""
+    rows = pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).join(
+        passes.final[depth].select(F.col("geocode").alias("x"), "cell"), "x"
     )
+    return _between_siblings(rows, passes, depth).select(F.col("x").alias("a"), F.col("y").alias("b"), "cell", F.col("cov").alias("covariance"))
 
 
 def cousin_covariance(passes: DiagonalPasses, pairs: DataFrame, depth: int, meet: int) -> DataFrame:

@@ -83,12 +83,19 @@ def _(t):
     )
 
 
+def _number(t: Tables, step: int):
+    """Pairs (a, b) of nations whose numbers differ by ``step``."""
+    n = t.level(2).select("geocode", F.substring("geocode", 2, 2).cast("int").alias("k"))
+    return n.withColumnRenamed("geocode", "a").join(n.select(F.col("geocode").alias("b"), (F.col("k") - step).alias("k")), "k")
+
+
 @query("sibling_covariance", sql("""SELECT a.geocode AS a, b.geocode AS b, a.cell, round(a.share * b.share * p.v - a.share * u.v, 6) + 0.0 AS covariance
-  FROM fin2 a JOIN fin2 b ON substr(a.geocode, 1, 1) = substr(b.geocode, 1, 1) AND a.cell = b.cell AND a.geocode < b.geocode
+  FROM fin2 a JOIN fin2 b ON substr(a.geocode, 1, 1) = substr(b.geocode, 1, 1) AND a.cell = b.cell AND substr(a.geocode, 2, 2)::INT + 5 = substr(b.geocode, 2, 2)::INT
   JOIN fin1 p ON p.geocode = substr(a.geocode, 1, 1) AND p.cell = a.cell JOIN up2 u ON u.geocode = b.geocode AND u.cell = b.cell"""))
 def _(t):
-    p = t.passes().run_down()
-    return entities.sibling_covariance(p, 2).select("a", "b", "cell", r("covariance"))
+    """Each nation with the next one of its region: five regions take turns in the numbering."""
+    pairs = _number(t, 5).filter(F.left("a", F.lit(1)) == F.left("b", F.lit(1)))
+    return entities.sibling_covariance(t.passes().run_down(), pairs, 2).select("a", "b", "cell", r("covariance"))
 
 
 @query("ancestor_covariance", sql("""SELECT c.geocode AS node, a.geocode AS ancestor, c.cell, round(c.share * n.share * a.v, 6) + 0.0 AS covariance FROM fin3 c
@@ -102,9 +109,7 @@ def _(t):
   JOIN fin1 x ON x.geocode = substr(a.geocode, 1, 1) AND x.cell = a.cell JOIN fin1 y ON y.geocode = substr(b.geocode, 1, 1) AND y.cell = a.cell
   JOIN fin0 p ON p.cell = a.cell JOIN up1 u ON u.geocode = y.geocode AND u.cell = a.cell"""))
 def _(t):
-    n = t.level(2).select("geocode", F.substring("geocode", 2, 2).cast("int").alias("k"))
-    nxt = n.select(F.col("geocode").alias("b"), (F.col("k") - 1).alias("k"))
-    pairs = n.withColumnRenamed("geocode", "a").join(nxt, "k").filter(F.left("a", F.lit(1)) < F.left("b", F.lit(1)))
+    pairs = _number(t, 1).filter(F.left("a", F.lit(1)) < F.left("b", F.lit(1)))
     return entities.cousin_covariance(t.passes().run_down(), pairs, 2, 1).select("a", "b", "cell", r("covariance"))
 
 

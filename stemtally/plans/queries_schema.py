@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from stemtally.catalog import attributes as at, frames as fr, schemas as sc, tables as tb
 from stemtally.operators import tabulate as tab
+from stemtally.operators.spine import surrogate_rank
 from stemtally.plans.fixtures import Tables, sql
 from stemtally.plans.queries_tabulation import _DHCP, _PERSON, _ROWS, cells, dhcp_cells, person_cells
 from stemtally.plans.registry import query
@@ -90,15 +91,15 @@ def _(t):
 
 @query("level_order", sql("SELECT label, row_number() OVER (ORDER BY first) - 1 AS level_ix FROM (SELECT c_mktsegment AS label, min(c_custkey) AS first FROM customer GROUP BY 1)"))
 def _(t):
-    first = t.read("customer").groupBy(F.col("c_mktsegment").alias("label")).agg(F.min("c_custkey").alias("first"))
-    ahead = first.select(F.col("first").alias("other"))
-    return first.join(ahead, F.col("other") < F.col("first"), "left").groupBy("label").agg(F.count("other").alias("level_ix"))
+    """Levels in the order of their first index."""
+    first = t.read("customer").groupBy(F.col("c_mktsegment").alias("label")).agg(F.min("c_custkey").alias("first")).withColumn("geocode", F.lpad(F.col("first").cast("string"), 19, "0"))
+    return first.join(surrogate_rank(first), "geocode").select("label", F.col("rank").alias("level_ix"))
 
 
 @query("group_labels", sql("SELECT p_brand AS recode, CAST(p_size AS INTEGER) AS group_ix, string_agg(DISTINCT p_type, '.' ORDER BY p_type) AS group_label FROM part GROUP BY 1, 2"))
 def _(t):
     types = t.read("part").select("p_type").distinct()
-    ranked = types.join(types.select(F.col("p_type").alias("o")), F.col("o") < F.col("p_type"), "left").groupBy("p_type").agg(F.count("o").cast("int").alias("level_ix"))
+    ranked = surrogate_rank(types.withColumnRenamed("p_type", "geocode")).select(F.col("geocode").alias("p_type"), F.col("rank").cast("int").alias("level_ix"))
     groups = t.read("part").select(F.col("p_brand").alias("recode"), F.col("p_size").alias("group_ix"), "p_type").distinct().join(ranked, "p_type").select("recode", "group_ix", "level_ix")
     return fr.group_labels(groups, ranked.select("level_ix", F.col("p_type").alias("label")))
 

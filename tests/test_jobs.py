@@ -63,7 +63,8 @@ def test_whole_job(spark, tmp_path):
     for i, g in enumerate("abc"):
         for c in range(6):
             assert got[g, c] == pytest.approx(mean[i * 6 + c], abs=1e-6)
-    assert abs(got["", 0]) < 0.05 and sum(got["", c] for c in range(6)) == pytest.approx(999, abs=0.05)
+    # soft constraints pull, they do not bind: here the measurements disagree with the total by hundreds
+    assert abs(got["", 0]) < 0.1 and sum(got["", c] for c in range(6)) == pytest.approx(999, abs=0.1)
     # intervals for two entities, one of two leaves; then fused with an independent second run
     cover = spark.createDataFrame([("x", 1, "a"), ("x", 1, "b"), ("y", 1, "c")], "entity string, depth int, geocode string")
     ask = np.vstack([np.ones(6), [1, 0, 0, 1, 0, 0]])

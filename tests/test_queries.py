@@ -12,7 +12,7 @@ from compare import TABLES, compare  # noqa: E402
 from stemtally.plans import registry  # noqa: E402
 
 registry.load_all()
-SLOW = ("2cell", "gls_", "dense", "entity_cov", "two_pass", "publish", "state_round", "cousin", "ancestor_cov", "leaf_top", "coverage", "children", "sibling", "read_levels", "ci_entities", "child_sums", "bottom_up")
+SLOW = ("2cell", "gls_", "dense", "entity_cov", "two_pass", "publish", "state_round", "cousin", "ancestor_cov", "leaf_top", "coverage", "children", "sibling", "read_levels", "ci_entities", "child_sums", "bottom_up", "top_down", "entity_", "fuse_", "intervals_round")
 
 
 @pytest.fixture(scope="module")
