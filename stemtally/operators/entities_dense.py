@@ -41,6 +41,7 @@ def entity_covariance(cover: DataFrame, passes: DensePasses, q: np.ndarray) -> D
         raise ValueError("queries and histogram differ in size")
     weights = q.T.ravel()  # row-major n x m
     cover = cut(cover.join(cover_tops(cover, spine), "entity").select("entity", "depth", "geocode", "top"), "cover")
+    size = cover.count()  # no level ever carries more rows than the cover has
     carried, done = None, None
 
     def add(rows: DataFrame) -> None:
@@ -117,7 +118,7 @@ def entity_covariance(cover: DataFrame, passes: DensePasses, q: np.ndarray) -> D
             ends = ends.unionByName(carried.filter(F.col("top") == d).select("entity", "geocode", "g", "r"))
         at_end = ends.join(passes.down[d].select("geocode", "dsig"), "geocode")
         add(apply_by_signature(at_end, passes.down_matrices(d).select("dsig", "ct"), "dsig", close,
-                               "entity string, covariance array<double>", row_bytes=8 * (n * m + m * m), spread="entity"))
+                               "entity string, covariance array<double>", row_bytes=8 * (n * m + m * m), spread="entity", at_most=size))
         if d == 0:
             break
         w = spine.widths[d - 1]
@@ -140,7 +141,7 @@ def entity_covariance(cover: DataFrame, passes: DensePasses, q: np.ndarray) -> D
             moved = apply_by_signature(
                 up, passes.mats[d].select("sig", "c"), "sig", carried_terms,
                 "entity string, top int, parent string, h array<double>, r array<double>, fg array<double>, fgg array<double>",
-                row_bytes=8 * (2 * n * m + m * m), spread="entity",
+                row_bytes=8 * (2 * n * m + m * m), spread="entity", at_most=size,
             )
             rows = rows.unionByName(moved.withColumn("units", F.lit(0).cast("bigint")))
         rows = cut(rows, f"terms_{d}")
@@ -151,7 +152,7 @@ def entity_covariance(cover: DataFrame, passes: DensePasses, q: np.ndarray) -> D
         carried = cut(
             apply_by_signature(ready, passes.mats[d - 1].select("sig", "j", "f", "free"), "sig", lift,
                                "entity string, top int, geocode string, g array<double>, r array<double>",
-                               row_bytes=8 * (3 * n * m + m * m), spread="entity"),
+                               row_bytes=8 * (3 * n * m + m * m), spread="entity", at_most=size),
             f"lifted_{d}",
         )
 

@@ -127,6 +127,7 @@ class DensePasses:
         self.down: list = [None] * (d + 1)  # geocode, dsig, estimate
         self.down_mats: list = [None] * (d + 1)  # dsig, sig, ct
         self.pairs: list = [None] * (d + 1)  # dsig, parent_dsig, sig, parent_sig
+        self.counts = {r["depth"]: r["count"] for r in nodes.groupBy("depth").count().collect()}  # one row per level
         own = [nodes.filter(F.col("depth") == k).drop("depth") for k in range(d + 1)]
         self._build_leaves(own[d], precision)
         for k in range(d - 1, -1, -1):
@@ -224,7 +225,7 @@ class DensePasses:
 
         out = apply_by_signature(
             nodes.select("geocode", "sig", "rhs", "known"), self.mats[k].select("sig", "c", "j"), "sig", run,
-            "geocode string, sig string, up array<double>", row_bytes=24 * n,
+            "geocode string, sig string, up array<double>", row_bytes=24 * n, at_most=self.counts.get(k, 0),
         )
         self.nodes[k] = self.cut(out, f"up_{k}")
 
@@ -280,7 +281,7 @@ class DensePasses:
 
         general = apply_by_signature(
             kids.filter("scale is null").select("geocode", "sig", "dsig", "base", "residual"), gains, "dsig", run,
-            "geocode string, sig string, dsig string, estimate array<double>", row_bytes=24 * n,
+            "geocode string, sig string, dsig string, estimate array<double>", row_bytes=24 * n, at_most=self.counts.get(k, 0),
         )
         self.down[k] = self.cut(plain.unionByName(general), f"final_{k}")
 
