@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -10,11 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; a local one only where it is unset (tests)."""
+    """This application's part of the folder that ``spark.checkpoint.dir`` names.
+
+    Every executor must see it, so there is no default: a session without the
+    setting raises. The part is removed when the application ends.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = tempfile.mkdtemp(prefix="stemtally-")
-        spark.sparkContext.setCheckpointDir(root)
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share; written stages go there")
+    root = f"{root.rstrip('/')}/stages/{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(path)
     return root
 
 
@@ -24,9 +29,20 @@ def cut_lineage(df: DataFrame, name: str = "stage", by: Sequence[str] = ()) -> D
     Parquet rather than ``DataFrame.checkpoint``: later steps read only the
     columns they use, and file sizes give the optimizer real statistics.
     """
-    path = f"{checkpoint_root(df.sparkSession).rstrip('/')}/stages/{uuid.uuid4().hex}/{name}"
+    path = f"{checkpoint_root(df.sparkSession)}/{uuid.uuid4().hex}/{name}"
     df.write.mode("error").option("compression", "zstd").partitionBy(*by).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stage_path = path
+    return out
+
+
+def release(*stages: DataFrame) -> None:
+    """Delete tables written by :func:`cut_lineage` that no later plan reads; other frames are left alone."""
+    for df in stages:
+        if path := getattr(df, "_stage_path", None):
+            spark = df.sparkSession
+            p = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+            p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
 def keep_lazy(df: DataFrame, name: str = "stage", by: Sequence[str] = ()) -> DataFrame:

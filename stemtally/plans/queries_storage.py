@@ -16,7 +16,7 @@ from stemtally.sources import measurements as src, results as res
 
 
 def scratch(t: Tables, name: str) -> str:
-    return f"{checkpoint_root(t.spark).rstrip('/')}/stages/{uuid.uuid4().hex}/{name}"
+    return f"{checkpoint_root(t.spark)}/{uuid.uuid4().hex}/{name}"
 
 
 def store(t: Tables) -> str:
