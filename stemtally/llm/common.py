@@ -32,6 +32,11 @@ def words(c: Column) -> Column:
     return F.array_remove(F.split(c, SPACE), "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once per row, however often the body's lambdas read it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def n_words(c: Column) -> Column:
     return F.coalesce(F.regexp_count(c, F.lit(WORD)), F.lit(0)).cast("long")
 

@@ -16,6 +16,55 @@ def query(fn):
     return fn
 
 
+URL_RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+
+
+@query
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page address under the five rules, and under those of its aliases."""
+    from stemtally.llm.url_filter import judge
+
+    out = judge(table(spark, sf_dir, "pages").select("page_id", "url", "html"), URL_RULES)
+    return out.select("page_id", "judged.host", "judged.path", "judged.rule", "judged.verdict")
+
+
+# The rules alone: no given page has a canonical link or a refresh, so there are no aliases; those are tested by brute force.
+ORACLES["op3_url_filter"] = r"""
+WITH p AS (SELECT page_id,
+        translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 2, 's'), '') AS path FROM pages),
+r(verdict, h, p) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+m AS (SELECT page_id, arg_max(r.h || r.p, length(r.h || r.p)) AS rule, arg_max(r.verdict, length(r.h || r.p)) AS verdict
+      FROM p JOIN r ON (p.host = r.h OR ends_with(p.host, '.' || r.h)) AND starts_with(p.path, r.p) GROUP BY page_id)
+SELECT p.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN m USING (page_id)
+"""
+
+
+@query
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate class of every document."""
+    from stemtally.llm.simhash import near_classes
+
+    out = near_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base rules and the log-likelihood verdict of every document; labelled good documents are the target."""
+    from stemtally.llm.quality import quality
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = quality(docs, table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id"))
+    return out.select("doc_id", "rules.*", "kept", "llr")
+
+
 @query
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, mixed by weights 5, 2, 1."""
