@@ -30,7 +30,13 @@ def cut_lineage(df: DataFrame, name: str = "stage", by: Sequence[str] = ()) -> D
     columns they use, and file sizes give the optimizer real statistics.
     """
     path = f"{checkpoint_root(df.sparkSession)}/{uuid.uuid4().hex}/{name}"
-    df.write.mode("error").option("compression", "zstd").partitionBy(*by).parquet(path)
+    conf, clean = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(clean)
+    conf.set(clean, "true")  # once the table is written nothing reads its shuffle files
+    try:
+        df.write.mode("error").option("compression", "zstd").partitionBy(*by).parquet(path)
+    finally:
+        conf.set(clean, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stage_path = path
     return out
