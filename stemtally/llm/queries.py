@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemtally.llm.common import Registered, table
+from stemtally.llm.common import Registered, fold, table
 
 QUERIES: Registered = {}
 ORACLES: dict[str, str] = {}
@@ -46,6 +46,15 @@ SELECT p.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p
 """
 
 
+@query
+def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 50-word windows that an earlier document has."""
+    from stemtally.llm.substring import remove_repeats
+
+    out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "dedup.n_words", "dedup.n_removed", F.sha2("dedup.kept", 256).alias("kept_sha256"))
+
+
 @query
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate class of every document."""
@@ -65,6 +74,17 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "rules.*", "kept", "llr")
 
 
+@query
+def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probability of every document under a model of those of the other folds."""
+    from stemtally.llm import katz
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = katz.fit(docs.filter(fold("doc_id") != 1))
+    out = katz.score(docs, model)
+    return out.select("doc_id", (fold("doc_id") == 1).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
+
+
 @query
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, mixed by weights 5, 2, 1."""
