@@ -34,9 +34,9 @@ from pyspark.sql import functions as F
 from stemtally.functions.lineage import cut_lineage
 from stemtally.llm.common import whole
 
-BLOCK = 2_000_000  # tokens packed at a time, unless one text has more
+BLOCK = 600_000  # tokens packed at a time, unless one text has more
 RANGE_BYTES = 16_000_000  # text per hash range
-VOCABULARY = 400_000  # word hashes remembered at a time; more are hashed again
+VOCABULARY = 200_000  # word hashes remembered at a time; more are hashed again
 HEAD = 1 << 16
 RELIABLE = 5  # counts above are not discounted
 
