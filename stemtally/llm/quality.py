@@ -18,7 +18,7 @@ from stemtally.llm.common import let, small, whole, words
 BUCKETS = 10_000
 SYMBOLS = "#*$%&|<>"  # fixed by the rule
 WINDOW = 5
-THRESHOLD = -0.2
+THRESHOLD = -0.05
 
 
 def _repeated(w: Column) -> Column:
