@@ -14,6 +14,7 @@ from stemtally.operators.gls_diagonal import SOFT_VARIANCE
 TOTAL_CONSTRAINTS = ("total_con", "pl94_con")
 PLAIN_COLUMNS = ("geocode", "query_name", "sign", "query_shape", "value", "variance", "plb", "State", "County")
 HOUSEHOLD_ZERO = "hhgq_total_ub_con"
+LEAF_KEY = 16  # fixed value: characters that name a leaf in every tree
 HOUSEHOLD_QUERY = "hhinstlevels"
 
 
@@ -39,10 +40,11 @@ def interpret(constraints: DataFrame, total_invariant: bool = False) -> DataFram
     nothing and vanish; an equality with a non-zero side is an error.
     """
     name = constraint_name(attribute_columns(constraints))
-    is_total = F.col("query_name").isin(*TOTAL_CONSTRAINTS)
+    is_total = F.coalesce(F.col("query_name").isin(*TOTAL_CONSTRAINTS), F.lit(False))
     variance = F.lit(SOFT_VARIANCE)
-    rest = constraints.filter(~is_total & (F.col("sign") != ">="))
-    rows = rest.select("geocode", "sign", name.alias("query_name"), F.posexplode("value").alias("row_ix", "bound"))
+    sign = F.coalesce("sign", F.lit("="))  # anything but a bound is an equality
+    rest = constraints.filter(~is_total & (sign != ">="))
+    rows = rest.select("geocode", sign.alias("sign"), name.alias("query_name"), F.posexplode("value").alias("row_ix", "bound"))
     bad = F.assert_true(
         (F.col("sign") == "<=") | (F.col("bound") == 0), F.lit("only equalities to zero can be imposed")
     )
@@ -111,17 +113,20 @@ def roll_up_zeros(leaf_flags: DataFrame, spine: Spine) -> DataFrame:
     return out
 
 
-def household_zeros(leaf_constraints: DataFrame, spine: Spine) -> DataFrame:
-    """Zero households at a leaf (bound 0), rolled up; rows like :func:`interpret` for levels above the leaves."""
+def household_zeros(leaf_constraints: DataFrame, spine: Spine, own_leaves: DataFrame | None = None) -> DataFrame:
+    """Zero households at a leaf (bound 0), rolled up; rows like :func:`interpret` for levels above the leaves.
+
+    ``own_leaves`` (geocode): leaves of ``spine`` where the constraints come
+    from a run over another tree. Both name a leaf by its last LEAF_KEY
+    characters; leaves that this tree does not have vanish.
+    """
     flags = leaf_constraints.filter(F.col("query_name") == HOUSEHOLD_ZERO).select(
         "geocode", (F.get("value", F.lit(0)) == 0).alias("is_zero")
     )
+    if own_leaves is not None:
+        theirs = flags.select(F.right("geocode", F.lit(LEAF_KEY)).alias("_leaf"), "is_zero")
+        flags = own_leaves.select("geocode", F.right("geocode", F.lit(LEAF_KEY)).alias("_leaf")).join(theirs, "_leaf").drop("_leaf")
     return roll_up_zeros(flags, spine).filter((F.col("depth") < spine.depth) & F.col("is_zero")).select(
         "depth", "geocode", F.lit(HOUSEHOLD_QUERY).alias("query_name"), F.lit("zero").alias("kind"), F.lit(0).alias("row_ix"),
         F.lit(0.0).alias("value"), F.lit(SOFT_VARIANCE).alias("variance"),
     )
-
-
-def above_leaves(rows: DataFrame, spine: Spine) -> DataFrame:
-    """Constraints are not imposed on leaves."""
-    return rows.filter(F.length("geocode") < spine.leaf_width)

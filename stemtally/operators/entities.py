@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from stemtally.functions.keys import Spine, common_width, prefix
 from stemtally.operators.gls_diagonal import DiagonalPasses
 
+SPREAD = 1e-15  # rounding of a sum of k equal terms stays below this times k; weights that differ stay above
+
 
 def entity_estimate(cover: DataFrame, final: DataFrame) -> DataFrame:
     """(entity, cell, estimate): sum of the cover's final estimates."""
@@ -33,7 +35,7 @@ def _lift(parts: DataFrame, sums: DataFrame) -> DataFrame:
         F.col("vgg") - 2 * F.col("g") * F.col("vg") + F.col("g") * F.col("g") * F.col("known_variance")
     )
     # unequal weights on several uninformed siblings leave the variance infinite
-    spread = (k > 1) & (F.abs(F.col("free_gg") - F.col("free_g") * F.col("free_g") / k) > 1e-9)
+    spread = (k > 1) & (F.abs(F.col("free_gg") - F.col("free_g") * F.col("free_g") / k) > SPREAD * k * F.col("free_gg"))
     return j.withColumn("g", g).select(
         "entity", "top", F.col("parent").alias("geocode"), "cell", "g",
         F.when(spread, F.lit(float("inf"))).otherwise(F.col("r") + settled).alias("r"),

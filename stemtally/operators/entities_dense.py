@@ -18,10 +18,9 @@ from pyspark.sql import functions as F
 from stemtally.functions.grouped import apply_by_signature, sum_arrays, sum_vectors
 from stemtally.functions.keys import prefix
 from stemtally.functions.matrices import pack, unpack
-from stemtally.operators.entities import cover_tops
+from stemtally.operators.entities import SPREAD, cover_tops
 from stemtally.operators.gls_dense import NO_OWN, DensePasses, _some
 
-OPEN_SPREAD = 1e-9  # weights of undetermined siblings count as equal below this
 
 
 def _lone_parents(p: DensePasses) -> DataFrame:
@@ -41,7 +40,6 @@ def entity_covariance(cover: DataFrame, passes: DensePasses, q: np.ndarray) -> D
         raise ValueError("queries and histogram differ in size")
     weights = q.T.ravel()  # row-major n x m
     cover = cut(cover.join(cover_tops(cover, spine), "entity").select("entity", "depth", "geocode", "top"), "cover")
-    size = cover.count()  # no level ever carries more rows than the cover has
     carried, done = None, None
 
     def add(rows: DataFrame) -> None:
@@ -90,7 +88,7 @@ def entity_covariance(cover: DataFrame, passes: DensePasses, q: np.ndarray) -> D
                 known = unpack(mat["f"]) if _some(mat.get("f")) else np.zeros((n, n))
                 r = r - g.T @ h - h.T @ g + g.T @ known @ g
                 if k > 1:
-                    spread = squares - k * (g * g).sum(axis=0) > OPEN_SPREAD
+                    spread = squares - k * (g * g).sum(axis=0) > SPREAD * k * squares
                     r[np.diag(spread)] = np.inf
             gs.append(g.ravel()), rs.append(r.ravel())
         out = rows[["entity", "top", "geocode"]].copy()
@@ -118,7 +116,7 @@ def entity_covariance(cover: DataFrame, passes: DensePasses, q: np.ndarray) -> D
             ends = ends.unionByName(carried.filter(F.col("top") == d).select("entity", "geocode", "g", "r"))
         at_end = ends.join(passes.down[d].select("geocode", "dsig"), "geocode")
         add(apply_by_signature(at_end, passes.down_matrices(d).select("dsig", "ct"), "dsig", close,
-                               "entity string, covariance array<double>", row_bytes=8 * (n * m + m * m), spread="entity", at_most=size))
+                               "entity string, covariance array<double>", row_bytes=8 * (n * m + m * m), spread="entity"))
         if d == 0:
             break
         w = spine.widths[d - 1]
@@ -141,7 +139,7 @@ def entity_covariance(cover: DataFrame, passes: DensePasses, q: np.ndarray) -> D
             moved = apply_by_signature(
                 up, passes.mats[d].select("sig", "c"), "sig", carried_terms,
                 "entity string, top int, parent string, h array<double>, r array<double>, fg array<double>, fgg array<double>",
-                row_bytes=8 * (2 * n * m + m * m), spread="entity", at_most=size,
+                row_bytes=8 * (2 * n * m + m * m), spread="entity",
             )
             rows = rows.unionByName(moved.withColumn("units", F.lit(0).cast("bigint")))
         rows = cut(rows, f"terms_{d}")
@@ -152,7 +150,7 @@ def entity_covariance(cover: DataFrame, passes: DensePasses, q: np.ndarray) -> D
         carried = cut(
             apply_by_signature(ready, passes.mats[d - 1].select("sig", "j", "f", "free"), "sig", lift,
                                "entity string, top int, geocode string, g array<double>, r array<double>",
-                               row_bytes=8 * (3 * n * m + m * m), spread="entity", at_most=size),
+                               row_bytes=8 * (3 * n * m + m * m), spread="entity"),
             f"lifted_{d}",
         )
 

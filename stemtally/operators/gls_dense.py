@@ -127,7 +127,6 @@ class DensePasses:
         self.down: list = [None] * (d + 1)  # geocode, dsig, estimate
         self.down_mats: list = [None] * (d + 1)  # dsig, sig, ct
         self.pairs: list = [None] * (d + 1)  # dsig, parent_dsig, sig, parent_sig
-        self.counts = {r["depth"]: r["count"] for r in nodes.groupBy("depth").count().collect()}  # one row per level
         own = [nodes.filter(F.col("depth") == k).drop("depth") for k in range(d + 1)]
         self._build_leaves(own[d], precision)
         for k in range(d - 1, -1, -1):
@@ -161,15 +160,14 @@ class DensePasses:
         own = self.cut(own.select("geocode", "own_sig", "rhs", "num_siblings", "kinds", sig.alias("sig")), f"own_{k}")
         # what is known of the children, per distinct signature, from one representative parent
         reps = own.groupBy("sig").agg(F.min(F.struct("geocode", "own_sig", "num_siblings", "kinds")).alias("r")).select("sig", "r.*")
-        child = reps.select("sig", F.col("geocode").alias("parent")).join(counts, "parent").join(
+        child = reps.select("sig", "kinds", F.col("geocode").alias("parent")).join(counts, "parent").join(
             self.mats[k + 1].select(F.col("sig").alias("child_sig"), "c"), "child_sig", "left"
         )
         totals = child.groupBy("sig").agg(
             F.coalesce(F.sum(F.when(F.col("c").isNull(), F.col("cnt"))), F.lit(0)).alias("free")
         )
-        weighted = child.filter("c is not null").select("sig", "child_sig", F.transform("c", lambda x: x * F.col("cnt")).alias("f"))
-        salts = min(256, -(-(own.agg(F.max("kinds")).first()[0] or 1) // 64))
-        salt = F.pmod(F.xxhash64("child_sig"), F.lit(salts)) if salts > 1 else None
+        weighted = child.filter("c is not null").select("sig", "kinds", "child_sig", F.transform("c", lambda x: x * F.col("cnt")).alias("f"))
+        salt = F.pmod(F.xxhash64("child_sig"), F.ceil(F.coalesce("kinds", F.lit(1)) / 64))  # 64 kinds of children per task
         f = sum_arrays(weighted, ["sig"], ["f"], salt)
         solved = reps.select("sig", "own_sig", "num_siblings", "kinds").join(precision, "own_sig", "left").join(
             totals.select("sig", "free"), "sig", "left"
@@ -225,7 +223,7 @@ class DensePasses:
 
         out = apply_by_signature(
             nodes.select("geocode", "sig", "rhs", "known"), self.mats[k].select("sig", "c", "j"), "sig", run,
-            "geocode string, sig string, up array<double>", row_bytes=24 * n, at_most=self.counts.get(k, 0),
+            "geocode string, sig string, up array<double>", row_bytes=24 * n,
         )
         self.nodes[k] = self.cut(out, f"up_{k}")
 
@@ -281,7 +279,7 @@ class DensePasses:
 
         general = apply_by_signature(
             kids.filter("scale is null").select("geocode", "sig", "dsig", "base", "residual"), gains, "dsig", run,
-            "geocode string, sig string, dsig string, estimate array<double>", row_bytes=24 * n, at_most=self.counts.get(k, 0),
+            "geocode string, sig string, dsig string, estimate array<double>", row_bytes=24 * n,
         )
         self.down[k] = self.cut(plain.unionByName(general), f"final_{k}")
 
@@ -354,7 +352,8 @@ def dense_own(
     row per query; ``design`` as in :func:`own_rhs`; ``masked``: (geocode, cell).
     """
     sigs = own_signatures(measurements, masked, share)
-    nodes = cut_lineage(sigs.join(own_rhs(measurements, design, n), "geocode", "left"), "own", by=["depth"])
+    rhs = F.when(F.col("own_sig") != NO_OWN, F.col("rhs"))  # a bypassed unit says nothing, whatever else it measured
+    nodes = cut_lineage(sigs.join(own_rhs(measurements, design, n), "geocode", "left").withColumn("rhs", rhs), "own", by=["depth"])
     return nodes, cut_lineage(own_precision(nodes, measurements, design, masked, n), "precision")
 
 

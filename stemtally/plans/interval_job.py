@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -10,26 +11,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stemtally.catalog.schemas import schema
+from stemtally.functions.lineage import cut_lineage
 from stemtally.functions.matrices import pack, unpack
 from stemtally.operators import covers, fuse, intervals, marginalize as mg
 from stemtally.operators.entities_dense import covariance_intervals, entity_covariance
 from stemtally.operators.gls_dense import DensePasses
 from stemtally.sources import results as res
 
-QUERY_BYTES = 256 << 20  # largest query matrix handed to the tasks
+QUERY_BYTES = 64 << 20  # query matrix handed to the tasks at a time
 
 
 def query_matrix(rows: DataFrame, names: Sequence[str], n: int) -> np.ndarray:
-    """Dense rows from (query, cell, coef); its size is known beforehand and checked."""
-    if len(names) * n * 8 > QUERY_BYTES:
-        raise ValueError("the query matrix is too large: answer the workload in parts")
+    """Dense rows from (query, cell, coef)."""
     at = {q: i for i, q in enumerate(names)}
     out = np.zeros((len(names), n))
-    for r in rows.groupBy("query", "cell").agg(F.sum("coef").alias("coef")).toLocalIterator():
+    for r in rows.filter(F.col("query").isin(*names)).groupBy("query", "cell").agg(F.sum("coef").alias("coef")).toLocalIterator():
         out[at[r["query"]], r["cell"]] = r["coef"]
     return out
 
 
+def query_blocks(rows: DataFrame, names: Sequence[str], n: int) -> Iterator[tuple[list[str], np.ndarray]]:
+    """Names and matrix of one block of queries after the other; standard deviations of different queries do not need each other."""
+    step = max(1, QUERY_BYTES // (8 * n))
+    for k in range(0, len(names), step):
+        block = list(names[k : k + step])
+        yield block, query_matrix(rows, block, n)
+
+
 def projection_matrix(schema_name: str, mapping: str, marginal: str) -> np.ndarray:
     """0/1 matrix from the cells of a marginal to the rows of the common coarsening with ``mapping``."""
     s = schema(schema_name)
@@ -78,15 +86,17 @@ def estimate_intervals(
     extra = [second, second_covers, first_map, second_map]
     if any(x is None for x in extra) and any(x is not None for x in extra):
         raise ValueError("give all arguments of the second run or none")
-    done = {}
+    done, step = {}, max(1, QUERY_BYTES // (8 * queries.shape[1]))
+    blocks = [slice(k, k + step) for k in range(0, len(names), step)]
     for level, cover in covers_of.items():
         if second is None:
-            e = entity_covariance(cover, passes, queries)
+            parts = [covariance_intervals(entity_covariance(cover, passes, queries[b]), list(names[b])) for b in blocks]
         else:
             own = entity_covariance(cover, passes, np.eye(passes.n))
             other = entity_covariance(second_covers[level], second, second_map)
-            e = ask(fuse.fuse_matrices(own, other, first_map), queries)
-        rows = intervals.with_moe(covariance_intervals(e, list(names)), alphas).withColumnRenamed("entity", "geocode")
+            fused = cut_lineage(fuse.fuse_matrices(own, other, first_map), "fused")
+            parts = [covariance_intervals(ask(fused, queries[b]), list(names[b])) for b in blocks]
+        rows = intervals.with_moe(reduce(DataFrame.unionByName, parts), alphas).withColumnRenamed("entity", "geocode")
         done[level] = res.write_intervals(rows, f"{out.rstrip('/')}/intervals/{level}")
     return done
 

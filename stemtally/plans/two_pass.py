@@ -12,6 +12,7 @@ from stemtally.functions.keys import Spine
 from stemtally.functions.lineage import cut_lineage
 from stemtally.operators import constraints as ct, marginalize as mg
 from stemtally.operators.gls_dense import DensePasses, dense_own
+from stemtally.operators.spine import level_inventory
 from stemtally.operators.tabulate import query_cell
 from stemtally.sources import measurements as src, results as res
 
@@ -44,7 +45,8 @@ def prepare(
             totals = x if totals is None else totals.unionByName(x)
     if household_root is not None:
         leaf = src.read_constraints(spark, household_root, spine.names[-1])
-        extra = ct.household_zeros(leaf, spine).drop("depth")
+        own = level_inventory(src.read_constraints(spark, root, spine.names[-1], dirs.get("constraint_directory", src.CONSTRAINT_DIR)))
+        extra = ct.household_zeros(leaf, spine, own).drop("depth")
         zeros = extra if zeros is None else zeros.unionByName(extra)
     if totals is not None:
         t = totals.select("geocode", "query_name", F.array("value").alias("value"), "variance")

@@ -6,7 +6,6 @@ and one for constraints per level.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -14,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stemtally.functions.keys import Spine
-from stemtally.operators.spine import bypassed_measurements, complete_nodes, level_inventory, strip_suffix
+from stemtally.operators.spine import bypassed_measurements, complete_nodes, level_inventory, one_measurement_per_query, strip_suffix
 
 # fixed values: directories and formats of the published files
 MEASUREMENT_DIR = "DPQuery"
@@ -36,21 +35,22 @@ def read_level(
 ) -> DataFrame:
     """(geocode, query_name, value, variance) of one level, names without suffix, nodes complete.
 
-    With ``on_missing_level='bypass'`` an absent level becomes one bypassed
+    Of repeated names of a unit the most precise counts. With
+    ``on_missing_level='bypass'`` an absent level becomes one bypassed
     measurement for each node its constraints name.
     """
     inventory = level_inventory(read_constraints(spark, root, level, constraint_directory))
     try:
         raw = spark.read.parquet(level_path(root, level, directory))
-    except AnalysisException:
-        if on_missing_level != "bypass":
+    except AnalysisException as e:  # anything but an absent folder is an error
+        if on_missing_level != "bypass" or e.getCondition() != "PATH_NOT_FOUND":
             raise
         return bypassed_measurements(inventory)
     rows = raw.select(
         "geocode", strip_suffix("query_name", suffix_len).alias("query_name"), F.col("value").cast("array<double>").alias("value"),
         F.col("variance").cast("double").alias("variance"),
     )
-    return complete_nodes(rows, inventory)
+    return complete_nodes(one_measurement_per_query(rows), inventory)
 
 
 def read_levels(spark: SparkSession, root: str, spine: Spine, **kw) -> DataFrame:
@@ -59,11 +59,6 @@ def read_levels(spark: SparkSession, root: str, spine: Spine, **kw) -> DataFrame
     return reduce(DataFrame.unionByName, parts)
 
 
-def read_many(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """One relation over several directories."""
-    return spark.read.parquet(*paths)
-
-
 def read_reference_file(spark: SparkSession, path: str) -> DataFrame:
     """(leaf, place): pipe-separated reference file, leaf code put together from its parts."""
     ddl = ", ".join(f"{c} string" for c in REFERENCE_COLUMNS)

@@ -7,10 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemtally.functions.keys import Spine, prefix
+from stemtally.functions.keys import Spine
 
 INTERVAL_DDL = "geocode string, query string, alpha double, estimate double, std_dev double, moe double"
-CSV_FILES = 100  # fixed value: largest number of CSV files of an interval table
 
 
 def write_table(df: DataFrame, path: str, by: Sequence[str] = (), mode: str = "overwrite") -> DataFrame:
@@ -27,12 +26,12 @@ def read_state(spark: SparkSession, paths: str | Sequence[str], keep: DataFrame
     return df if partitions is None else df.repartition(partitions, on)
 
 
-def write_intervals(intervals: DataFrame, path: str, as_csv: bool = True) -> DataFrame:
-    """Interval rows as parquet and, for people, as at most 100 CSV files with header."""
+def write_intervals(intervals: DataFrame, path: str, as_csv: bool = True, csv_files: int | None = None) -> DataFrame:
+    """Interval rows as parquet and, for people, as CSV with header; ``csv_files`` bounds the number of CSV files."""
     rows = intervals.select("geocode", "query", "alpha", "estimate", "std_dev", "moe")
     out = write_table(rows, f"{path}.parquet")
     if as_csv:
-        out.coalesce(CSV_FILES).write.mode("overwrite").csv(f"{path}.csv", header=True)
+        (out.coalesce(csv_files) if csv_files else out).write.mode("overwrite").csv(f"{path}.csv", header=True)
     return out
 
 
@@ -56,17 +55,9 @@ def read_published(spark: SparkSession, path: str, levels: Sequence[str]) -> Dat
     return spark.read.schema(ddl + ", ".join(f"{n} string" for n in levels)).csv(path, sep="|", header=True)
 
 
-def preview(df: DataFrame, rows: int = 50) -> DataFrame:
-    return df.limit(rows)
-
-
 def level_of_geocode(df: DataFrame, spine: Spine) -> DataFrame:
     """Add ``depth`` from the length of the geocode."""
     out = F.lit(0)
     for d, w in enumerate(spine.widths):
         out = F.when(F.length("geocode") == w, d).otherwise(out)
     return df.withColumn("depth", out)
-
-
-def parent_of(df: DataFrame, width: int) -> DataFrame:
-    return df.withColumn("parent", prefix("geocode", width))

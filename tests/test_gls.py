@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from stemtally.functions.keys import Spine
 from stemtally.functions.lineage import cut_lineage
 from stemtally.operators import entities, gls_diagonal as gd
 from stemtally.operators.covers import coarsest_cover
@@ -141,3 +142,15 @@ def test_sharing_changes_nothing(spark):
     assert ea.keys() == eb.keys()
     assert all(abs(ea[k] - eb[k]) < 1e-9 for k in ea)
     assert a.mats[2].count() < b.mats[2].count()
+
+
+def test_a_bypassed_unit_says_nothing_with_its_other_rows(spark):
+    """Two cells: the root's detailed answers are withheld, its total is not; the leaves stay as measured."""
+    spine = Spine(("root", "leaf"), (0, 1))
+    table = [
+        (0, "", "detailed", [0.0, 0.0], float("inf")), (0, "", "total", [100.0], 1.0),
+        (1, "a", "detailed", [1.0, 2.0], 1.0), (1, "b", "detailed", [3.0, 4.0], 1.0),
+    ]
+    got = {(r.geocode, r.cell): r.final_estimate for r in dense_passes(spark, spine, table).estimates().collect()}
+    want = {("", 0): 4.0, ("", 1): 6.0, ("a", 0): 1.0, ("a", 1): 2.0, ("b", 0): 3.0, ("b", 1): 4.0}
+    assert got == pytest.approx(want)

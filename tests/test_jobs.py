@@ -1,10 +1,12 @@
 import numpy as np
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from stemtally.catalog.schemas import schema
 from stemtally.functions.keys import Spine
 from stemtally.functions.matrices import unpack
+from stemtally.operators import constraints
 from stemtally.operators.gls_diagonal import SOFT_VARIANCE
 from stemtally.plans import interval_job as job
 from stemtally.plans.two_pass import run_two_pass_estimate
@@ -112,3 +114,35 @@ def test_covers_of_levels(spark):
     assert c["US"].count() == 1 and {(r.entity, r.geocode) for r in c["State"].collect()} == {("01", "001"), ("01", "101"), ("02", "002")}
     assert {(r.entity, r.geocode) for r in c["County"].collect()} == {("01000", "001"), ("01000", "101"), ("02000", "002")}
     assert c["Block"].filter("length(entity) = 16").count() == 3
+
+
+def test_repeated_rows_of_a_level_count_once(spark, tmp_path):
+    root = str(tmp_path / "in")
+    spark.createDataFrame([("1", "total_con", "=", [3])], "geocode string, query_name string, sign string, value array<bigint>").write.parquet(src.level_path(root, "L", src.CONSTRAINT_DIR))
+    rows = [("1", "detailed_dpq", [4.0, 6.0], 1.0), ("1", "detailed_dpq", [4.0, 6.0], 1.0), ("1", "detailed_dpq", [9.0, 9.0], 2.0)]
+    spark.createDataFrame(rows, "geocode string, query_name string, value array<double>, variance double").write.parquet(src.level_path(root, "L", src.MEASUREMENT_DIR))
+    got = src.read_level(spark, root, "L").collect()
+    assert [(r.query_name, r.value, r.variance) for r in got] == [("detailed", [4.0, 6.0], 1.0)]
+
+
+def test_a_broken_level_is_not_a_bypassed_one(spark, tmp_path):
+    root = str(tmp_path / "in")
+    spark.createDataFrame([("1", "total_con", "=", [3])], "geocode string, query_name string, sign string, value array<bigint>").write.parquet(src.level_path(root, "L", src.CONSTRAINT_DIR))
+    (tmp_path / "in" / "L.parquet" / src.MEASUREMENT_DIR).mkdir(parents=True)
+    with pytest.raises(AnalysisException):
+        src.read_level(spark, root, "L", on_missing_level="bypass").collect()
+
+
+def test_households_of_another_tree_meet_by_leaf(spark):
+    """The other run's codes have other prefixes; the last sixteen characters name the leaf."""
+    spine = Spine(("root", "mid", "leaf"), (0, 1, 17))
+    leaf = lambda k: f"{k:016d}"
+    theirs = [("77" + leaf(1), [0]), ("78" + leaf(2), [0]), ("79" + leaf(3), [5]), ("70" + leaf(9), [0])]
+    df = spark.createDataFrame([(g, constraints.HOUSEHOLD_ZERO, v) for g, v in theirs], "geocode string, query_name string, value array<bigint>")
+    own = spark.createDataFrame([("a" + leaf(1),), ("a" + leaf(2),), ("b" + leaf(3),)], "geocode string")
+    assert {(r.depth, r.geocode) for r in constraints.household_zeros(df, spine, own).collect()} == {(1, "a")}
+
+
+def test_a_constraint_without_sign_is_an_equality(spark):
+    df = spark.createDataFrame([("1", "x_con", None, [0, 0], "detailed")], "geocode string, query_name string, sign string, value array<bigint>, hhgq string")
+    assert constraints.interpret(df).count() == 2
