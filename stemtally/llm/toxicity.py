@@ -51,7 +51,7 @@ homosexuales heterosexuales
 TURN = {w: line.split() for line in IDENTITY_TERMS.strip().splitlines() for w in line.split()}
 EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
-SAMPLE = 4_000  # labelled rows of each class at most
+SAMPLE = 3_000  # labelled rows of each class at most
 BUCKETS = 1 << 18
 FEATURES = 4_096  # buckets that keep a weight
 PENALTY = 1.0
@@ -83,7 +83,7 @@ def vector(counts: Counter) -> tuple[np.ndarray, np.ndarray]:
         b = buckets(w)
         at += b
         value += [strength(k, n)] * len(b)
-    return np.array(at, np.int32), np.array(value, np.float32)
+    return np.array(at, np.int32), np.array(value, np.float16)
 
 
 def swapped(counts: Counter, turn: int) -> Counter | None:
@@ -98,23 +98,40 @@ def swapped(counts: Counter, turn: int) -> Counter | None:
 
 
 class Rows:
-    """Sparse rows laid end to end."""
+    """Sparse rows laid end to end, of the features that ``place`` numbers; the others are left out."""
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]]):
-        self.n = len(vectors)
-        self.at = np.concatenate([v[0] for v in vectors]) if vectors else np.empty(0, np.int32)
-        self.value = np.concatenate([v[1] for v in vectors]) if vectors else np.empty(0, np.float32)
-        self.row = np.repeat(np.arange(self.n), [len(v[0]) for v in vectors]) if vectors else np.empty(0, np.int64)
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], place: np.ndarray):
+        kept = [(place[at[ok]], value[ok]) for at, value in vectors for ok in [place[at] >= 0]]
+        self.n = len(kept)
+        self.at = np.concatenate([v[0] for v in kept])
+        self.value = np.concatenate([v[1] for v in kept]).astype(np.float64)
+        self.row = np.repeat(np.arange(self.n), [len(v[0]) for v in kept])
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, w[self.at] * self.value, self.n) if self.n else np.zeros(0)
+        return np.bincount(self.row, w[self.at] * self.value, self.n)
 
     def back(self, e: np.ndarray, size: int) -> np.ndarray:
         return np.bincount(self.at, e[self.row] * self.value, size)
 
-    def keep(self, place: np.ndarray) -> None:
-        ok = place[self.at] >= 0
-        self.at, self.value, self.row = place[self.at[ok]], self.value[ok], self.row[ok]
+
+def choose(texts: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> np.ndarray:
+    """Place of each bucket among those that tell the classes apart, -1 for the rest.
+
+    A bucket is chosen if it is in three texts at least and its shares of the
+    two classes lie well over two deviations apart; the strongest FEATURES.
+    """
+    seen = np.zeros((2, BUCKETS))
+    for (at, _), label in zip(texts, y, strict=True):
+        seen[int(label), np.unique(at)] += 1
+    n = np.array([(y == 0).sum(), (y == 1).sum()], np.float64)
+    share = seen / n[:, None]
+    spread = np.sqrt(((share * (1 - share) + 1e-3) / n[:, None]).sum(axis=0))
+    signal = np.where(seen.sum(axis=0) >= 3, np.abs(share[1] - share[0]) / spread, 0)
+    chosen = np.sort(np.argsort(-signal, kind="stable")[:FEATURES])
+    chosen = chosen[signal[chosen] > 2.5]
+    place = np.full(BUCKETS, -1)
+    place[chosen] = np.arange(len(chosen))
+    return place
 
 
 def fit_rows(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, twins: list[tuple[int, tuple[np.ndarray, np.ndarray]]], share: float, steps: int = 300) -> tuple[np.ndarray, float]:
@@ -124,26 +141,15 @@ def fit_rows(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, twi
     if not len(y) or not 0 < y.mean() < 1:
         p = min(max(y.mean() if len(y) else 0.0, 1e-3), 1 - 1e-3)
         return weights, math.log(p / (1 - p))
-    x = Rows(texts)
-    shown = np.unique(x.row.astype(np.int64) * BUCKETS + x.at)
-    at, row = shown % BUCKETS, shown // BUCKETS
-    cost = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
-    one, all_ = np.bincount(at, cost[row] * y[row], BUCKETS) / (cost * y).sum(), np.bincount(at, cost[row] * (1 - y[row]), BUCKETS) / (cost * (1 - y)).sum()
-    often = np.bincount(at, minlength=BUCKETS)
-    spread = np.sqrt((one * (1 - one) + 1e-3) / y.sum() + (all_ * (1 - all_) + 1e-3) / (1 - y).sum())
-    signal = np.where(often >= 3, np.abs(one - all_) / spread, 0)
-    chosen = np.sort(np.argsort(-signal, kind="stable")[:FEATURES])
-    chosen = chosen[signal[chosen] > 2.5]
-    place = np.full(BUCKETS, -1)
-    place[chosen] = np.arange(len(chosen))
+    place = choose(texts, y)
     lone = [vector(Counter([w])) for w in TURN]
     after = [vector(Counter([line[(line.index(w) + 1) % len(line)]])) for w, line in TURN.items()]
-    left, right = Rows([texts[k] for k, _ in twins] + lone), Rows([v for _, v in twins] + after)
-    for rows in (x, left, right):
-        rows.keep(place)
-    size = len(chosen)
+    x, left, right = Rows(texts, place), Rows([texts[k] for k, _ in twins] + lone, place), Rows([v for _, v in twins] + after, place)
+    size = int(place.max()) + 1
+    cost = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
+    cost /= cost.sum()
     w, b = np.zeros(size), math.log(share / (1 - share))
-    m, v, cost = np.zeros(size + 1), np.zeros(size + 1), cost / cost.sum()
+    m, v = np.zeros(size + 1), np.zeros(size + 1)
     for step in range(1, steps + 1):
         p = 1 / (1 + np.exp(-(x.dot(w) + b)))
         e, gap = cost * (p - y), (left.dot(w) - right.dot(w)) * (2 * PENALTY / left.n)
@@ -151,7 +157,7 @@ def fit_rows(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, twi
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
-    weights[chosen] = w
+    weights[place >= 0] = w
     return weights, float(b)
 
 
@@ -174,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
             for k, y, t in zip(pdf["_key"], pdf["_y"], pdf["_text"], strict=True):
                 counts = bare(t)
                 twin = swapped(counts, k)
-                one, two = vector(counts), vector(twin) if twin else (np.empty(0, np.int32), np.empty(0, np.float32))
+                one, two = vector(counts), vector(twin) if twin else (np.empty(0, np.int32), np.empty(0, np.float16))
                 out.append((k, y, *(a.tobytes() for a in (*one, *two)), twin is not None))
             yield pd.DataFrame(out, columns=["k", "y", "at", "value", "twin_at", "twin_value", "twin"])
 
@@ -182,8 +188,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         docs.select(key, whole(text).alias("_text")).join(picked, "_key").mapInPandas(prepare, "k bigint, y int, at binary, value binary, twin_at binary, twin_value binary, twin boolean")
         .dropDuplicates(["k", "y"]).toPandas().sort_values(["k", "y"])
     )
-    vectors = [(np.frombuffer(a, np.int32), np.frombuffer(v, np.float32)) for a, v in zip(sample["at"], sample["value"], strict=True)]
-    twins = [(n, (np.frombuffer(a, np.int32), np.frombuffer(v, np.float32))) for n, (a, v, has) in enumerate(zip(sample["twin_at"], sample["twin_value"], sample["twin"], strict=True)) if has]
+    vectors = [(np.frombuffer(a, np.int32), np.frombuffer(v, np.float16)) for a, v in zip(sample["at"], sample["value"], strict=True)]
+    twins = [(n, (np.frombuffer(a, np.int32), np.frombuffer(v, np.float16))) for n, (a, v, has) in enumerate(zip(sample["twin_at"], sample["twin_value"], sample["twin"], strict=True)) if has]
     total = sum(count.values())
     return fit_rows(vectors, sample["y"].to_numpy(np.int64), twins, count.get(1, 0) / total if total else 0.0)
 
