@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stemtally.functions.lineage import cut_lineage
+from stemtally.functions.lineage import cut_lineage, release
 from stemtally.llm.common import whole
 
 BLOCK = 600_000  # tokens packed at a time, unless one text has more
@@ -118,6 +118,26 @@ def _slices(keys: np.ndarray, ranges: int) -> Iterator[tuple[int, slice]]:
         yield int(r[a]), slice(a, a + k)
 
 
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys: the first one, six bytes per step, and the rest of the few steps that need more."""
+    step = np.diff(keys)
+    far = np.flatnonzero(step >> np.uint64(48)).astype(np.uint32)
+    rest = (step[far] >> np.uint64(48)).astype(np.uint16)
+    return b"".join([keys[:1].tobytes(), np.uint32(len(far)).tobytes(), far.tobytes(), rest.tobytes(), step.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()])
+
+
+def unpacked_keys(data: bytes) -> np.ndarray:
+    n = int(np.frombuffer(data, np.uint32, 1, offset=8)[0])
+    far, rest = np.frombuffer(data, np.uint32, n, offset=12), np.frombuffer(data, np.uint16, n, offset=12 + 4 * n)
+    step = np.frombuffer(data, np.uint8, offset=12 + 6 * n).reshape(-1, 6)
+    wide = np.zeros((len(step) + 1, 8), np.uint8)
+    wide[1:, :6] = step
+    out = wide.view(np.uint64).ravel()
+    out[0] = np.frombuffer(data, np.uint64, 1)[0]
+    out[1:][far] |= rest.astype(np.uint64) << np.uint64(48)
+    return np.cumsum(out, dtype=np.uint64)
+
+
 def _joined(parts: pd.Series, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(parts), kind)
 
@@ -236,13 +256,15 @@ def fit(docs: DataFrame, min_count: int = 2, text: str = "text") -> Model:
     gain = F.log10(F.col("mass") / F.col("total")) - F.col("alpha") - F.log10("prob")
     start = alphas.filter(F.col("h") == START).select("alpha").first()
     valued = words.join(alphas.select(F.col("h").alias("w"), "alpha"), "w", "left").select("w", "c", "prob", (F.log10("prob") + F.coalesce("alpha", F.lit(0.0))).alias("value"))
+    valued, worth = cut_lineage(valued, "words"), cut_lineage(pairs.join(alphas, "h").select("h", "w", "c", gain.alias("value")), "pair_values")
+    release(table, pairs, alphas)
     return Model(
-        cut_lineage(valued, "words"), cut_lineage(pairs.join(alphas, "h").select("h", "w", "c", gain.alias("value")), "pair_values"),
+        valued, worth,
         start[0] if start else 0.0, math.log10(1 - mass / total) if total else 0.0, tokens, distinct, ranges,
     )
 
 
-PACKED = "p int, kind string, keys binary, runs binary, docs binary, times binary, ids binary"
+PACKED = "p int, kind string, block bigint, keys binary, runs binary, docs binary, times binary"
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -263,68 +285,69 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, counts, values, pairs, gains = head.value
 
-        def rest(keys: np.ndarray, doc: np.ndarray, ids: np.ndarray, kind: str) -> Iterator[tuple]:
+        def rest(keys: np.ndarray, doc: np.ndarray, block: int, kind: str) -> Iterator[tuple]:
             order = np.lexsort((doc, keys))
             keys, doc = keys[order], doc[order]
             at, times = _groups(keys, doc)
             keys, doc, times = keys[at], doc[at], times.astype(np.uint32)
             for p, s in _slices(keys, ranges):
                 a, runs = _groups(keys[s])
-                used, place = np.unique(doc[s], return_inverse=True)
-                yield p, kind, keys[s][a].tobytes(), runs.astype(np.uint32).tobytes(), place.astype(np.uint32).tobytes(), times[s].tobytes(), ids[used].tobytes()
+                yield p, kind, block, packed_keys(keys[s][a]), runs.astype(np.uint32).tobytes(), doc[s].tobytes(), times[s].tobytes()
 
         for tokens, sizes, ids in blocks(batches, "d"):
-            doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+            block = _signed(xxhash.xxh3_64_intdigest(ids.tobytes() + tokens.tobytes()))
+            doc = np.repeat(np.arange(len(sizes), dtype=np.uint16 if len(sizes) <= 1 << 16 else np.uint32), sizes)
             at = np.minimum(np.searchsorted(words, tokens), max(len(words) - 1, 0))
             hit = words[at] == tokens if len(words) else np.zeros(len(tokens), bool)
             total = start + np.bincount(doc[hit], values[at[hit]], len(ids))
             base = np.bincount(doc[hit], np.log10((counts[at[hit]] + 0.5) / below), len(ids))
             known = np.bincount(doc[hit], minlength=len(ids))
-            out = list(rest(tokens[~hit].view(np.uint64), doc[~hit], ids, "word")) if not hit.all() else []
+            out = list(rest(tokens[~hit].view(np.uint64), doc[~hit], block, "word")) if not hit.all() else []
             del at, hit
             both = pair_key(histories(tokens, sizes), tokens)
             at = np.minimum(np.searchsorted(pairs, both), max(len(pairs) - 1, 0))
             hit = pairs[at] == both if len(pairs) else np.zeros(len(both), bool)
             total += np.bincount(doc[hit], gains[at[hit]], len(ids))
-            out += rest(both[~hit], doc[~hit], ids, "pair") if not hit.all() else []
+            out += rest(both[~hit], doc[~hit], block, "pair") if not hit.all() else []
             local = np.column_stack([total, base, known.astype(np.float64), sizes.astype(np.float64)])
-            p = int(range_of(ids[:1], ranges)[0])
-            out.append((p, "text", b"", b"", b"", local.tobytes(), ids.tobytes()))
-            yield pd.DataFrame(out, columns=["p", "kind", "keys", "runs", "docs", "times", "ids"])
+            p = int(range_of(np.array([block]), ranges)[0])
+            out.append((p, "text", block, b"", b"", ids.tobytes(), local.tobytes()))
+            yield pd.DataFrame(out, columns=["p", "kind", "block", "keys", "runs", "docs", "times"])
 
     def look_up(packed: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
-        found = []
         tables = {}
         for kind, rows in table.groupby("kind"):
             k = rows["key"].to_numpy(np.int64).view(np.uint64)
             order = np.argsort(k)
             tables[kind] = k[order], rows["c"].to_numpy(np.float64)[order], rows["value"].to_numpy(np.float64)[order]
-        for kind, keys, runs, docs, times, ids in packed[["kind", "keys", "runs", "docs", "times", "ids"]].itertuples(index=False):
-            d = np.frombuffer(ids, np.int64)
+        found = []
+
+        def add(block: int, doc: np.ndarray, s=0.0, b=0.0, known=0.0, tokens=0.0, ids: np.ndarray | None = None) -> None:
+            cols = [np.broadcast_to(np.asarray(x, np.float64), len(doc)) for x in (s, b, known, tokens)]
+            found.append((np.full(len(doc), block), doc.astype(np.int32), *cols, np.zeros(len(doc), np.int64) if ids is None else ids, np.full(len(doc), ids is None)))
+
+        for kind, block, keys, runs, docs, times in packed[["kind", "block", "keys", "runs", "docs", "times"]].itertuples(index=False):
             if kind == "text":
-                found.append((d, np.frombuffer(times, np.float64).reshape(-1, 4), np.ones(len(d), np.int64)))
+                local = np.frombuffer(times, np.float64).reshape(-1, 4)
+                add(block, np.arange(len(local)), *local.T, ids=np.frombuffer(docs, np.int64))
                 continue
-            keys = np.frombuffer(keys, np.uint64)
-            runs, docs, times = (np.frombuffer(x, np.uint32) for x in (runs, docs, times))
+            keys, runs, times = unpacked_keys(keys), np.frombuffer(runs, np.uint32), np.frombuffer(times, np.uint32)
+            docs = np.frombuffer(docs, np.uint16 if len(docs) == 2 * len(times) else np.uint32)
             have, c, value = tables.get(kind, (np.empty(0, np.uint64), np.empty(0), np.empty(0)))
             at = np.minimum(np.searchsorted(have, keys), max(len(have) - 1, 0))
             hit = have[at] == keys if len(have) else np.zeros(len(keys), bool)
             gain = np.where(hit, value[at] if len(have) else 0.0, unknown if kind == "word" else 0.0)
-            sums = np.zeros((len(d), 4))
-            sums[:, 0] = np.bincount(docs, np.repeat(gain, runs) * times, len(d))
+            out = {"s": np.bincount(docs, np.repeat(gain, runs) * times)}
             if kind == "word":
                 seen = np.where(hit, c[at] if len(have) else 0.0, 0.0)
-                sums[:, 1] = np.bincount(docs, np.repeat(np.log10((seen + 0.5) / below), runs) * times, len(d))
-                sums[:, 2] = np.bincount(docs, np.repeat(hit, runs) * times, len(d))
-            found.append((d, sums, np.zeros(len(d), np.int64)))
-        if not found:
-            return pd.DataFrame({"d": [], "s": [], "b": [], "known": [], "tokens": [], "copies": []})
-        d, at = np.unique(np.concatenate([x[0] for x in found]), return_inverse=True)
-        parts = np.concatenate([x[1] for x in found])
-        cols = [np.bincount(at, parts[:, k], len(d)) for k in range(4)]
-        copies = np.bincount(at, np.concatenate([x[2] for x in found]), len(d)).astype(np.int64)
-        keep = (cols[0] != 0) | (cols[2] != 0) | (cols[3] != 0) | (copies > 0)
-        return pd.DataFrame({"d": d, "s": cols[0], "b": cols[1], "known": cols[2], "tokens": cols[3], "copies": copies})[keep]
+                out["b"] = np.bincount(docs, np.repeat(np.log10((seen + 0.5) / below), runs) * times)
+                out["known"] = np.bincount(docs, np.repeat(hit, runs) * times)
+            some = np.flatnonzero(np.any([x != 0 for x in out.values()], axis=0))
+            add(block, some, **{k: x[some] for k, x in out.items()})
+        names = ["block", "doc", "s", "b", "known", "tokens", "id", "no id"]
+        cols = dict(zip(names, map(np.concatenate, zip(*found)), strict=True)) if found else {k: np.empty(0, np.int64) for k in names}
+        no_id = cols.pop("no id").astype(bool)
+        return pd.DataFrame(cols | {"id": pd.arrays.IntegerArray(cols["id"], no_id)})
 
     d = F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), whole(text))
     packed = docs.select(whole(text).cast("binary").alias("text"), d.alias("d")).mapInPandas(pack, PACKED)
@@ -338,12 +361,11 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
         .union(model.pairs.filter(F.col("c") < floor).select(F.lit("pair"), both_keys("h", "w"), F.lit(0).cast("bigint"), "value"))
         .withColumn("p", range_column(F.col("key"), ranges))
     )
-    parts = packed.groupBy("p").cogroup(table.groupBy("p")).applyInPandas(look_up, "d bigint, s double, b double, known double, tokens double, copies bigint")
-    sums = parts.groupBy("d").agg(*[F.sum(c).alias(c) for c in ("s", "b", "known", "tokens", "copies")])
-    each = lambda c: F.col(c) / F.col("copies")  # noqa: E731  identical rows share one sum
-    scored = sums.select(
-        F.col("d").alias("_d"), F.round(each("tokens")).cast("bigint").alias("n_tokens"), F.round(each("known")).cast("bigint").alias("n_known"),
-        each("b").alias("base_score"), each("s").alias("score"),
+    parts = packed.groupBy("p").cogroup(table.groupBy("p")).applyInPandas(look_up, "block bigint, doc int, s double, b double, known double, tokens double, id bigint")
+    sums = parts.groupBy("block", "doc").agg(*[F.sum(c).alias(c) for c in ("s", "b", "known", "tokens")], F.min("id").alias("id"), F.count("id").alias("copies"))
+    each = lambda c: F.min(F.col(c) / F.col("copies"))  # noqa: E731  equal blocks share one sum, and identical rows have equal scores
+    scored = sums.groupBy(F.col("id").alias("_d")).agg(
+        F.round(each("tokens")).cast("bigint").alias("n_tokens"), F.round(each("known")).cast("bigint").alias("n_known"), each("b").alias("base_score"), each("s").alias("score")
     )
     keep = [c for c in docs.columns if c != text]
     return docs.select(*keep, d.alias("_d")).join(scored, "_d").drop("_d")
