@@ -151,13 +151,18 @@ class Draws:
 
 
 def surrogate(key: bytes, kind: str, norm: str, attempt: int) -> str:
-    """Normal form of the surrogate."""
+    """Normal form of the surrogate.
+
+    Where a pool is small (short names, secrets without letters, private
+    addresses) later attempts draw from a wider one, so that one is free.
+    """
     d = Draws(key, kind, norm, attempt)
+    more = d.like("a" * max(0, attempt - 7))
     if kind == "email":
         local, _, domain = norm.rpartition("@")
         labels = domain.split(".")
         home = [Draws(key, "domain", domain, attempt).like(x) for x in labels[:-2]]
-        return d.like(local) + "@" + ".".join([*home, "example", labels[-1]])
+        return d.like(local) + more + "@" + ".".join([*home, "example", labels[-1]])
     if kind == "phone":
         rest = d.like(norm)
         return (str(2 + d.below(8)) + rest[1:]) if len(norm) == 10 else norm[:2] + rest[2:]
@@ -166,11 +171,11 @@ def surrogate(key: bytes, kind: str, norm: str, attempt: int) -> str:
         return next(body + str(c) for c in range(10) if luhn(body + str(c)))
     if kind == "ip":
         a, b, *_ = map(int, norm.split("."))
-        if a == 10:
+        if a == 10 or (8 <= attempt < 16 and (a, b) == (192, 168)):
             head = [10, d.below(256)]
-        elif (a, b) == (192, 168):
+        elif (a, b) == (192, 168) and attempt < 8:
             head = [192, 168]
-        elif a == 172 and 16 <= b < 32:
+        elif a == 172 and 16 <= b < 32 and attempt < 16:
             head = [172, 16 + d.below(16)]
         else:
             head = [next(x for x in iter(lambda: 1 + d.below(223), None) if x not in (10, 127, 172, 192)), d.below(256)]
@@ -191,7 +196,7 @@ def surrogate(key: bytes, kind: str, norm: str, attempt: int) -> str:
         alphabet = kind.split(" ")[1]
         part = SYLLABLES[alphabet]
         return "".join(part[d.below(len(part))] for _ in range(3 + attempt // 4)) + ENDINGS[alphabet][d.below(len(ENDINGS[alphabet]))]
-    return d.like(norm)
+    return d.like(norm) + (more if kind == "secret" else "")
 
 
 def render(surface: str, kind: str, norm: str, new: str) -> str:

@@ -234,7 +234,7 @@ def test_surrogates(spark):
 
 
 def test_surrogates_stay_distinct_where_the_pool_is_full(spark):
-    names = [("given f latin", n.lower()) for n in surrogates.GIVEN["f", "latin"]] + [("ssn", f"123-45-{k:04d}") for k in range(300)]
+    names = [("given f latin", n.lower()) for n in surrogates.GIVEN["f", "latin"]] + [("ssn", f"123-45-{k:04d}") for k in range(300)] + [("secret", "-" * k) for k in range(6, 12)] + [("email", f"{c}@b.com") for c in "abcdefghijklmnopqrstuvwxyz"]
     got = surrogates.assign(spark.createDataFrame(names, "kind string, norm string"), b"key").collect()
     assert len(got) == len(names) == len({(r.kind, r.new) for r in got}) and not {(r.kind, r.new) for r in got} & set(names)
 
