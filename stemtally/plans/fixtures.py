@@ -114,7 +114,9 @@ class Tables:
             F.array_sort(F.collect_list(F.struct("cell", "value"))).alias("s"), F.first("variance").alias("variance")
         ).select("geocode", F.lit("detailed").alias("query_name"), F.transform("s", lambda x: x["value"]).alias("value"), "variance")
         total = cells.groupBy("geocode").agg(F.sum("value").alias("s"), F.first("variance").alias("variance")).select(
-            "geocode", F.lit("total").alias("query_name"), F.array(F.col("s") + 3.0).alias("value"), (F.col("variance") * 2).alias("variance")
+            "geocode", F.lit("total").alias("query_name"), F.array(F.col("s") + 3.0).alias("value"),
+            # a bypassed nation keeps a finite total, which must not count
+            F.when(F.lit(depth == 2), VARIANCE[depth] * 2.0).otherwise(F.col("variance") * 2).alias("variance"),
         )
         return detailed.unionByName(total).select(F.lit(depth).alias("depth"), "*")
 

@@ -132,7 +132,22 @@ def _(t):
     return _asked(t).select(fr.to_query_name(fr.to_file_name("name")).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("nway_names", None)
+_BASES = [(p, d, p) for p, d in enumerate(PL94.dims)] + [(len(PL94.dims) + i, r, d) for i, (r, (d, _)) in enumerate(PL94.recodes.items())]
+_FILLED = {"hhgq": "hhgq", "votingage": "vote", "hispanic": "hisp", "cenrace": "race"}
+
+
+def _filled_sql() -> str:
+    """Distinct filled rows of the crosses of at most two dimensions."""
+    pairs = [[a, b] for i, a in enumerate(PL94.dims) for b in PL94.dims[i + 1 :]]
+    crosses = [[d] for d in PL94.dims] + pairs
+    counts = [f"SELECT '{sc.CROSS.join(c)}' AS name, count(DISTINCT {" || '|' || ".join(_FILLED[d] for d in c)}) AS filled FROM person" for c in crosses]
+    return "SELECT 'total' AS name, CAST(1 AS BIGINT) AS filled UNION ALL " + " UNION ALL ".join(counts)
+
+
+@query("nway_names", sql(f"""SELECT n.name, n.ways, f.filled FROM (
+  SELECT 'total' AS name, CAST(0 AS INTEGER) AS ways UNION ALL SELECT base, 1 FROM b
+  UNION ALL SELECT x.base || '{sc.CROSS}' || y.base, 2 FROM b x JOIN b y ON y.pos > x.pos AND y.dim <> x.dim) n LEFT JOIN ({_filled_sql()}) f ON f.name = n.name""",
+    _PERSON, ("b", f"SELECT * FROM {_values(_BASES)} v(pos, base, dim)")))
 def _(t):
     """Two-way and three-way crosses of the redistricting schema, with the number of filled rows for each dimension-only cross."""
     names = fr.nway_names(t.spark, PL94, [0, 1, 2])

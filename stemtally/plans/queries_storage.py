@@ -10,6 +10,7 @@ from stemtally.functions.lineage import checkpoint_root
 from stemtally.functions import matrices as mx
 from stemtally.operators import intervals, marginalize as mg, workloads as wl
 from stemtally.plans.fixtures import CELLS, SPINE, Tables, sql
+from stemtally.plans.queries_tabulation import _UNIT_ROWS
 from stemtally.plans.queries_estimates import _NAT, _QC, _nation_answers, _Z10, r, rs
 from stemtally.plans.registry import query
 from stemtally.sources import measurements as src, results as res
@@ -24,6 +25,9 @@ def store(t: Tables) -> str:
     root = scratch(t, "input")
     for d, level in enumerate(SPINE.names):
         m = t.arrays(d).filter("variance < double('infinity')").select("geocode", F.concat("query_name", F.lit("_dpq")).alias("query_name"), "value", "variance")
+        m = m.unionByName(m.filter(F.col("geocode").startswith("1")))  # repeated rows, of which one counts
+        if d == 2:
+            m = m.filter(~t.bypassed(d))
         if level != "Region":
             m.write.parquet(src.level_path(root, level, src.MEASUREMENT_DIR))
         nodes = t.level(d).select(
@@ -83,7 +87,7 @@ def _(t):
     return t.nodes.groupBy("depth", F.length("geocode").alias("width")).agg(F.count(F.lit(1)).alias("nodes")).join(named, "width").select("depth", "level", "width", "nodes")
 
 
-@query("workload_file")
+@query("workload_file", _UNIT_ROWS)
 def _(t):
     """Unit workload written as one pipe-separated file, read back, next to the parts of one brand per row."""
     path = scratch(t, "workload")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import lru_cache
+from itertools import product
 
 from pyspark.sql import functions as F
 
@@ -281,7 +282,23 @@ def _(t):
     return got.select(F.col("TABLE").alias("tbl"), F.col("LEVEL").alias("level"), "n")
 
 
-@query("workload_row_number", None)
+def unit_workload_values() -> str:
+    """The published unit workload as SQL values, unfolded here label by label."""
+    s, rows = sc.schema(wl.tb.WORKLOAD_SCHEMA["unit"]), []
+    for name, queries in wl.tb.workload("unit").items():
+        for q in queries:
+            if q != "total" and s.knows(q):
+                rows += [(name, q, " BY ".join(labels), k) for k, labels in enumerate(product(*s.labels(q))) if not k or not (name.startswith("PCT10") and q.startswith("dhch_hhtype_p12_part1"))]
+    text = lambda x: "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
+    return "(VALUES " + ", ".join(f"({', '.join(map(text, (*r, k)))})" for k, r in enumerate(rows, 1)) + ") w(tbl, query, level, col_index, row_num)"
+
+
+_BRANDS = "SELECT right(p_brand, 1) AS d, count(*) AS parts FROM part GROUP BY 1"
+_UNIT_ROWS = f"""SELECT tbl AS "TABLE", query AS "QUERY", level AS "LEVEL", CAST(col_index AS INTEGER) AS col_index, CAST(row_num AS INTEGER) AS row_num, parts
+  FROM {unit_workload_values()} JOIN ({_BRANDS}) p ON p.d = CAST(row_num % 5 + 1 AS VARCHAR)"""
+
+
+@query("workload_row_number", _UNIT_ROWS)
 def _(t):
     """Published rows of the unit workload next to how many parts carry their table's brand number."""
     rows = wl.published_rows(t.spark, "unit")
