@@ -181,17 +181,34 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
                 counts = bare(t)
                 twin = swapped(counts, k)
                 one, two = vector(counts), vector(twin) if twin else (np.empty(0, np.int32), np.empty(0, np.float16))
-                out.append((k, y, *(a.tobytes() for a in (*one, *two)), twin is not None))
-            yield pd.DataFrame(out, columns=["k", "y", "at", "value", "twin_at", "twin_value", "twin"])
+                out.append((0, k, y, *(a.tobytes() for a in (*one, *two)), twin is not None))
+            yield pd.DataFrame(out, columns=["one", "k", "y", "at", "value", "twin_at", "twin_value", "twin"])
 
     sample = (
-        docs.select(key, whole(text).alias("_text")).join(picked, "_key").mapInPandas(prepare, "k bigint, y int, at binary, value binary, twin_at binary, twin_value binary, twin boolean")
-        .dropDuplicates(["k", "y"]).toPandas().sort_values(["k", "y"])
+        docs.select(key, whole(text).alias("_text")).join(picked, "_key").mapInPandas(prepare, "one int, k bigint, y int, at binary, value binary, twin_at binary, twin_value binary, twin boolean")
+        .dropDuplicates(["k", "y"])
     )
-    vectors = [(np.frombuffer(a, np.int32), np.frombuffer(v, np.float16)) for a, v in zip(sample["at"], sample["value"], strict=True)]
-    twins = [(n, (np.frombuffer(a, np.int32), np.frombuffer(v, np.float16))) for n, (a, v, has) in enumerate(zip(sample["twin_at"], sample["twin_value"], sample["twin"], strict=True)) if has]
     total = sum(count.values())
-    return fit_rows(vectors, sample["y"].to_numpy(np.int64), twins, count.get(1, 0) / total if total else 0.0)
+    share = count.get(1, 0) / total if total else 0.0
+
+    def train(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["k", "y"])
+        read = lambda at, value: (np.frombuffer(at, np.int32), np.frombuffer(value, np.float16))
+        texts = [read(a, v) for a, v in zip(rows["at"], rows["value"], strict=True)]
+        twins = [(n, read(a, v)) for n, (a, v, has) in enumerate(zip(rows["twin_at"], rows["twin_value"], rows["twin"], strict=True)) if has]
+        weights, bias = fit_rows(texts, rows["y"].to_numpy(np.int64), twins, share)
+        some = np.flatnonzero(weights)
+        return pd.DataFrame({"bucket": np.append(some, -1), "weight": np.append(weights[some], bias)})
+
+    # one task, as the sample is bounded; FEATURES weights come back
+    learned = sample.groupBy("one").applyInPandas(train, "bucket int, weight double").collect()
+    weights, bias = np.zeros(BUCKETS), math.log(1e-3)
+    for r in learned:
+        if r.bucket < 0:
+            bias = r.weight
+        else:
+            weights[r.bucket] = r.weight
+    return weights, bias
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text", out: str = "score") -> DataFrame:
