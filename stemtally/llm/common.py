@@ -11,6 +11,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+# Rows of texts in one Arrow batch at most, where the session leaves Spark's default.
+TEXTS_PER_BATCH = 1_000
+
 # Rows of a narrow table (ids, keys, a few numbers) that are sent to every task at most.
 BROADCAST_ROWS = 1_000_000
 
@@ -19,6 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_batches(spark: SparkSession) -> None:
+    """Hand texts to Python in batches of bounded memory: the default of 10,000 rows is meant for rows of a few numbers."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows) == "10000":
+        spark.conf.set(rows, str(TEXTS_PER_BATCH))
+
+
 def whole(text: str) -> Column:
     """The text, empty where it is null."""
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
