@@ -323,8 +323,8 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
         found = []
 
         def add(block: int, doc: np.ndarray, s=0.0, b=0.0, known=0.0, tokens=0.0, ids: np.ndarray | None = None) -> None:
-            cols = [np.broadcast_to(np.asarray(x, np.float64), len(doc)) for x in (s, b, known, tokens)]
-            found.append((np.full(len(doc), block), doc.astype(np.int32), *cols, np.zeros(len(doc), np.int64) if ids is None else ids, np.full(len(doc), ids is None)))
+            sums = np.stack([np.broadcast_to(np.asarray(x, np.float64), len(doc)) for x in (s, b, known, tokens)])
+            found.append((block, doc.astype(np.int32).tobytes(), sums.tobytes(), b"" if ids is None else ids.tobytes()))
 
         for kind, block, keys, runs, docs, times in packed[["kind", "block", "keys", "runs", "docs", "times"]].itertuples(index=False):
             if kind == "text":
@@ -344,10 +344,16 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
                 out["known"] = np.bincount(docs, np.repeat(hit, runs) * times)
             some = np.flatnonzero(np.any([x != 0 for x in out.values()], axis=0))
             add(block, some, **{k: x[some] for k, x in out.items()})
-        names = ["block", "doc", "s", "b", "known", "tokens", "id", "no id"]
-        cols = dict(zip(names, map(np.concatenate, zip(*found)), strict=True)) if found else {k: np.empty(0, np.int64) for k in names}
-        no_id = cols.pop("no id").astype(bool)
-        return pd.DataFrame(cols | {"id": pd.arrays.IntegerArray(cols["id"], no_id)})
+        return pd.DataFrame(found, columns=["block", "docs", "sums", "ids"])
+
+    def gather(parts: pd.DataFrame) -> pd.DataFrame:
+        named = [x for x in parts["ids"] if len(x)]  # one for each of the equal blocks
+        ids = np.frombuffer(named[0], np.int64)
+        total = np.zeros((4, len(ids)))
+        for docs, sums in zip(parts["docs"], parts["sums"], strict=True):
+            total[:, np.frombuffer(docs, np.int32)] += np.frombuffer(sums, np.float64).reshape(4, -1)
+        score, base, known, tokens = total / len(named)
+        return pd.DataFrame({"_d": ids, "n_tokens": np.rint(tokens).astype(np.int64), "n_known": np.rint(known).astype(np.int64), "base_score": base, "score": score})
 
     d = F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), whole(text))
     packed = docs.select(whole(text).cast("binary").alias("text"), d.alias("d")).mapInPandas(pack, PACKED)
@@ -361,11 +367,9 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
         .union(model.pairs.filter(F.col("c") < floor).select(F.lit("pair"), both_keys("h", "w"), F.lit(0).cast("bigint"), "value"))
         .withColumn("p", range_column(F.col("key"), ranges))
     )
-    parts = packed.groupBy("p").cogroup(table.groupBy("p")).applyInPandas(look_up, "block bigint, doc int, s double, b double, known double, tokens double, id bigint")
-    sums = parts.groupBy("block", "doc").agg(*[F.sum(c).alias(c) for c in ("s", "b", "known", "tokens")], F.min("id").alias("id"), F.count("id").alias("copies"))
-    each = lambda c: F.min(F.col(c) / F.col("copies"))  # noqa: E731  equal blocks share one sum, and identical rows have equal scores
-    scored = sums.groupBy(F.col("id").alias("_d")).agg(
-        F.round(each("tokens")).cast("bigint").alias("n_tokens"), F.round(each("known")).cast("bigint").alias("n_known"), each("b").alias("base_score"), each("s").alias("score")
-    )
+    parts = packed.groupBy("p").cogroup(table.groupBy("p")).applyInPandas(look_up, "block bigint, docs binary, sums binary, ids binary")
+    each = parts.groupBy("block").applyInPandas(gather, "_d bigint, n_tokens bigint, n_known bigint, base_score double, score double")
+    # identical rows of different blocks have equal scores
+    scored = each.groupBy("_d").agg(*[F.min(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
     keep = [c for c in docs.columns if c != text]
     return docs.select(*keep, d.alias("_d")).join(scored, "_d").drop("_d")
