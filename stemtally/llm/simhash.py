@@ -27,8 +27,8 @@ from stemtally.llm.components import connected_components
 from stemtally.llm.substring import NO_ID, keyed
 
 BITS, DISTANCE, SEGMENTS = 64, 2, 5
-TABLES, WIDE = 8, 8  # fingerprints of the words, and 64-bit parts of the fingerprint of the shingles
-SIMILAR_BITS = 86  # of 512: shingle sets of Jaccard 0.8 differ in 78 on average, with a deviation of 8
+HEADS = 4  # members of a group of similar sets that the others meet first
+SAMPLE, FREQUENT = 2_000, 200_000  # sets that frequent shingles are taken from, and how many
 
 
 def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
@@ -124,60 +124,111 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     return rows.join(small(of), "fp")
 
 
-def _majority(h: np.ndarray, parts: int) -> np.ndarray:
-    """``parts`` 64-bit fingerprints of a set of hashes; each part mixes the hashes anew."""
-    out = np.empty(parts, np.int64)
-    for k in range(parts):
-        ones = np.zeros(BITS, np.int64)
-        for at in range(0, len(h), 1 << 16):
-            x = h[at : at + (1 << 16)] ^ np.uint64((k * 0x9E3779B97F4A7C15) % (1 << 64))
-            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            x ^= x >> np.uint64(31)
-            ones += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out[k] = np.packbits(2 * ones > len(h), bitorder="little").view(np.int64)[0]
-    return out
+def shingles(text: bytes, width: int = 5) -> np.ndarray:
+    """Sorted 64-bit hashes of the set of shingles; a text of fewer words is one shingle."""
+    w = text.lower().split()
+    of = {b" ".join(w)} if len(w) < width else {b" ".join(s) for s in zip(*(w[k:] for k in range(width)), strict=False)}
+    return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, of), np.uint64, len(of))).view(np.int64)
 
 
-def sketch(text: bytes, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints of the set of words, to find candidates, and of the set of shingles, to compare them."""
-    w = text.lower().split()
-    shingles = {b" ".join(w)} if len(w) < width else {b" ".join(s) for s in zip(*(w[k:] for k in range(width)), strict=False)}
-    of = lambda parts: np.fromiter(map(xxhash.xxh3_64_intdigest, parts), np.uint64, len(parts))
-    return _majority(of(set(w)), TABLES), _majority(of(shingles), WIDE)
+def similar(u: str, v: str, common: str) -> Column:
+    """Jaccard of 0.8 or more from the sizes of two sets and of what they share, in whole numbers."""
+    return 9 * F.col(common) >= 4 * (F.col(u) + F.col(v))
+
+
+def near_size(u: str, v: str) -> Column:
+    """Sets of other sizes cannot be similar."""
+    return 5 * F.least(u, v) >= 4 * F.greatest(u, v)
+
+
+def arcs_of(nodes: DataFrame) -> DataFrame:
+    """(token, sid, n): the rarest shingles of each set, so many that two similar sets share one of them.
+
+    Similar sets share 4/5 of each of them at least, so in any common order
+    the first n - ceil(4n/5) + 1 shingles of the two have one in common. The
+    order puts what is frequent in a sample last; it decides on the size of
+    the groups, never on what is found.
+    """
+    held = nodes.agg(F.count(F.lit(1))).first()[0]
+    sample = nodes.filter(F.pmod(F.xxhash64("sid"), F.lit(held // SAMPLE + 1)) == 0).select(F.explode("set").alias("token"))
+    often = sample.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 2").orderBy(F.desc("n"), "token").limit(FREQUENT).toPandas().sort_values("token")
+    shared = nodes.sparkSession.sparkContext.broadcast((often["token"].to_numpy(np.int64), often["n"].to_numpy(np.int64)))
+
+    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, times = shared.value
+        for pdf in batches:
+            parts = []
+            for x in pdf["set"]:
+                rank = np.zeros(len(x), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+                    rank = np.where(known[at] == x, times[at], 0)
+                parts.append(np.asarray(x)[np.lexsort((x, rank))[: len(x) - -(-4 * len(x) // 5) + 1]])
+            if parts:
+                sizes = [len(x) for x in parts]
+                yield pd.DataFrame({"token": np.concatenate(parts), "sid": np.repeat(pdf["sid"].to_numpy(), sizes), "n": np.repeat(pdf["n"].to_numpy(), sizes)})
+
+    return nodes.select("sid", "n", "set").mapInPandas(prefixes, "token bigint, sid bigint, n int")
+
+
+def compared(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose shingle sets have a Jaccard of 0.8 or more, counted in full."""
+    of = lambda end: nodes.select(F.col("sid").alias(end), F.col("n").alias(f"n{end}"), F.col("set").alias(f"s{end}"))
+    both = pairs.join(of("u"), "u").join(of("v"), "v")
+    return both.withColumn("common", F.size(F.array_intersect("su", "sv"))).filter(similar("nu", "nv", "common")).select("u", "v")
+
+
+def similar_links(nodes: DataFrame) -> DataFrame:
+    """(node, component) of the sets of ``nodes`` (sid, n, set) that chains of pairs of Jaccard 0.8 or more connect.
+
+    Sets meet in shared rare shingles. First each meets the head of its group,
+    one of HEADS by shingle; a group that this makes one component is done,
+    whatever its size. In the others all members of different components are
+    compared.
+    """
+    arcs = cut_lineage(arcs_of(nodes), "arcs")
+    turn = F.xxhash64("sid", F.pmod("token", F.lit(HEADS)))
+    busy = arcs.groupBy("token").agg(F.min(F.struct(turn.alias("turn"), "sid", "n")).alias("h"), F.count(F.lit(1)).alias("times")).filter("times > 1")
+    meet = cut_lineage(arcs.join(busy.select("token", F.col("h.sid").alias("head"), F.col("h.n").alias("hn")), "token"), "meet")
+    release(arcs)
+    ordered = (F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
+    stars = meet.filter(F.col("sid") != F.col("head")).filter(near_size("n", "hn")).select(F.col("sid").alias("a"), F.col("head").alias("b")).select(*ordered).distinct()
+    stars = cut_lineage(stars, "stars")
+    first = cut_lineage(compared(stars, nodes), "edges")
+    classes = cut_lineage(connected_components(first).withColumnRenamed("node", "sid"), "classes")
+    classed = meet.select("token", "sid", "n").join(small(classes), "sid", "left").withColumn("c", F.coalesce("component", "sid")).drop("component")
+    mixed = cut_lineage(classed.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("token"), "mixed")
+    open_ = cut_lineage(classed.join(mixed, "token"), "open")
+    release(meet)
+    a = open_.select("token", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
+    b = open_.select("token", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
+    rest = a.join(b, "token").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near_size("na", "nb")).select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
+    second = cut_lineage(compared(rest.join(stars, ["u", "v"], "left_anti"), nodes), "edges")
+    out = connected_components(first.union(second))
+    release(stars, first, classes, mixed, open_, second)
+    return out
 
 
 def similar_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(did, tkey, n, component): classes of documents of about 0.8 Jaccard or more on five-word shingles, n rows each.
+    """(did, tkey, n, component): classes of documents that chains of 0.8 Jaccard or more on five-word shingles connect, n rows each.
 
-    Candidates come from pigeonring links on any of TABLES fingerprints of
-    the words; the full check counts differing bits of the fingerprint of the
-    shingles. Texts of one sketch are one node, a group of copies of any size
-    is linked as a star. Null and empty texts are one class.
+    Candidates come from a prefix-filtered join that loses no pair, and every
+    edge is checked on the whole sets (of 64-bit hashes). Texts of one set are
+    one node. Null and empty texts are one class.
     """
 
-    @F.pandas_udf("struct<t:array<bigint>,wide:array<bigint>>")
-    def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("array<bigint>")
+    def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
-            rows = [sketch(x) for x in batch]
-            yield pd.DataFrame({"t": [list(a) for a, _ in rows], "wide": [list(b) for _, b in rows]})
-
-    rows = keyed(docs, doc_id, text).select("did", "tkey", of("text").alias("s")).select("did", "tkey", "s.*")
-    rows = cut_lineage(rows.withColumn("sid", F.xxhash64("t", "wide")), "sketches")
-    nodes = cut_lineage(rows.groupBy("sid").agg(F.any_value("t").alias("t"), F.any_value("wide").alias("wide")), "nodes")
-    held = nodes.select("sid", F.posexplode("t").alias("t", "fp"))
-    heads = cut_lineage(held.groupBy("t", "fp").agg(F.min("sid").alias("head"), F.max("sid").alias("last")), "heads")
-    stars = held.join(heads.filter("head < last"), ["t", "fp"]).filter("sid <> head").select(F.col("head").alias("u"), F.col("sid").alias("v"))
-    links = cut_lineage(link(heads.select("t", "fp")), "links")
-    u = heads.select("t", F.col("fp").alias("u"), F.col("head").alias("a"))
-    v = heads.select("t", F.col("fp").alias("v"), F.col("head").alias("b"))
-    across = links.join(u, ["t", "u"]).join(v, ["t", "v"]).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    pairs = stars.union(across.filter("u <> v").select(F.least("u", "v"), F.greatest("u", "v"))).distinct()
-    wide = lambda end: nodes.select(F.col("sid").alias(end), F.col("wide").alias(f"w{end}"))
-    apart = F.aggregate(F.zip_with("wu", "wv", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
-    edges = cut_lineage(pairs.join(wide("u"), "u").join(wide("v"), "v").filter(apart <= SIMILAR_BITS).select("u", "v"), "edges")
-    classes = connected_components(edges)
-    named = rows.groupBy("did", "tkey", "sid").agg(F.count(F.lit(1)).alias("n"))
+            yield pd.Series([shingles(x) for x in batch])
+
+    rows = keyed(docs, doc_id, text).select("did", "tkey", of("text").alias("set"))
+    rows = rows.select("did", "tkey", F.xxhash64("set").alias("sid"), F.size("set").alias("n"), "set", F.monotonically_increasing_id().alias("rid"))
+    rows = cut_lineage(rows, "sets")
+    owners = cut_lineage(rows.groupBy("sid").agg(F.min("rid").alias("rid")), "owners")
+    classes = similar_links(rows.select("rid", "n", "set").join(small(owners), "rid").select("sid", "n", "set"))
+    named = cut_lineage(rows.groupBy("did", "tkey", "sid").agg(F.count(F.lit(1)).alias("n")), "named")
+    release(rows, owners)
     return named.join(small(classes.withColumnRenamed("node", "sid")), "sid", "left").select("did", "tkey", "n", F.coalesce("component", "sid").alias("component"))
 
 
