@@ -45,3 +45,16 @@ def test_appended_cut_and_edited_copies(spark):
         edited = [f"x{dice.getrandbits(30):x}" if dice.random() < share / 10 else x for x in w]
         texts += [" ".join(x) for x in (w, w + words(dice, some), w[: len(w) - some], edited, words(dice, some) + w)]
     assert found(spark, texts) == classes(texts)
+
+
+def test_copies_meet_where_the_head_of_their_group_is_another_text(spark):
+    """Long texts over few words: all have one set of words, and each has one copy."""
+    dice, texts = random.Random(12), []
+    for g in range(12):
+        w = [str(dice.randrange(150)) for _ in range(2_000)]
+        at = dice.randrange(1_900)
+        texts += [" ".join(w), " ".join(w[:at] + [str(dice.randrange(150)) for _ in range(60)] + w[at + 60 :])]
+    # a passage that all share, so that all meet in its shingles as well
+    texts += [f"{' '.join(words(dice, 90))} {' '.join(str(k) for k in range(20))}" for _ in range(10)]
+    texts += [t + " end" for t in texts[-10:]]
+    assert found(spark, texts) == classes(texts)
