@@ -58,3 +58,12 @@ def test_copies_meet_where_the_head_of_their_group_is_another_text(spark):
     texts += [f"{' '.join(words(dice, 90))} {' '.join(str(k) for k in range(20))}" for _ in range(10)]
     texts += [t + " end" for t in texts[-10:]]
     assert found(spark, texts) == classes(texts)
+
+
+def test_only_pairs_of_the_threshold_are_joined(spark):
+    """Pairs a little over and a little under 0.8, each by itself."""
+    dice, texts = random.Random(13), []
+    for k in range(150):
+        w, more = words(dice, 204), 30 + k % 40  # 200 shingles of 200 + more: Jaccard from 0.87 down to 0.74
+        texts += [" ".join(w), " ".join(w + words(dice, more))]
+    assert found(spark, texts) == classes(texts)
