@@ -27,7 +27,7 @@ from stemtally.llm.components import connected_components
 from stemtally.llm.substring import NO_ID, keyed
 
 BITS, DISTANCE, SEGMENTS = 64, 2, 5
-HEADS = 4  # members of a group of similar sets that the others meet first
+HEADS, HEADED = 4, 3  # members of a group of similar sets that the others meet first, and the largest group without
 SAMPLE, FREQUENT = 2_000, 200_000  # sets that frequent shingles are taken from, and how many
 
 
@@ -172,9 +172,14 @@ def arcs_of(nodes: DataFrame) -> DataFrame:
 
 
 def compared(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose shingle sets have a Jaccard of 0.8 or more, counted in full."""
+    """The pairs (u, v) of a written table whose shingle sets have a Jaccard of 0.8 or more, counted in full.
+
+    Sets without a pair stay where they are.
+    """
     of = lambda end: nodes.select(F.col("sid").alias(end), F.col("n").alias(f"n{end}"), F.col("set").alias(f"s{end}"))
-    both = pairs.join(of("u"), "u").join(of("v"), "v")
+    left = of("u").join(small(pairs), "u")
+    right = of("v").join(small(pairs.select("v").distinct()), "v", "left_semi")
+    both = left.join(right, "v")
     return both.withColumn("common", F.size(F.array_intersect("su", "sv"))).filter(similar("nu", "nv", "common")).select("u", "v")
 
 
@@ -182,17 +187,19 @@ def similar_links(nodes: DataFrame) -> DataFrame:
     """(node, component) of the sets of ``nodes`` (sid, n, set) that chains of pairs of Jaccard 0.8 or more connect.
 
     Sets meet in shared rare shingles. First each meets the head of its group,
-    one of HEADS by shingle; a group that this makes one component is done,
-    whatever its size. In the others all members of different components are
-    compared.
+    one of HEADS by shingle, if it has more than HEADED members; a group that
+    this makes one component is done, whatever its size. In the others all
+    members of different components are compared that share enough of their
+    rare shingles: the rest of two sets has no more in common than
+    ceil(4n/5) - 1 of the larger.
     """
     arcs = cut_lineage(arcs_of(nodes), "arcs")
     turn = F.xxhash64("sid", F.pmod("token", F.lit(HEADS)))
     busy = arcs.groupBy("token").agg(F.min(F.struct(turn.alias("turn"), "sid", "n")).alias("h"), F.count(F.lit(1)).alias("times")).filter("times > 1")
-    meet = cut_lineage(arcs.join(busy.select("token", F.col("h.sid").alias("head"), F.col("h.n").alias("hn")), "token"), "meet")
+    meet = cut_lineage(arcs.join(busy.select("token", F.col("h.sid").alias("head"), F.col("h.n").alias("hn"), "times"), "token"), "meet")
     release(arcs)
     ordered = (F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
-    stars = meet.filter(F.col("sid") != F.col("head")).filter(near_size("n", "hn")).select(F.col("sid").alias("a"), F.col("head").alias("b")).select(*ordered).distinct()
+    stars = meet.filter((F.col("times") > HEADED) & (F.col("sid") != F.col("head"))).filter(near_size("n", "hn")).select(F.col("sid").alias("a"), F.col("head").alias("b")).select(*ordered).distinct()
     stars = cut_lineage(stars, "stars")
     first = cut_lineage(compared(stars, nodes), "edges")
     classes = cut_lineage(connected_components(first).withColumnRenamed("node", "sid"), "classes")
@@ -202,10 +209,15 @@ def similar_links(nodes: DataFrame) -> DataFrame:
     release(meet)
     a = open_.select("token", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
     b = open_.select("token", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    rest = a.join(b, "token").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near_size("na", "nb")).select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
-    second = cut_lineage(compared(rest.join(stars, ["u", "v"], "left_anti"), nodes), "edges")
+    rest = a.join(b, "token").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near_size("na", "nb"))
+    rest = rest.groupBy(F.col("a").alias("u"), F.col("b").alias("v"), "na", "nb").agg(F.count(F.lit(1)).alias("c"))
+    most = F.col("c") - 1 + F.ceil(4 * F.greatest("na", "nb") / 5)
+    rest = rest.filter(9 * most >= 4 * (F.col("na") + F.col("nb"))).select("u", "v")
+    rest = cut_lineage(rest.join(stars, ["u", "v"], "left_anti"), "rest")
+    release(open_)
+    second = cut_lineage(compared(rest, nodes), "edges")
     out = connected_components(first.union(second))
-    release(stars, first, classes, mixed, open_, second)
+    release(stars, rest, first, classes, mixed, second)
     return out
 
 
