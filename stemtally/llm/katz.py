@@ -229,7 +229,7 @@ class Model:
     ranges: int
 
 
-def fit(docs: DataFrame, min_count: int = 2, text: str = "text") -> Model:
+def fit(docs: DataFrame, min_count: int = 1, text: str = "text") -> Model:
     """Learn from the texts of ``docs``; null texts are empty and teach their end only. No rows give an all unknown model."""
     base = docs.select(whole(text).cast("binary").alias("text"), F.lit(0).cast("bigint").alias("d"))
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
