@@ -128,6 +128,53 @@ def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold("doc_id") == 1).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
 
 
+@query
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document, each proof folded again from the leaf as tampered with."""
+    from stemtally.llm import merkle
+
+    docs = table(spark, sf_dir, "documents")
+    first = ("doc_id", "source", "lang")
+    hit = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0) & F.col("n_chars").isNotNull()
+    rows = docs.select("doc_id", "lang", merkle.leaf(*first, "n_chars", "text").alias("leaf"), F.when(hit, merkle.leaf(*first, F.col("n_chars") + 1, "text")).alias("tampered"))
+    out = merkle.manifest(rows, F.col("leaf"), "lang", "doc_id", keep=["doc_id", "tampered"])
+    out = out.withColumn("folded_root", merkle.folded(F.coalesce("tampered", "merkle.leaf"), F.col("merkle.path")))
+    proof = F.sha2(merkle.siblings(F.col("merkle.path")).cast("binary"), 256)
+    return out.select("doc_id", "merkle.leaf", "merkle.subroot", "merkle.root", proof.alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("merkle.root")).alias("verified"))
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(map(_field, ("doc_id", "source", "lang", n_chars, "text"))) + ")"
+
+
+# Levels as lists, halved by recursion; crc32 bit by bit.
+ORACLES["op13_merkle"] = f"""
+WITH RECURSIVE d AS (SELECT doc_id, lang, {_leaf("n_chars")} AS leaf, {_leaf("n_chars + 1")} AS other,
+        xor(list_reduce(list_transform(range(1, len(CAST(doc_id AS VARCHAR)) + 1), lambda i: CAST(ascii(CAST(doc_id AS VARCHAR)[i]) AS BIGINT)),
+            lambda c, b: list_reduce(range(0, 8), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(c, b)), CAST(4294967295 AS BIGINT)), 4294967295) AS crc
+    FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d),
+up(lang, k, h) AS (SELECT lang, 0, list(leaf ORDER BY pos) FROM r GROUP BY lang
+    UNION ALL SELECT lang, k + 1, list_transform(range(0, len(h), 2), lambda i: sha256(h[i + 1] || coalesce(h[i + 2], ''))) FROM up WHERE len(h) > 1),
+subs AS (SELECT lang, h[1] AS subroot, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS pos FROM up WHERE len(h) = 1),
+top(k, h) AS (SELECT 0, list(subroot ORDER BY pos) FROM subs
+    UNION ALL SELECT k + 1, list_transform(range(0, len(h), 2), lambda i: sha256(h[i + 1] || coalesce(h[i + 2], ''))) FROM top WHERE len(h) > 1),
+levels AS (SELECT lang, k, h FROM up WHERE len(h) > 1 UNION ALL SELECT lang, 1000 + k, h FROM subs, top WHERE len(h) > 1),
+steps AS (SELECT r.doc_id, r.lang, r.pos, list(CASE WHEN p % 2 = 1 THEN 'L' ELSE 'R' END || coalesce(h[CAST(xor(p, 1) + 1 AS BIGINT)], '') ORDER BY l.k) AS path
+    FROM r JOIN subs s ON r.lang IS NOT DISTINCT FROM s.lang JOIN levels l ON l.lang IS NOT DISTINCT FROM r.lang,
+    LATERAL (SELECT CASE WHEN l.k < 1000 THEN r.pos >> CAST(l.k AS BIGINT) ELSE s.pos >> CAST(l.k - 1000 AS BIGINT) END AS p) GROUP BY ALL),
+f AS (SELECT r.doc_id, r.leaf, s.subroot, (SELECT h[1] FROM top WHERE len(h) = 1) AS root, coalesce(path, []) AS path, CASE WHEN r.crc % 7 = 0 THEN other ELSE r.leaf END AS start
+    FROM r JOIN subs s ON r.lang IS NOT DISTINCT FROM s.lang
+    LEFT JOIN steps t ON t.pos = r.pos AND t.lang IS NOT DISTINCT FROM r.lang),
+g AS (SELECT *, list_reduce(path, lambda a, x: sha256(CASE WHEN x[1] = 'L' THEN x[2:] || a ELSE a || x[2:] END), start) AS folded_root FROM f)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(path, lambda x: x[2:]), '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM g
+"""
+
+
 @query
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, mixed by weights 5, 2, 1."""
