@@ -51,6 +51,13 @@ def release(*stages: DataFrame) -> None:
             p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
+def written_bytes(df: DataFrame) -> int:
+    """Bytes of the files of a table written by :func:`cut_lineage`."""
+    spark = df.sparkSession
+    p = spark._jvm.org.apache.hadoop.fs.Path(df._stage_path)
+    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getContentSummary(p).getLength()
+
+
 def keep_lazy(df: DataFrame, name: str = "stage", by: Sequence[str] = ()) -> DataFrame:
     """Drop-in for :func:`cut_lineage` where the plan is short enough to stay whole."""
     return df
