@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stemtally.functions.lineage import cut_lineage, written_bytes
+
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -14,8 +16,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Rows of texts in one Arrow batch at most, where the session leaves Spark's default.
 TEXTS_PER_BATCH = 1_000
 
-# Rows of a narrow table (ids, keys, a few numbers) that are sent to every task at most.
-BROADCAST_ROWS = 1_000_000
+# Bytes of a table, as Spark estimates them, that a count may be taken of and that is sent to every task at most.
+BROADCAST_BYTES = 32_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,9 +63,23 @@ def row_key(doc_id: str, text: str) -> Column:
     return F.unhex(F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("-")), F.lit("\x00"), whole(text))))
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast if a count proves that the table has few rows; else leave it to a shuffled join, which AQE splits where a key is hot."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def carried(docs: DataFrame, *without: str) -> Column:
+    """All columns but ``without`` as one struct ``row``: names of theirs and of an operator's own columns never meet.
+
+    The rule of all operators: a result column replaces a given one of its name, every other column is kept.
+    """
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in without]
+    return (F.struct(*kept) if kept else F.struct(F.lit(None).alias("none"))).alias("row")
+
+
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast of a written table if its files are small; else leave it to a shuffled join, which AQE splits where a key is hot.
+
+    The files' bytes, five times for what compression saved, bound what is
+    sent; a frame that is no written table is written first.
+    """
+    df = df if hasattr(df, "_stage_path") else cut_lineage(df, "narrow")
+    return F.broadcast(df) if 5 * written_bytes(df) <= limit else df
 
 
 Registered = dict[str, Callable[[SparkSession, str], DataFrame]]

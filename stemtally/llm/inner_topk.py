@@ -145,7 +145,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, vec_id: str = "vec_i
     blocks = cut_lineage(packed(rows, ROWS), "blocks")
     release(rows)
     groups, shards = [r.block for r in asked.select("block").collect()], max(blocks.count(), 1)  # a number for each QUERIES queries
-    stored = blocks.withColumn("s", F.pmod(F.xxhash64("block"), F.lit(shards))).withColumn("g", F.explode(F.array(*map(F.lit, groups)) if groups else F.array().cast("array<bigint>")))
+    stored = blocks.withColumn("s", F.pmod(F.xxhash64("block"), F.lit(shards))).withColumn("g", F.explode(F.array(*map(F.lit, groups)).cast("array<bigint>")))  # keys of one type, as their hashes differ else
     stored = stored.groupBy("g", "s")
 
     def grid(side: DataFrame):

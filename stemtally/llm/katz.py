@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stemtally.functions.lineage import cut_lineage, release
-from stemtally.llm.common import whole
+from stemtally.llm.common import carried, whole
 
 BLOCK = 600_000  # tokens packed at a time, unless one text has more
 RANGE_BYTES = 16_000_000  # text per hash range
@@ -271,7 +271,8 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     """``docs`` without the text, with ``n_tokens``, ``n_known``, ``base_score`` and ``score`` (log10).
 
     An empty or null text is its end alone. Rows are told apart by a 64-bit
-    hash of id and text; identical rows get identical scores.
+    hash of id and text; identical rows get identical scores. Given columns of these
+    names are replaced.
     """
     spark, ranges, n, v = docs.sparkSession, model.ranges, model.tokens, model.distinct
     floor = max(n // HEAD + 1, 1)
@@ -371,5 +372,5 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     each = parts.groupBy("block").applyInPandas(gather, "_d bigint, n_tokens bigint, n_known bigint, base_score double, score double")
     # identical rows of different blocks have equal scores
     scored = each.groupBy("_d").agg(*[F.min(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
-    keep = [c for c in docs.columns if c != text]
-    return docs.select(*keep, d.alias("_d")).join(scored, "_d").drop("_d")
+    results = scored.columns[1:]
+    return docs.select(carried(docs, text, *results), d.alias("_d")).join(scored, "_d").select("row.*", *results)

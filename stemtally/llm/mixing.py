@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stemtally.functions.lineage import cut_lineage
-from stemtally.llm.common import n_words, small, whole
+from stemtally.llm.common import carried, n_words, small, whole
 from stemtally.operators.spine import surrogate_rank
 
 
@@ -67,19 +67,18 @@ def mixture(
 
     copies = floor(rate) plus one where the row's draw is below the fraction.
     Null texts have size 0; null sources are one source; null ids draw by
-    their text; other columns pass through. Reruns agree.
+    their text; other columns pass through, a given ``mix`` is replaced. Reruns
+    agree.
     """
     rates = source_rates(docs, weights, max_repeats, text, source)
-    facts = rates.select(F.col("source").alias("_mix_source"), F.struct("source_size", "target", "rate").alias("_mix"))
-    joined = docs.withColumn("_mix_size", n_words(F.col(text))).join(small(facts, 100_000), F.col(source).eqNullSafe(F.col("_mix_source")), "left")
-    rate = F.col("_mix.rate")
-    copies = F.floor(rate) + (draw(seed, doc_id, text) < rate - F.floor(rate)).cast("long")
-    return joined.select(
-        *[docs[c] for c in docs.columns],
-        F.struct(F.col("_mix_size").alias("size"), F.col("_mix.source_size"), F.col("_mix.target"), rate.alias("rate"), copies.alias("copies")).alias("mix"),
-    )
+    facts = rates.select(F.col("source").alias("_source"), F.struct("source_size", "target", "rate").alias("facts"))
+    sized = docs.select(carried(docs, "mix"), n_words(F.col(text)).alias("size"), F.col(source).alias("source"), draw(seed, doc_id, text).alias("draw"))
+    joined = sized.join(small(facts), F.col("source").eqNullSafe(F.col("_source")), "left")
+    rate = F.col("facts.rate")
+    copies = F.floor(rate) + (F.col("draw") < rate - F.floor(rate)).cast("long")
+    return joined.select("row.*", F.struct("size", "facts.source_size", "facts.target", rate.alias("rate"), copies.alias("copies")).alias("mix"))
 
 
 def emit(mixed: DataFrame) -> DataFrame:
-    """The mix itself: each row ``copies`` times, numbered from 1 in ``copy``."""
-    return mixed.filter("mix.copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix.copies")))).drop("mix")
+    """The mix itself: each row ``copies`` times, numbered from 1 in ``copy``, which replaces a given column of that name."""
+    return mixed.drop("copy").filter("mix.copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix.copies")))).drop("mix")

@@ -5,7 +5,9 @@ of a host, in order of their path, are neighbours; the lines of a page are
 aligned with those of its nearer neighbour by longest common subsequence, and
 lines on both pages are deleted unless they stand in a marked article. Lines
 in navigation, headers, footers, asides, forms, notices, adverts or comments
-are deleted always; where a page marks its article, nothing else is kept.
+are deleted always. Where a page marks its article, or its main part, nothing
+outside is kept; in the main part around an article, and in blocks of an
+article whose class only sounds like boilerplate, the comparison decides.
 
 Only line hashes travel to the neighbours. The order is cut into runs of
 bounded length that overlap by one page, so a host may hold any share of the
@@ -26,13 +28,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from stemtally.functions.lineage import cut_lineage
-from stemtally.llm.common import small, whole
+from stemtally.llm.common import carried, small, whole
 from stemtally.llm.url_filter import host_path
 
 RUN = 64  # pages compared in one task group
 
 # Element names by role.
-RAW = "script style noscript template svg math iframe object canvas textarea select title".split()
+RAW = "script style noscript template svg iframe object canvas textarea select title".split()
 BLOCK = (
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html "
     "li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul"
@@ -50,39 +52,45 @@ ROLE_OUT = re.compile(r"(?i)^(?:navigation|banner|contentinfo|complementary|sear
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"(?is)\b(class|id|role|itemprop|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
-ARTICLE, NEUTRAL = 1, 0
+# What a class must be, not only contain, to end a block inside a marked article.
+SURE = re.compile(r"(?i)ads?|advert(?:s|isement|ising)?|sponsor(?:ed)?|cookies?|consent|gdpr|newsletter|subscribe|nav(?:bar|igation)?|menu|comments?|replies|respond|disqus|login|signup|pagination|pager")
+
+ARTICLE, MAYBE, NEUTRAL = 2, 1, 0
+DROP, DOUBT, PLAIN, WRAPPER, WHOLE = -2, -1, 0, 1, 2
 
 
 def _verdict(name: str, attributes: str, inside: bool) -> int:
-    """-1: this element is not content; 1: it is the article; 0: neither."""
-    out = -1 if name in OUT and not (name == "header" and inside) else 1 if name in MAIN else 0
+    """DROP: not content; DOUBT: sounds so, inside an article; WHOLE: the article; WRAPPER: what holds it; PLAIN: none of these."""
+    out = DROP if name in OUT and not (name == "header" and inside) else WHOLE if name == "article" else WRAPPER if name == "main" else PLAIN
     for k, *v in ATTRIBUTE.findall(attributes):
         k, v = k.lower(), next(filter(None, v), "")
         if k in ("class", "id") and out >= 0:
             if any(BOILERPLATE.search(c) for c in v.split()):
-                out = -1 if name not in MAIN and name != "body" else out
+                sure = not inside or any(SURE.fullmatch(c) for c in v.split())
+                out = out if name in MAIN or name == "body" else DROP if sure else DOUBT
             elif CONTENT.search(v):
-                out = 1
+                out = max(out, WRAPPER)
         elif k == "itemprop" and v.lower() == "articlebody":
-            out = 1
+            out = WHOLE
         elif (k == "role" and ROLE_OUT.match(v)) or (k == "aria-hidden" and v.lower() == "true") or k == "hidden":
-            out = -1
+            out = DROP
         elif k == "role" and v.lower() in ("main", "article") and out >= 0:
-            out = 1
+            out = max(out, WHOLE if v.lower() == "article" else WRAPPER)
     return out
 
 
 def lines(page: str) -> list[tuple[str, int]]:
-    """(text, ARTICLE or NEUTRAL) of every block that may be content, in page order; markup need not be closed."""
+    """(text, ARTICLE, MAYBE or NEUTRAL) of every block that may be content, in page order; markup need not be closed."""
     out: list[tuple[str, int]] = []
-    states, depth = [(0, 0)], []  # (articles around, boilerplate around), and the names of the elements around
+    states, depth = [(0, 0, 0, 0)], []  # (articles, wrappers, doubts, boilerplate) around, and the names of the elements around
     words: list[str] = []
 
     def flush() -> None:
         text = " ".join(entities.unescape("".join(words)).split())
         words.clear()
-        if text and not states[-1][1]:
-            out.append((text, ARTICLE if states[-1][0] else NEUTRAL))
+        whole_, wrapper, doubt, drop = states[-1]
+        if text and not drop:
+            out.append((text, MAYBE if doubt or (wrapper and not whole_) else ARTICLE if whole_ else NEUTRAL))
 
     at, end = 0, len(page)
     while at < end:
@@ -120,12 +128,12 @@ def lines(page: str) -> list[tuple[str, int]]:
                 if name in ("a", "span", "label") and not m[3]:
                     continue
                 v = _verdict(name, m[3], states[-1][0] > 0)
-                a, b = states[-1]
-                if v < 0 and name in ("a", "span", "label"):
+                a, b, c, d = states[-1]
+                if v == DROP and name in ("a", "span", "label"):
                     flush()
                 if name in BLOCK or name == "button" or v:
                     depth.append(name)
-                    states.append((a + (v > 0), b + (v < 0)))
+                    states.append((a + (v == WHOLE), b + (v == WRAPPER), c + (v == DOUBT), d + (v == DROP)))
     flush()
     return out
 
@@ -183,7 +191,7 @@ def shared_lines(pages: DataFrame) -> DataFrame:
         return pd.Series([[xxhash.xxh3_64_intdigest(t) - (1 << 63) for t, _ in lines(p)] for p in page], dtype="object")
 
     n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    narrow = pages.select("key", "host", "path", hashes("page").alias("h"))
+    narrow = cut_lineage(pages.select("key", "host", "path", hashes("page").alias("h")), "lines")  # parsed once, as ranges are sampled first
     ranged = narrow.repartitionByRange(n, "host", "path", "key").sortWithinPartitions("host", "path", "key")
     ranged = cut_lineage(ranged.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("row")), "ordered")
     sizes = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
@@ -215,12 +223,13 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
     """``pages`` without the html, with ``text``: the lines left, joined by line breaks.
 
     Null and empty pages have an empty text. Equal rows are one page. Pages
-    without ``://`` in their url are neighbours of each other.
+    without ``://`` in their url are neighbours of each other. A given column
+    ``text`` is replaced, no other name matters.
     """
     host, path = host_path(F.col(url))
     key = F.unhex(F.md5(F.concat_ws("\x00", F.coalesce(F.col(page_id).cast("string"), F.lit("-")), whole(url), whole(html))))
     base = pages.select(key.alias("key"), host.alias("host"), path.alias("path"), whole(html).alias("page"))
-    shared = cut_lineage(shared_lines(base), "shared").groupBy(F.col("key").alias("_key")).agg(F.first("shared").alias("_shared"))
+    shared = cut_lineage(shared_lines(base), "shared").groupBy("key").agg(F.first("shared").alias("shared"))
 
     @F.pandas_udf("string")
     def text(page: pd.Series, shared: pd.Series) -> pd.Series:
@@ -228,10 +237,9 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
         for p, gone in zip(page, shared, strict=True):
             found = lines(p)
             gone = set() if gone is None else set(gone)
-            article = any(region == ARTICLE for _, region in found)
-            out.append("\n".join(t for k, (t, region) in enumerate(found) if (region == ARTICLE if article else k not in gone)))
+            best = max((region for _, region in found), default=NEUTRAL)
+            out.append("\n".join(t for k, (t, region) in enumerate(found) if region == ARTICLE or (k not in gone and (region == MAYBE or best == NEUTRAL))))
         return pd.Series(out, dtype="object")
 
-    kept = [c for c in pages.columns if c != html]
-    joined = pages.withColumn("_key", key).join(small(shared), "_key", "left")
-    return joined.select(*kept, text(whole(html), F.col("_shared")).alias("text"))
+    joined = pages.select(carried(pages, html, "text"), whole(html).alias("page"), key.alias("key")).join(small(shared), "key", "left")
+    return joined.select("row.*", text("page", "shared").alias("text"))

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stemtally.llm.common import let, small, whole, words
+from stemtally.llm.common import carried, let, small, whole, words
 
 BUCKETS = 10_000
 SYMBOLS = "#*$%&|<>"  # fixed by the rule
@@ -50,15 +50,16 @@ def base_rules(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with a struct ``rules``: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed.
 
     Null and empty texts count nothing and fail for having under ten words.
-    A text of any length is one row; the work in it is that of a sort.
+    A text of any length is one row; the work in it is that of a sort. A given
+    column ``rules`` is replaced, no other name matters.
     """
     t = whole(text)
-    lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     counts = let(words(t), lambda w: F.struct(F.size(w).cast("long").alias("n"), _repeated(w).cast("long").alias("r")))
-    df = docs.select("*", counts.alias("_n"))
-    n, repeat = F.col("_n.n"), F.col("_n.r")
+    df = docs.select(carried(docs, "rules"), t.alias("t"), counts.alias("n"))
+    t, n, repeat = F.col("t"), F.col("n.n"), F.col("n.r")
+    lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     return df.select(
-        *docs.columns,
+        "row.*",
         F.struct(
             n.alias("n_words"),
             F.length(F.translate(t, " \t\n\x0b\f\r", "")).cast("long").alias("word_chars"),
@@ -90,8 +91,8 @@ def bucket_ratios(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", t
     sees ``buckets`` numbers whatever the corpus.
     """
     ids = trusted.select(F.col(doc_id).alias("_id")).filter("_id is not null").distinct().withColumn("_t", F.lit(1))
-    grams = docs.select(doc_id, _grams(text, buckets).alias("_g"))
-    flagged = grams.join(small(ids), F.col(doc_id) == F.col("_id"), "left").select("_t", F.explode("_g").alias("b"))
+    grams = docs.select(F.col(doc_id).alias("_doc"), _grams(text, buckets).alias("_g"))
+    flagged = grams.join(small(ids), F.col("_doc") == F.col("_id"), "left").select("_t", F.explode("_g").alias("b"))
     seen = {r.b: (r.raw, r.good) for r in flagged.groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.count("_t").alias("good")).collect()}
     raw, good = sum(x for x, _ in seen.values()) + buckets, sum(x for _, x in seen.values()) + buckets
     ratios = [math.log((seen[b][1] + 1) / good) - math.log((seen[b][0] + 1) / raw) if b in seen else math.log(raw / good) for b in range(buckets)]
@@ -104,8 +105,10 @@ def quality(
     """``docs`` with ``rules``, ``llr`` (mean log ratio per n-gram; 0 without words) and ``kept``.
 
     kept is false where the base rules fail, else llr >= threshold: the same
-    verdict on every run, for every document.
+    verdict on every run, for every document. Given columns of these names are
+    replaced.
     """
+    docs = docs.drop(*{"rules", "llr", "kept"} - {doc_id, text})
     ratios = bucket_ratios(docs, trusted, doc_id, text, buckets)
     mean = let(_grams(text, buckets), lambda g: F.aggregate(g, F.lit(0.0), lambda a, x: a + F.get(ratios, x)) / F.nullif(F.size(g), F.lit(0)))
     df = base_rules(docs, text).select("*", F.coalesce(mean, F.lit(0.0)).alias("llr"))

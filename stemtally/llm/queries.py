@@ -36,9 +36,9 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its personal data replaced."""
-    from stemtally.llm.surrogates import replace
+    from stemtally.llm.surrogates import replace, session_key
 
-    return replace(table(spark, sf_dir, "documents"))
+    return replace(table(spark, sf_dir, "documents"), session_key(spark))
 
 
 URL_RULES = [

@@ -22,13 +22,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stemtally.functions.lineage import cut_lineage, release
-from stemtally.llm.common import small, whole
+from stemtally.llm.common import carried, small, whole
 from stemtally.llm.components import connected_components
 from stemtally.llm.substring import NO_ID, keyed
 
 BITS, DISTANCE, SEGMENTS = 64, 2, 5
-HEADS, HEADED = 4, 3  # members of a group of similar sets that the others meet first, and the largest group without
-SAMPLE, FREQUENT = 2_000, 200_000  # sets that frequent shingles are taken from, and how many
 
 
 def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
@@ -105,150 +103,50 @@ def link(fps: DataFrame, segments: int = SEGMENTS) -> DataFrame:
     return pairs.filter(within_chain(apart, segments)).filter(F.bit_count(apart) <= DISTANCE)
 
 
+def components_of(fps: DataFrame, segments: int = SEGMENTS) -> DataFrame:
+    """(fp, component), written, for every distinct fingerprint of a written table ``fps`` (fp)."""
+    edges = cut_lineage(link(fps.select(F.lit(0).alias("t"), "fp"), segments).select("u", "v"), "links")
+    nodes = connected_components(edges)
+    out = cut_lineage(fps.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").select(*fps.columns, F.coalesce("component", "fp").alias("component")), "components")
+    release(edges)
+    return out
+
+
 def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, segments: int = SEGMENTS) -> DataFrame:
     """``docs`` without the text, with ``fp`` and ``component_id``.
 
     component_id is the smallest id reachable over links of at most two
     differing bits, the row's own included; ids that are null are passed over
     and a class of null ids only has null. Equal fingerprints are one node,
-    whatever their number; empty texts share the fingerprint 0.
+    whatever their number; empty texts share the fingerprint 0. Given columns
+    of these two names are replaced; no other name matters.
     """
-    rows = cut_lineage(fingerprints(docs, text, width), "fingerprints")
-    fps = cut_lineage(rows.groupBy("fp").agg(F.min(doc_id).alias("first")), "distinct")
-    edges = cut_lineage(link(fps.select(F.lit(0).alias("t"), "fp"), segments).select("u", "v"), "links")
-    nodes = connected_components(edges)
-    release(edges)
-    classed = fps.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+    rows = docs.select(carried(docs, text, "fp", "component_id"), F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    rows = cut_lineage(fingerprints(rows, width=width), "fingerprints")
+    fps = cut_lineage(rows.groupBy("fp").agg(F.min("id").alias("first")), "distinct")
+    classed = components_of(fps, segments)
     least = classed.groupBy("component").agg(F.min("first").alias("component_id"))
     of = cut_lineage(classed.join(least, "component").select("fp", "component_id"), "classes")
-    return rows.join(small(of), "fp")
-
-
-def shingles(text: bytes, width: int = 5) -> np.ndarray:
-    """Sorted 64-bit hashes of the set of shingles; a text of fewer words is one shingle."""
-    w = text.lower().split()
-    of = {b" ".join(w)} if len(w) < width else {b" ".join(s) for s in zip(*(w[k:] for k in range(width)), strict=False)}
-    return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, of), np.uint64, len(of))).view(np.int64)
-
+    release(fps, classed)
+    return rows.join(small(of), "fp").select("row.*", "fp", "component_id")
 
-def similar(u: str, v: str, common: str) -> Column:
-    """Jaccard of 0.8 or more from the sizes of two sets and of what they share, in whole numbers."""
-    return 9 * F.col(common) >= 4 * (F.col(u) + F.col(v))
 
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, segments: int = SEGMENTS) -> DataFrame:
+    """``docs`` with one row of each class of :func:`near_classes`: that of the smallest id, null ids last.
 
-def near_size(u: str, v: str) -> Column:
-    """Sets of other sizes cannot be similar."""
-    return 5 * F.least(u, v) >= 4 * F.greatest(u, v)
-
-
-def arcs_of(nodes: DataFrame) -> DataFrame:
-    """(token, sid, n): the rarest shingles of each set, so many that two similar sets share one of them.
-
-    Similar sets share 4/5 of each of them at least, so in any common order
-    the first n - ceil(4n/5) + 1 shingles of the two have one in common. The
-    order puts what is frequent in a sample last; it decides on the size of
-    the groups, never on what is found.
-    """
-    held = nodes.agg(F.count(F.lit(1))).first()[0]
-    sample = nodes.filter(F.pmod(F.xxhash64("sid"), F.lit(held // SAMPLE + 1)) == 0).select(F.explode("set").alias("token"))
-    often = sample.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 2").orderBy(F.desc("n"), "token").limit(FREQUENT).toPandas().sort_values("token")
-    shared = nodes.sparkSession.sparkContext.broadcast((often["token"].to_numpy(np.int64), often["n"].to_numpy(np.int64)))
-
-    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, times = shared.value
-        for pdf in batches:
-            parts = []
-            for x in pdf["set"]:
-                rank = np.zeros(len(x), np.int64)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, x), len(known) - 1)
-                    rank = np.where(known[at] == x, times[at], 0)
-                parts.append(np.asarray(x)[np.lexsort((x, rank))[: len(x) - -(-4 * len(x) // 5) + 1]])
-            if parts:
-                sizes = [len(x) for x in parts]
-                yield pd.DataFrame({"token": np.concatenate(parts), "sid": np.repeat(pdf["sid"].to_numpy(), sizes), "n": np.repeat(pdf["n"].to_numpy(), sizes)})
-
-    return nodes.select("sid", "n", "set").mapInPandas(prefixes, "token bigint, sid bigint, n int")
-
-
-def compared(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (u, v) of a written table whose shingle sets have a Jaccard of 0.8 or more, counted in full.
-
-    Sets without a pair stay where they are.
-    """
-    of = lambda end: nodes.select(F.col("sid").alias(end), F.col("n").alias(f"n{end}"), F.col("set").alias(f"s{end}"))
-    left = of("u").join(small(pairs), "u")
-    right = of("v").join(small(pairs.select("v").distinct()), "v", "left_semi")
-    both = left.join(right, "v")
-    return both.withColumn("common", F.size(F.array_intersect("su", "sv"))).filter(similar("nu", "nv", "common")).select("u", "v")
-
-
-def similar_links(nodes: DataFrame) -> DataFrame:
-    """(node, component) of the sets of ``nodes`` (sid, n, set) that chains of pairs of Jaccard 0.8 or more connect.
-
-    Sets meet in shared rare shingles. First each meets the head of its group,
-    one of HEADS by shingle, if it has more than HEADED members; a group that
-    this makes one component is done, whatever its size. In the others all
-    members of different components are compared that share enough of their
-    rare shingles: the rest of two sets has no more in common than
-    ceil(4n/5) - 1 of the larger.
-    """
-    arcs = cut_lineage(arcs_of(nodes), "arcs")
-    turn = F.xxhash64("sid", F.pmod("token", F.lit(HEADS)))
-    busy = arcs.groupBy("token").agg(F.min(F.struct(turn.alias("turn"), "sid", "n")).alias("h"), F.count(F.lit(1)).alias("times")).filter("times > 1")
-    meet = cut_lineage(arcs.join(busy.select("token", F.col("h.sid").alias("head"), F.col("h.n").alias("hn"), "times"), "token"), "meet")
-    release(arcs)
-    ordered = (F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
-    stars = meet.filter((F.col("times") > HEADED) & (F.col("sid") != F.col("head"))).filter(near_size("n", "hn")).select(F.col("sid").alias("a"), F.col("head").alias("b")).select(*ordered).distinct()
-    stars = cut_lineage(stars, "stars")
-    first = cut_lineage(compared(stars, nodes), "edges")
-    classes = cut_lineage(connected_components(first).withColumnRenamed("node", "sid"), "classes")
-    classed = meet.select("token", "sid", "n").join(small(classes), "sid", "left").withColumn("c", F.coalesce("component", "sid")).drop("component")
-    mixed = cut_lineage(classed.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("token"), "mixed")
-    open_ = cut_lineage(classed.join(mixed, "token"), "open")
-    release(meet)
-    a = open_.select("token", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-    b = open_.select("token", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    rest = a.join(b, "token").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near_size("na", "nb"))
-    rest = rest.groupBy(F.col("a").alias("u"), F.col("b").alias("v"), "na", "nb").agg(F.count(F.lit(1)).alias("c"))
-    most = F.col("c") - 1 + F.ceil(4 * F.greatest("na", "nb") / 5)
-    rest = rest.filter(9 * most >= 4 * (F.col("na") + F.col("nb"))).select("u", "v")
-    rest = cut_lineage(rest.join(stars, ["u", "v"], "left_anti"), "rest")
-    release(open_)
-    second = cut_lineage(compared(rest, nodes), "edges")
-    out = connected_components(first.union(second))
-    release(stars, rest, first, classes, mixed, second)
-    return out
-
-
-def similar_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(did, tkey, n, component): classes of documents that chains of 0.8 Jaccard or more on five-word shingles connect, n rows each.
-
-    Candidates come from a prefix-filtered join that loses no pair, and every
-    edge is checked on the whole sets (of 64-bit hashes). Texts of one set are
-    one node. Null and empty texts are one class.
+    Of rows with that id and differing texts one stays, of rows equal in id
+    and text likewise. All columns are kept, whatever their names.
     """
-
-    @F.pandas_udf("array<bigint>")
-    def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in texts:
-            yield pd.Series([shingles(x) for x in batch])
-
-    rows = keyed(docs, doc_id, text).select("did", "tkey", of("text").alias("set"))
-    rows = rows.select("did", "tkey", F.xxhash64("set").alias("sid"), F.size("set").alias("n"), "set", F.monotonically_increasing_id().alias("rid"))
-    rows = cut_lineage(rows, "sets")
-    owners = cut_lineage(rows.groupBy("sid").agg(F.min("rid").alias("rid")), "owners")
-    classes = similar_links(rows.select("rid", "n", "set").join(small(owners), "rid").select("sid", "n", "set"))
-    named = cut_lineage(rows.groupBy("did", "tkey", "sid").agg(F.count(F.lit(1)).alias("n")), "named")
-    release(rows, owners)
-    return named.join(small(classes.withColumnRenamed("node", "sid")), "sid", "left").select("did", "tkey", "n", F.coalesce("component", "sid").alias("component"))
-
-
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each class: that of the smallest id, null ids last; of identical rows one."""
-    kept = similar_classes(docs, doc_id, text).groupBy("component").agg(F.min(F.struct("did", "tkey", "n")).alias("k"))
-    kept = cut_lineage(kept.select(F.col("k.did").alias("_did"), F.col("k.tkey").alias("_tkey"), F.col("k.n").alias("_n")), "kept")
+    prints = fingerprints(keyed(docs, doc_id, text), width=width)
+    named = cut_lineage(prints.groupBy("did", "tkey", "fp").agg(F.count(F.lit(1)).alias("n")), "named")
+    fps = cut_lineage(named.select("fp").distinct(), "distinct")
+    classed = cut_lineage(named.join(components_of(fps, segments), "fp"), "classed")
+    kept = classed.groupBy("component").agg(F.min(F.struct("did", "tkey", "n")).alias("k"))
+    others = classed.join(kept, "component").filter((F.col("did") != F.col("k.did")) | (F.col("tkey") != F.col("k.tkey")))
+    others = cut_lineage(others.select("did", "tkey"), "others")
+    again = cut_lineage(classed.filter("n > 1").select("did", "tkey", F.lit(True).alias("again")), "again")
+    release(named, fps)
     did, tkey = F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID)), F.xxhash64(whole(text))
-    found = docs.withColumn("_did", did).withColumn("_tkey", tkey).join(small(kept), ["_did", "_tkey"])
-    once = found.filter("_n = 1").union(found.filter("_n > 1").dropDuplicates(["_did", "_tkey"]))
-    return once.select(*docs.columns)
+    rows = docs.select(carried(docs), did.alias("did"), tkey.alias("tkey")).join(small(others), ["did", "tkey"], "left_anti").join(small(again), ["did", "tkey"], "left")
+    once = rows.filter("again").groupBy("did", "tkey").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return rows.filter("again is null").select("row.*").union(once.select("row.*"))

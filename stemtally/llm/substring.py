@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stemtally.functions.lineage import cut_lineage
-from stemtally.llm.common import whole
+from stemtally.llm.common import carried, whole
 
 LENGTH, SEED = 50, 10
 BATCH_WORDS = 300_000  # words hashed at a time, unless one text has more
@@ -177,9 +177,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """``docs`` with a struct ``dedup``: n_words, n_removed, kept (the words left, joined by one space).
 
     Null and empty texts have no words; texts under ``length`` words, and
-    texts of which nothing repeats, keep all.
+    texts of which nothing repeats, keep all. A given column ``dedup`` is
+    replaced, no other name matters.
     """
-    spans = repeats(docs, doc_id, text, length, seed).distinct().groupBy("did", "tkey").agg(F.collect_list(F.struct("start", "stop")).alias("_spans"))
+    spans = repeats(docs, doc_id, text, length, seed).distinct().groupBy("did", "tkey").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
     @F.pandas_udf("struct<n_words:bigint,n_removed:bigint,kept:string>")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
@@ -198,8 +199,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return pd.DataFrame(out, columns=["n_words", "n_removed", "kept"])
 
     did, tkey = _names(doc_id, text)
-    joined = docs.withColumn("_did", did).withColumn("_tkey", tkey).join(spans.withColumnsRenamed({"did": "_did", "tkey": "_tkey"}), ["_did", "_tkey"], "left")
-    return joined.select(*[F.col(c) for c in docs.columns], cut(whole(text).cast("binary"), F.col("_spans")).alias("dedup"))
+    rows = docs.select(carried(docs, "dedup"), did.alias("did"), tkey.alias("tkey"), whole(text).cast("binary").alias("text"))
+    return rows.join(spans, ["did", "tkey"], "left").select("row.*", cut("text", "spans").alias("dedup"))
 
 
 def _names(doc_id: str, text: str) -> tuple[Column, Column]:

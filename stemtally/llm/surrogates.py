@@ -15,11 +15,11 @@ from collections.abc import Iterator
 from hashlib import sha256
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stemtally.functions.lineage import cut_lineage, release
-from stemtally.llm.common import small, whole
+from stemtally.llm.common import carried, small, whole
 from stemtally.llm.substring import NO_ID, keyed
 
 # Given names by gender, for Latin and Cyrillic script, and titles by gender.
@@ -30,12 +30,15 @@ GIVEN = {
     ("m", "cyrillic"): "Иван Пётр Сергей Алексей Дмитрий Николай Андрей Михаил Павел Юрий".split(),
 }
 TITLES = {"f": "Mrs Ms Miss Madame Mme Mlle Frau Señora Sra Doña".split(), "m": "Mr Monsieur Herr Señor Sr Don".split(), "": "Dr Prof".split()}
+GIVEN_NAMES = {n.lower() for names in GIVEN.values() for n in names}
 GENDER = {n.lower(): g for (g, _), names in GIVEN.items() for n in names} | {t.lower(): g for g, ts in TITLES.items() for t in ts}
 SYLLABLES = {"latin": "ba be bo da de do fa fi ga ha ka ke la le lo ma me mi na no ra ri ro sa se ta to va vi wa".split(), "cyrillic": "ба бе во га да де зо ка ле ло ма ме ми на но ра ри ро са та".split()}
 ENDINGS = {"latin": "n rd ll rt ns rk".split(), "cyrillic": "нов ров лин ский рин лов".split()}
 
 _NAME = r"[^\W\d_a-zà-öø-ÿа-яё][^\W\d_]*(?:[-'’][^\W\d_]+)*"
 _GIVEN = "|".join(n for names in GIVEN.values() for n in names)
+# What introduces a person, whatever the name.
+_CUE = "[Nn]ame(?: is|:)|[Ss]igned(?: by|:)|[Cc]ontact(?: person)?:|[Aa]uthor:|Sincerely,|[Rr]egards,|Dear"
 _TITLE = "|".join(x for ts in TITLES.values() for t in ts for x in (t, t.upper()))
 # What every match of a pattern holds.
 MARKS = {"email": "@", "ip": ".", "ipv6": ":", "ssn": "-"}
@@ -50,9 +53,11 @@ PATTERNS = [
     ("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")),
     ("card", re.compile(r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])")),
     ("phone", re.compile(r"(?<![\w.+-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?![\w-]|\.\d)|(?<![\w.+-])\+\d{8,15}(?!\w)")),
+    ("person", re.compile(rf"(?<!\w)(?:{_CUE})\s*(?P<first>{_NAME})[ ](?P<last>{_NAME})(?!\w)")),
     ("person", re.compile(rf"(?<!\w)(?=[A-ZÀ-ÖØ-ÞА-Я])(?:(?P<title>{_TITLE})\.?[ ](?P<rest>{_NAME}(?:[ ]{_NAME})?)|(?P<first>{_GIVEN})[ ](?P<last>{_NAME}))")),
 ]
-PLAIN = r"[0-9@=:]|\p{Lu}[\p{L}.'’-]* \p{Lu}"  # every pattern needs one of these
+# Every match of a pattern holds one of these; a text without any is not handed to Python.
+PLAIN = r"[\p{N}@=:,]|AKIA|ASIA|ghp_|sk-|xox[abp]-|\p{Lu}[\p{L}\p{N}.'’-]* [\p{L}\p{N}&&[^a-zà-öø-ÿа-яё]]"
 
 
 def _digits(s: str) -> str:
@@ -68,12 +73,16 @@ def script(s: str) -> str:
     return "cyrillic" if re.search(r"[Ѐ-ӿ]", s) else "latin"
 
 
-def mentions(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, type, normal form), in order and without overlaps; at one place the earlier pattern wins."""
+def mentions(text: str) -> list[tuple[int, int, str, str, str]]:
+    """(start, end, type, normal form, gender), in order and without overlaps; at one place the earlier pattern wins.
+
+    The gender, of given names alone, is that of the name or else of its
+    title. A single name after a title is a given name if it is a listed one.
+    """
     found, taken = [], []
 
-    def add(start: int, end: int, kind: str, norm: str) -> None:
-        found.append((start, end, kind, norm))
+    def add(start: int, end: int, kind: str, norm: str, gender: str = "") -> None:
+        found.append((start, end, kind, norm, gender))
 
     digits = re.search(r"\d", text) is not None
     for kind, pattern in PATTERNS:
@@ -101,12 +110,13 @@ def mentions(text: str) -> list[tuple[int, int, str, str]]:
                     continue
                 add(a, b, kind, d[1:] if len(d) == 11 and d[0] == "1" else d)
             elif kind == "person":
-                parts = [m.span("first"), m.span("last")] if m["first"] else [(m.start("rest") + w.start(), m.start("rest") + w.end()) for w in re.finditer(r"\S+", m["rest"])]
-                gender = GENDER.get((m["title"] or m["first"]).lower(), "")
+                named = m.groupdict()
+                parts = [m.span("first"), m.span("last")] if named["first"] else [(m.start("rest") + w.start(), m.start("rest") + w.end()) for w in re.finditer(r"\S+", m["rest"])]
+                gender = GENDER.get((named.get("title") or named["first"]).lower(), "")
                 for k, (x, y) in enumerate(parts):
-                    given = k == 0 and len(parts) == 2
-                    own = GENDER.get(text[x:y].lower(), gender) if given else ""
-                    add(x, y, f"given {own} {script(text[x:y])}" if given else f"family {script(text[x:y])}", text[x:y].lower())
+                    name = text[x:y].lower()
+                    given = k == 0 and (len(parts) == 2 or name in GIVEN_NAMES)
+                    add(x, y, f"{'given' if given else 'family'} {script(name)}", name, GENDER.get(name, gender) if given else "")
             else:
                 add(a, b, kind, s.lower())
             taken.append((a, b))
@@ -150,8 +160,8 @@ class Draws:
         return "".join(out)
 
 
-def surrogate(key: bytes, kind: str, norm: str, attempt: int) -> str:
-    """Normal form of the surrogate.
+def surrogate(key: bytes, kind: str, norm: str, attempt: int, gender: str = "") -> str:
+    """Normal form of the surrogate, for given names of the gender where that is known.
 
     Where a pool is small (short names, secrets without letters, private
     addresses) later attempts draw from a wider one, so that one is free.
@@ -188,7 +198,7 @@ def surrogate(key: bytes, kind: str, norm: str, attempt: int) -> str:
         area = next(x for x in iter(lambda: 1 + d.below(899), None) if x != 666)
         return f"{area:03d}-{1 + d.below(99):02d}-{1 + d.below(9999):04d}"
     if kind.startswith("given"):
-        _, gender, alphabet = kind.split(" ")
+        alphabet = kind.split(" ")[1]
         names = [n for (g, s), ns in GIVEN.items() if s == alphabet and gender in (g, "") for n in ns]
         more = "".join(SYLLABLES[alphabet][d.below(len(SYLLABLES[alphabet]))] for _ in range(attempt // 4))
         return names[d.below(len(names))].lower() + ("-" + more if more else "")
@@ -220,22 +230,24 @@ def render(surface: str, kind: str, norm: str, new: str) -> str:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """(did, tkey, start, stop, kind, norm) of every mention; ``docs`` has did, tkey and text."""
+    """(did, tkey, start, stop, kind, norm, gender) of every mention; ``docs`` has did, tkey and text."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [
-                (did, tkey, a, b, kind, norm)
+                (did, tkey, *m)
                 for did, tkey, t in zip(pdf["did"], pdf["tkey"], pdf["text"], strict=True)
-                for a, b, kind, norm in mentions(t.decode(errors="replace"))
+                for m in mentions(t.decode(errors="replace"))
             ]
-            yield pd.DataFrame(rows, columns=["did", "tkey", "start", "stop", "kind", "norm"])
+            yield pd.DataFrame(rows, columns=["did", "tkey", "start", "stop", "kind", "norm", "gender"])
 
-    return docs.mapInPandas(work, "did bigint, tkey bigint, start int, stop int, kind string, norm string")
+    return docs.mapInPandas(work, "did bigint, tkey bigint, start int, stop int, kind string, norm string, gender string")
 
 
 def assign(entities: DataFrame, key: bytes) -> DataFrame:
-    """(kind, norm, new): a surrogate for each entity, no two alike, none an entity of the corpus.
+    """(kind, norm, new): a surrogate for each entity (kind, norm, gender), no two alike, none an entity of the corpus.
+
+    Given names are one kind whatever their gender, so no two of them meet.
 
     Each round draws for all that are left; the smallest normal form keeps a
     surrogate that several draw. What is left shrinks by the share of taken
@@ -244,38 +256,50 @@ def assign(entities: DataFrame, key: bytes) -> DataFrame:
 
     def drawer(attempt: int):
         @F.pandas_udf("string")
-        def draw(kind: pd.Series, norm: pd.Series) -> pd.Series:
-            return pd.Series([surrogate(key, k, n, attempt) for k, n in zip(kind, norm, strict=True)], dtype="object")
+        def draw(kind: pd.Series, norm: pd.Series, gender: pd.Series) -> pd.Series:
+            return pd.Series([surrogate(key, k, n, attempt, g) for k, n, g in zip(kind, norm, gender, strict=True)], dtype="object")
 
         return draw
 
     left, settled, attempt = entities, None, 0
     while attempt == 0 or not left.isEmpty():
-        drawn = cut_lineage(left.select("kind", "norm", drawer(attempt)("kind", "norm").alias("new")), "drawn")
+        drawn = cut_lineage(left.select("kind", "norm", "gender", drawer(attempt)("kind", "norm", "gender").alias("new")), "drawn")
         names = entities.select("kind", F.col("norm").alias("new"))
         taken = names if settled is None else names.union(settled.select("kind", "new"))
         free = drawn.join(taken, ["kind", "new"], "left_anti")
         won = free.groupBy("kind", "new").agg(F.min("norm").alias("norm")).select("kind", "norm", "new")
         won = cut_lineage(won if settled is None else settled.select("kind", "norm", "new").union(won), "settled")
-        rest = cut_lineage(drawn.join(won.select("kind", "norm"), ["kind", "norm"], "left_anti").select("kind", "norm"), "left")
+        rest = cut_lineage(drawn.join(won.select("kind", "norm"), ["kind", "norm"], "left_anti").select("kind", "norm", "gender"), "left")
         release(drawn, *([settled, left] if settled is not None else []))
         settled, left, attempt = won, rest, attempt + 1
     return settled
 
 
-def replace(docs: DataFrame, key: bytes = b"surrogates", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def session_key(spark: SparkSession) -> bytes:
+    """The session's secret ``spark.stemtally.surrogates.key``; a local session without it, as in tests, uses a known one."""
+    key = spark.conf.get("spark.stemtally.surrogates.key", None)
+    if key is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.stemtally.surrogates.key to a secret")
+    return (key or "for tests only").encode()
+
+
+def replace(docs: DataFrame, key: bytes, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the mentions in ``text`` replaced, and ``n_entities``, their number (0 for null, empty and clean texts, which stay as they are).
 
+    Who has the key can draw the surrogates again and so test guesses of the
+    originals; it has no default. A given column ``n_entities`` is replaced,
+    no other name matters.
+
     Equal entities have equal surrogates in all documents, different ones
     different surrogates of their kind.
     """
     may = F.col("text").cast("string").rlike(PLAIN)
     found = cut_lineage(find(keyed(docs, doc_id, text).filter(may)), "mentions")
-    entities = cut_lineage(found.select("kind", "norm").distinct(), "entities")
+    entities = cut_lineage(found.groupBy("kind", "norm").agg(F.max("gender").alias("gender")), "entities")
     new = assign(entities, key)
     spans = (
         found.distinct().join(small(new), ["kind", "norm"])
-        .groupBy(F.col("did").alias("_did"), F.col("tkey").alias("_tkey")).agg(F.collect_list(F.struct("start", "stop", "kind", "norm", "new")).alias("_spans"))
+        .groupBy("did", "tkey").agg(F.collect_list(F.struct("start", "stop", "kind", "norm", "new")).alias("spans"))
     )
 
     @F.pandas_udf("string")
@@ -293,10 +317,8 @@ def replace(docs: DataFrame, key: bytes = b"surrogates", doc_id: str = "doc_id",
         return pd.Series(out, dtype="object")
 
     did, tkey = F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID)), F.xxhash64(whole(text))
-    kept = [c for c in docs.columns if c != text]
-    plain = docs.filter(~F.coalesce(F.col(text).rlike(PLAIN), F.lit(False))).withColumn("n_entities", F.lit(0))
-    rest = (
-        docs.filter(F.col(text).rlike(PLAIN)).withColumn("_did", did).withColumn("_tkey", tkey).join(spans, ["_did", "_tkey"], "left")
-        .select(*kept, rewrite(F.col(text), F.col("_spans")).alias(text), F.coalesce(F.array_size("_spans"), F.lit(0)).alias("n_entities"))
-    )
-    return plain.select(*docs.columns, "n_entities").unionByName(rest.select(*docs.columns, "n_entities"))
+    rows = docs.select(carried(docs, "n_entities"), F.col(text).alias("text"), did.alias("did"), tkey.alias("tkey"))
+    may = F.coalesce(F.col("text").cast("string").rlike(PLAIN), F.lit(False))
+    held = rows.filter(may).join(spans, ["did", "tkey"], "left").select("row", rewrite("text", "spans").alias("text"), F.coalesce(F.array_size("spans"), F.lit(0)).alias("n_entities"))
+    both = rows.filter(~may).select("row", "text", F.lit(0).alias("n_entities")).union(held)
+    return both.select(*[F.col("text").cast(docs.schema[text].dataType).alias(text) if c == text else F.col(f"row.`{c}`") for c in docs.columns if c != "n_entities"], "n_entities")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stemtally.functions.lineage import cut_lineage
-from stemtally.llm.common import small, whole
+from stemtally.llm.common import carried, small, whole
 from stemtally.llm.substring import NO_ID, Rolling, keyed
 
 WINDOW, SHORTEST, LITERALS = 13, 5, 8
@@ -245,7 +245,7 @@ def leaks(
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` without the documents that hold an item."""
-    bad = leaks(docs, benchmark, doc_id, text, **options).select(F.col("did").alias("_did"), F.col("tkey").alias("_tkey")).distinct()
-    on = (F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID)) == F.col("_did")) & (F.xxhash64(whole(text)) == F.col("_tkey"))
-    return docs.join(small(bad), on, "left_anti")
+    """``docs`` without the documents that hold an item; all columns are kept, whatever their names."""
+    bad = leaks(docs, benchmark, doc_id, text, **options).select("did", "tkey").distinct()
+    did, tkey = F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID)), F.xxhash64(whole(text))
+    return docs.select(carried(docs), did.alias("did"), tkey.alias("tkey")).join(small(bad), ["did", "tkey"], "left_anti").select("row.*")

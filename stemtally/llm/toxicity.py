@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stemtally.llm.common import fold, small, whole
+from stemtally.llm.common import carried, fold, small, whole
 
 # Identity terms; the words of a line may stand for each other.
 IDENTITY_TERMS = """
@@ -212,7 +212,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text", out: str = "score") -> DataFrame:
-    """``docs`` with the probability of label 1. Null and empty texts get the bias alone; a text is scored whole, whatever its length."""
+    """``docs`` with the probability of label 1. Null and empty texts get the bias alone; a text is scored whole, whatever its length. A given column of the name ``out`` is replaced."""
     weights, bias = docs.sparkSession.sparkContext.broadcast(model[0].astype(np.float32)), model[1]
 
     @F.pandas_udf("double")
@@ -241,4 +241,5 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text",
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
     """``docs`` without the rows whose score reaches the threshold."""
-    return score(docs, fit(docs, labels, doc_id, text), text, "_toxic").filter(F.col("_toxic") < threshold).drop("_toxic")
+    rows = docs.select(carried(docs), F.col(text).alias("text"))
+    return score(rows, fit(docs, labels, doc_id, text), "text").filter(F.col("score") < threshold).select("row.*")

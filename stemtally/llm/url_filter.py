@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stemtally.functions.lineage import cut_lineage
-from stemtally.llm.common import ascii_lower, small
+from stemtally.llm.common import ascii_lower, carried, small
 from stemtally.llm.components import connected_components
 
 Rule = tuple[str, str, str]  # verdict, host, path
@@ -64,7 +64,7 @@ def apply_rules(urls: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
     return (
         urls.select("host", "path").distinct().select("host", "path", F.explode(suffixes).alias("r_host"))
-        .join(small(known, 100_000), "r_host").filter(F.col("path").startswith(F.col("r_path")))
+        .join(small(known), "r_host").filter(F.col("path").startswith(F.col("r_path")))
         .groupBy("host", "path")
         .agg(F.max(F.struct((F.length("r_host") + F.length("r_path")).alias("n"), F.length("r_host").alias("h"), (F.col("verdict") == "allow").alias("a"), F.concat("r_host", "r_path").alias("rule"), "verdict")).alias("m"))
         .select("host", "path", "m.rule", "m.verdict")
@@ -79,7 +79,8 @@ def judge(pages: DataFrame, rules: Sequence[Rule], redirects: DataFrame | None =
     is blocked if an alias is blocked by rule and none is allowed by rule,
     else allowed. Aliases need not be pages. Null urls and those without
     ``://`` have empty host and path, no rule and the verdict allow. alias_of
-    is the smallest address of the class, null without links.
+    is the smallest address of the class, null without links. A given column
+    ``judged`` is replaced, no other name matters.
     """
     host, path = host_path(F.col(url))
     links = page_links(pages, url, html)
@@ -90,7 +91,7 @@ def judge(pages: DataFrame, rules: Sequence[Rule], redirects: DataFrame | None =
 
     h, p = host_path(F.col("node"))
     named = classes.select("node", "component", h.alias("host"), p.alias("path"))
-    rows = pages.select(*[c for c in pages.columns if c != html]).select("*", host.alias("_host"), path.alias("_path"))
+    rows = pages.select(carried(pages, html, "judged"), url_node(F.col(url)).alias("_node"), host.alias("_host"), path.alias("_path"))
     hits = cut_lineage(apply_rules(rows.select(F.col("_host").alias("host"), F.col("_path").alias("path")).union(named.select("host", "path")), rules), "rules")
     decided = (
         named.join(hits, ["host", "path"], "left").groupBy("component")
@@ -100,10 +101,10 @@ def judge(pages: DataFrame, rules: Sequence[Rule], redirects: DataFrame | None =
     own = hits.select(F.col("host").alias("_h"), F.col("path").alias("_p"), F.col("rule").alias("_rule"), F.col("verdict").alias("_verdict"))
     out = (
         rows.join(own, (F.col("_host") == F.col("_h")) & (F.col("_path") == F.col("_p")), "left")
-        .join(spread, url_node(F.col(url)) == F.col("node"), "left")
+        .join(spread, F.col("_node") == F.col("node"), "left")
     )
     verdict = F.coalesce("_verdict", F.when(F.col("_spread"), F.lit("block")), F.lit("allow"))
     return out.select(
-        *[c for c in pages.columns if c != html],
+        "row.*",
         F.struct(F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule").alias("rule"), verdict.alias("verdict"), F.col("_alias").alias("alias_of")).alias("judged"),
     )

@@ -8,15 +8,15 @@ from stemtally.llm import katz, mixing, pages, quality, simhash, substring, surr
 
 def run(spark, docs, labels):
     bench = spark.createDataFrame([(1, " ".join(f"b{k}" for k in range(20, 50))), (None, None), (2, ""), (3, "w1 w2")], "item_id bigint, text string")
-    yield "toxicity", toxicity.score(docs.drop("score"), toxicity.fit(docs, labels))
-    yield "surrogates", surrogates.replace(docs)
+    yield "toxicity", toxicity.score(docs, toxicity.fit(docs, labels))
+    yield "surrogates", surrogates.replace(docs, b"key")
     yield "substring", substring.remove_repeats(docs)
     yield "templates", templates.drop_leaks(docs, bench)
-    yield "simhash", simhash.near_classes(docs.drop("fp"))
+    yield "simhash", simhash.near_classes(docs)
     yield "keep one", simhash.keep_one(docs)
     yield "quality", quality.quality(docs, labels.filter("quality = 1").select("doc_id"))
     yield "mixing", mixing.mixture(docs)
-    yield "katz", katz.score(docs.drop("score"), katz.fit(docs))
+    yield "katz", katz.score(docs, katz.fit(docs))
 
 
 def test_odd(spark, odd, labels):
@@ -30,8 +30,13 @@ def test_odd(spark, odd, labels):
     assert sum(r.dedup.n_removed for r in out["substring"] if r.doc_id in (1, 2, 3, 4, 6, 8, 9)) == 0
     assert {r.component_id for r in out["simhash"] if not (r.fp or 0)} == {1}
     kept = [(r.doc_id, r.text) for r in out["keep one"]]
-    assert len(kept) == len(set(kept)) and {k for k, _ in kept} == {1, 4, 6, 8, 9}
-    assert len({(r.doc_id, r.text, r.score) for r in out["katz"] if False} or {1}) == 1
+    assert len(kept) == len(set(kept)) and {k for k, _ in kept} == {1, 4, 6, 7, 8, 9} and len(kept) == 7
+    assert len({r.score for r in out["katz"] if r.doc_id == 6}) == 2  # two equal rows and another text
+    for name, rows in out.items():  # a result replaces a given column of its name, all others stay
+        assert len(rows[0].__fields__) == len(set(rows[0].__fields__)), name
+    for name in ("surrogates", "substring", "templates", "keep one", "quality", "mixing"):
+        assert {c for c in odd.columns} <= set(out[name][0].__fields__), name
+        assert {(r.start, r.kind, r.fp, r._n, r._did) for r in out[name]} == {(1, "k", 7, 2, 9)}, name
     assert all(abs(r.mix.copies - r.mix.rate) < 1 for r in out["mixing"])
 
 
@@ -41,7 +46,7 @@ def test_empty(spark, empty, labels):
 
 
 def test_no_labels_and_no_benchmark(spark, odd, labels):
-    assert toxicity.score(odd.drop("score"), toxicity.fit(odd, labels.limit(0))).filter("score >= 0.5").count() == 0
+    assert toxicity.score(odd, toxicity.fit(odd, labels.limit(0))).filter("score >= 0.5").count() == 0
     assert templates.leaks(odd, spark.createDataFrame([], "item_id bigint, text string")).count() == 0
 
 
