@@ -22,7 +22,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each class of SimHash near copies: three-word shingles, links of at most two bits."""
     text_batches(spark)
     return simhash.keep_one(docs)
 
@@ -36,7 +36,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with surrogates for personal data; n_chars follows the text."""
     text_batches(spark)
-    out = surrogates.replace(docs).select(*docs.columns)
+    out = surrogates.replace(docs, surrogates.session_key(spark)).select(*docs.columns)
     if "n_chars" not in docs.columns:
         return out
     return out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text")).cast(docs.schema["n_chars"].dataType))
