@@ -141,8 +141,8 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     named = cut_lineage(prints.groupBy("did", "tkey", "fp").agg(F.count(F.lit(1)).alias("n")), "named")
     fps = cut_lineage(named.select("fp").distinct(), "distinct")
     classed = cut_lineage(named.join(components_of(fps, segments), "fp"), "classed")
-    kept = classed.groupBy("component").agg(F.min(F.struct("did", "tkey", "n")).alias("k"))
-    others = classed.join(kept, "component").filter((F.col("did") != F.col("k.did")) | (F.col("tkey") != F.col("k.tkey")))
+    kept = cut_lineage(classed.groupBy("component").agg(F.min(F.struct("did", "tkey", "n")).alias("k")), "kept")  # written, so that the join of a large class is split
+    others = classed.join(small(kept), "component").filter((F.col("did") != F.col("k.did")) | (F.col("tkey") != F.col("k.tkey")))
     others = cut_lineage(others.select("did", "tkey"), "others")
     again = cut_lineage(classed.filter("n > 1").select("did", "tkey", F.lit(True).alias("again")), "again")
     release(named, fps)
