@@ -44,16 +44,19 @@ def spd_inverse(m: np.ndarray) -> np.ndarray:
     return half.T @ half
 
 
-def inverse_with_limits(m: np.ndarray) -> np.ndarray:
-    """Inverse where an all-infinite diagonal gives zero and the zero matrix an infinite diagonal."""
-    d = m.diagonal()
-    if np.isinf(d).any():
-        if not np.isinf(d).all():
-            raise ValueError("a covariance diagonal must be infinite everywhere or nowhere")
-        return np.zeros_like(m)
-    if not m.any():
-        return np.diag(np.full(m.shape[0], np.inf))
-    return spd_inverse(m)
+def pack_many(m: np.ndarray) -> np.ndarray:
+    """(units, n, n) -> (units, packed)."""
+    return m[:, *np.triu_indices(m.shape[1])]
+
+
+def unpack_many(v: np.ndarray) -> np.ndarray:
+    """(units, packed) -> (units, n, n); infinite entries stay where they are."""
+    n = packed_order(v.shape[1])
+    iu = np.triu_indices(n)
+    m = np.zeros((len(v), n, n))
+    m[:, *iu] = v
+    m[:, iu[1], iu[0]] = v
+    return m
 
 
 # ---- the same codecs as column expressions -------------------------------------------------

@@ -97,11 +97,6 @@ def marginal_mask(zeros: DataFrame, matrix: DataFrame, coarse_of_cell: Column, c
     return units.join(dead, "pattern").select("geocode", "cell")
 
 
-def soft_measurements(masked: DataFrame) -> DataFrame:
-    """Masked cells as measurements of zero."""
-    return masked.select("geocode", "cell", F.lit(0.0).alias("value"), F.lit(SOFT_VARIANCE).alias("variance"))
-
-
 def roll_up_zeros(leaf_flags: DataFrame, spine: Spine) -> DataFrame:
     """(depth, geocode, is_zero): a parent is zero when all of its children are."""
     level, out = leaf_flags.select("geocode", "is_zero"), None

@@ -1,9 +1,13 @@
-"""Estimate and covariance of entities with full matrices.
+"""Estimate and covariance of entities with full matrices, in tiles of queries.
 
 The same climb as in the diagonal tier: each node carries the weights ``g`` its
-cells have in the asked queries and the part ``r`` of the covariance already
+cells have in the asked queries and the part ``r`` of the variance already
 settled below it. Nodes that start with the same weights are counted per
 signature, so a cover of many like leaves costs one product.
+
+The queries are cut into tiles of columns, and a row is one node and one tile:
+(cells x tile) weights and either a (tile x tile) covariance or, where only
+deviations are asked, the tile's variances. All tiles climb together.
 """
 
 from __future__ import annotations
@@ -17,10 +21,13 @@ from pyspark.sql import functions as F
 
 from stemtally.functions.grouped import apply_by_signature, sum_arrays, sum_vectors
 from stemtally.functions.keys import prefix
+from stemtally.functions.lineage import cut_lineage
 from stemtally.functions.matrices import pack, unpack
 from stemtally.operators.entities import SPREAD, cover_tops
 from stemtally.operators.gls_dense import NO_OWN, DensePasses, _some
+from stemtally.operators.query_rows import QueryRows, Tiles, as_rows
 
+TILE_BYTES = 1 << 20  # weights of one node and tile
 
 
 def _lone_parents(p: DensePasses) -> DataFrame:
@@ -29,130 +36,157 @@ def _lone_parents(p: DensePasses) -> DataFrame:
     return p.nodes[d - 1].select("geocode", "sig").join(one, "sig", "left_semi").select(F.col("geocode").alias("parent"), F.lit(True).alias("lone"))
 
 
-def entity_covariance(cover: DataFrame, passes: DensePasses, q: np.ndarray) -> DataFrame:
-    """(entity, estimate, covariance) of the queries ``q`` (rows over the cells) for each cover.
+def _cube(arrays: pd.Series, *shape: int) -> np.ndarray:
+    """One array per row, nulls as zeros."""
+    out = np.zeros((len(arrays), int(np.prod(shape))))
+    for k, a in enumerate(arrays):
+        if _some(a):
+            out[k] = a
+    return out.reshape(len(arrays), *shape)
+
+
+def _split(cube: np.ndarray) -> list[np.ndarray]:
+    return list(cube.reshape(len(cube), -1))
+
+
+def entity_moments(cover: DataFrame, passes: DensePasses, q: QueryRows, diagonal: bool, width: int) -> DataFrame:
+    """(entity, tile, estimate, v) of the queries ``q`` for each cover: v holds the tile's variances, or its packed covariance.
 
-    ``cover``: (entity, depth, geocode). Covariances are packed; an
-    undetermined variance is infinite on the diagonal.
+    ``cover``: (entity, depth, geocode). An undetermined variance is infinite.
+    With ``diagonal=False`` covariances between tiles are not formed.
     """
-    spine, n, m, cut = passes.spine, passes.n, q.shape[0], passes.cut
-    if q.shape[1] != n:
+    spine, n = passes.spine, passes.n
+    if q.cells != n:
         raise ValueError("queries and histogram differ in size")
-    weights = q.T.ravel()  # row-major n x m
-    cover = cut(cover.join(cover_tops(cover, spine), "entity").select("entity", "depth", "geocode", "top"), "cover")
-    carried, done = None, None
+    tiles = Tiles(q, width)
+    cover = cover.join(cover_tops(cover, spine), "entity").select("entity", "depth", "geocode", "top")
+    cover = cut_lineage(cover, "cover")
+    m, size = width, width if diagonal else width * width
+    numbers = F.explode(F.sequence(F.lit(0), F.lit(tiles.number - 1))).alias("tile")
+
+    def weights(t: int) -> np.ndarray:
+        """(cells, width), zeros behind the last query."""
+        out = np.zeros((n, m))
+        rows = tiles.tile(t)
+        out[:, : len(rows)] = rows.T
+        return out
+
+    def quad(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (a * b).sum(axis=-2) if diagonal else np.swapaxes(a, -1, -2) @ b
+
+    def twice(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return 2 * quad(a, b) if diagonal else quad(a, b) + quad(b, a)
 
-    def add(rows: DataFrame) -> None:
-        nonlocal done
-        done = rows if done is None else done.unionByName(rows)
+    def settled(rows: pd.Series) -> np.ndarray:
+        return _cube(rows, m) if diagonal else _cube(rows, m, m)
+
+    def open_up(v: np.ndarray, spread: np.ndarray) -> None:
+        """Infinite variances where ``spread`` (rows, width) holds."""
+        if diagonal:
+            v[spread] = np.inf
+        else:
+            v[np.einsum("ki,ij->kij", spread, np.eye(m)).astype(bool)] = np.inf
 
     def start_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            h, r = [], []
-            for c in pdf["c"]:
-                if _some(c):
-                    cq = unpack(c) @ q.T
-                    h.append(cq.ravel()), r.append((q @ cq).ravel())
-                else:
+            h, r, known = [], [], {}
+            for c, t in zip(pdf["c"], pdf["tile"], strict=True):
+                if not _some(c):
                     h.append(None), r.append(None)
-            yield pd.DataFrame({"sig": pdf["sig"], "h": pd.Series(h, dtype=object), "r": pd.Series(r, dtype=object)})
+                    continue
+                if t not in known:
+                    known = {t: weights(int(t))}
+                cq = unpack(c) @ known[t]
+                h.append(cq.ravel()), r.append(quad(known[t], cq).ravel())
+            yield pd.DataFrame({"sig": pdf["sig"], "tile": pdf["tile"], "h": pd.Series(h, dtype=object), "r": pd.Series(r, dtype=object)})
 
     def carried_terms(rows: pd.DataFrame, mat: dict) -> pd.DataFrame:
-        c = unpack(mat["c"]) if _some(mat.get("c")) else None
-        h, r, fg, fgg = [], [], [], []
-        for g, r0 in zip(rows["g"], rows["r"]):
-            g = np.asarray(g).reshape(n, m)
-            cg = None if c is None else c @ g
-            h.append(None if c is None else cg.ravel())
-            r.append(np.asarray(r0) + (0.0 if c is None else (g.T @ cg).ravel()))
-            fg.append(g.ravel() if c is None else None)
-            fgg.append((g * g).sum(axis=0) if c is None else None)
-        out = rows[["entity", "top", "parent"]].copy()
-        for name, col in (("h", h), ("r", r), ("fg", fg), ("fgg", fgg)):
+        out = rows[["entity", "top", "tile", "parent"]].copy()
+        g, r, none = _cube(rows["g"], n, m), settled(rows["r"]), [None] * len(rows)
+        if _some(mat.get("c")):
+            cg = unpack(mat["c"]) @ g
+            cols = _split(cg), _split(r + quad(g, cg)), none, none
+        else:
+            cols = none, _split(r), _split(g), _split((g * g).sum(axis=1))
+        for name, col in zip(("h", "r", "fg", "fgg"), cols, strict=True):
             out[name] = pd.Series(col, index=rows.index, dtype=object)
         return out
 
     def lift(rows: pd.DataFrame, mat: dict) -> pd.DataFrame:
-        k = int(mat["free"])
-        gs, rs = [], []
-        for h, r, fg, fgg, units in zip(rows["h"], rows["r"], rows["fg"], rows["fgg"], rows["units"]):
-            h = np.asarray(h).reshape(n, m) if _some(h) else np.zeros((n, m))
-            r = np.asarray(r).reshape(m, m) if _some(r) else np.zeros((m, m))
-            if k == 0:
-                g = unpack(mat["j"]) @ h
-                r = r - h.T @ g
-            else:
-                total = units * weights + (np.asarray(fg) if _some(fg) else 0.0)
-                squares = units * (q * q).sum(axis=1) + (np.asarray(fgg) if _some(fgg) else 0.0)
-                g = total.reshape(n, m) / k
-                known = unpack(mat["f"]) if _some(mat.get("f")) else np.zeros((n, n))
-                r = r - g.T @ h - h.T @ g + g.T @ known @ g
-                if k > 1:
-                    spread = squares - k * (g * g).sum(axis=0) > SPREAD * k * squares
-                    r[np.diag(spread)] = np.inf
-            gs.append(g.ravel()), rs.append(r.ravel())
-        out = rows[["entity", "top", "geocode"]].copy()
-        out["g"], out["r"] = pd.Series(gs, index=rows.index, dtype=object), pd.Series(rs, index=rows.index, dtype=object)
+        k, h, r = int(mat["free"]), _cube(rows["h"], n, m), settled(rows["r"])
+        if k == 0:
+            g = unpack(mat["j"]) @ h
+            r = r - quad(h, g)
+        else:
+            units = rows["units"].to_numpy(np.float64)
+            total, squares = _cube(rows["fg"], n, m), _cube(rows["fgg"], m)
+            for t in rows["tile"].unique():
+                at = np.flatnonzero((rows["tile"] == t) & (units > 0))
+                w = weights(int(t))
+                total[at] += units[at, None, None] * w
+                squares[at] += units[at, None] * (w * w).sum(axis=0)
+            g = total / k
+            r = r - twice(g, h) + (quad(g, unpack(mat["f"]) @ g) if _some(mat.get("f")) else 0.0)
+            if k > 1:
+                open_up(r, squares - k * (g * g).sum(axis=1) > SPREAD * k * squares)
+        out = rows[["entity", "top", "tile", "geocode"]].copy()
+        out["g"], out["r"] = pd.Series(_split(g), index=rows.index, dtype=object), pd.Series(_split(r), index=rows.index, dtype=object)
         return out
 
     def close(rows: pd.DataFrame, mat: dict) -> pd.DataFrame:
-        ct = unpack(mat["ct"]) if _some(mat.get("ct")) else None
-        out = []
-        for g, r in zip(rows["g"], rows["r"]):
-            g = (np.asarray(g) if _some(g) else weights).reshape(n, m)
-            v = np.asarray(r).reshape(m, m).copy() if _some(r) else np.zeros((m, m))
-            if ct is not None:
-                v += g.T @ ct @ g
-            else:
-                v[np.diag((g != 0).any(axis=0))] = np.inf
-            out.append(pack((v + v.T) / 2))
-        return pd.DataFrame({"entity": rows["entity"], "covariance": pd.Series(out, index=rows.index, dtype=object)})
-
-    none = F.lit(None).cast("array<double>")
+        g, v = _cube(rows["g"], n, m), settled(rows["r"])
+        for t in rows["tile"].unique():
+            at = np.flatnonzero((rows["tile"] == t) & rows["g"].isna())
+            if len(at):
+                g[at] = weights(int(t))
+        if _some(mat.get("ct")):
+            v = v + quad(g, unpack(mat["ct"]) @ g)
+        else:
+            open_up(v, (g != 0).any(axis=1))
+        out = [x if diagonal else pack((x + x.T) / 2) for x in v]
+        return pd.DataFrame({"entity": rows["entity"], "tile": rows["tile"], "v": pd.Series(out, index=rows.index, dtype=object)})
+
+    none, carried, done = F.lit(None).cast("array<double>"), None, None
+    keys = ["entity", "top", "tile", "parent"]
+    row = 8 * (3 * n * m + size)
     for d in range(spine.depth, -1, -1):
         here = cover.filter(F.col("depth") == d)
-        ends = here.filter(F.col("top") == d).select("entity", "geocode", none.alias("g"), none.alias("r"))
+        ends = here.filter(F.col("top") == d).select("entity", numbers, "geocode", none.alias("g"), none.alias("r"))
         if carried is not None:
-            ends = ends.unionByName(carried.filter(F.col("top") == d).select("entity", "geocode", "g", "r"))
+            ends = ends.unionByName(carried.filter(F.col("top") == d).select("entity", "tile", "geocode", "g", "r"))
         at_end = ends.join(passes.down[d].select("geocode", "dsig"), "geocode")
-        add(apply_by_signature(at_end, passes.down_matrices(d).select("dsig", "ct"), "dsig", close,
-                               "entity string, covariance array<double>", row_bytes=8 * (n * m + m * m), spread="entity"))
+        part = apply_by_signature(at_end, passes.down_matrices(d).select("dsig", "ct"), "dsig", close, "entity string, tile int, v array<double>", row_bytes=row, spread="entity")
+        done = part if done is None else done.unionByName(part)
         if d == 0:
             break
         w = spine.widths[d - 1]
         start = here.filter(F.col("top") < d).join(passes.nodes[d].select("geocode", "sig"), "geocode").withColumn("parent", prefix("geocode", w))
         if d == spine.depth:
-            start = start.join(_lone_parents(passes), "parent", "left").withColumn(
-                "sig", F.when(F.col("lone"), F.lit(NO_OWN)).otherwise(F.col("sig"))
-            )
-        counted = cut(start.groupBy("entity", "top", "parent", "sig").agg(F.count(F.lit(1)).alias("cnt")), f"start_{d}")
-        terms = counted.select("sig").distinct().join(passes.mats[d].select("sig", "c"), "sig", "left").mapInPandas(
-            start_terms, "sig string, h array<double>, r array<double>"
+            start = start.join(_lone_parents(passes), "parent", "left").withColumn("sig", F.when(F.col("lone"), F.lit(NO_OWN)).otherwise(F.col("sig")))
+        counted = start.groupBy("entity", "top", "parent", "sig").agg(F.count(F.lit(1)).alias("cnt"))
+        counted = cut_lineage(counted, "start")
+        terms = counted.select("sig").distinct().join(passes.mats[d].select("sig", "c"), "sig", "left").select("sig", "c", numbers).mapInPandas(
+            start_terms, "sig string, tile int, h array<double>, r array<double>"
         )
         scaled = lambda c: F.transform(c, lambda x: x * F.col("cnt"))
         rows = counted.join(terms, "sig").select(
-            "entity", "top", "parent", scaled("h").alias("h"), scaled("r").alias("r"), none.alias("fg"), none.alias("fgg"),
-            F.when(F.col("h").isNull(), F.col("cnt")).otherwise(0).alias("units"),
+            *keys, scaled("h").alias("h"), scaled("r").alias("r"), none.alias("fg"), none.alias("fgg"), F.when(F.col("h").isNull(), F.col("cnt")).otherwise(0).alias("units"),
         )
         if carried is not None:
             up = carried.filter(F.col("top") < d).join(passes.nodes[d].select("geocode", "sig"), "geocode").withColumn("parent", prefix("geocode", w))
             moved = apply_by_signature(
                 up, passes.mats[d].select("sig", "c"), "sig", carried_terms,
-                "entity string, top int, parent string, h array<double>, r array<double>, fg array<double>, fgg array<double>",
-                row_bytes=8 * (2 * n * m + m * m), spread="entity",
+                "entity string, top int, tile int, parent string, h array<double>, r array<double>, fg array<double>, fgg array<double>", row_bytes=row, spread="entity",
             )
             rows = rows.unionByName(moved.withColumn("units", F.lit(0).cast("bigint")))
-        rows = cut(rows, f"terms_{d}")
-        keys = ["entity", "top", "parent"]
-        sums = sum_arrays(rows, keys, ["h", "r", "fg", "fgg"])
+        rows = cut_lineage(rows, "terms")
+        sums = sum_arrays(rows, keys, ["h", "r", "fg", "fgg"])  # partial sums are formed in each task before the shuffle
         units = rows.groupBy(*keys).agg(F.sum("units").alias("units"))
         ready = sums.join(units, keys).withColumnRenamed("parent", "geocode").join(passes.nodes[d - 1].select("geocode", "sig"), "geocode")
-        carried = cut(
-            apply_by_signature(ready, passes.mats[d - 1].select("sig", "j", "f", "free"), "sig", lift,
-                               "entity string, top int, geocode string, g array<double>, r array<double>",
-                               row_bytes=8 * (3 * n * m + m * m), spread="entity"),
-            f"lifted_{d}",
+        lifted = apply_by_signature(
+            ready, passes.mats[d - 1].select("sig", "j", "f", "free"), "sig", lift, "entity string, top int, tile int, geocode string, g array<double>, r array<double>", row_bytes=row, spread="entity",
         )
+        carried = cut_lineage(lifted, "lifted")
 
     totals = None
     for d in range(spine.depth + 1):
@@ -162,9 +196,37 @@ def entity_covariance(cover: DataFrame, passes: DensePasses, q: np.ndarray) -> D
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"entity": pdf["entity"], "estimate": [q @ np.asarray(b) for b in pdf["estimate"]]})
+            x = _cube(pdf["estimate"], n)
+            for t in range(tiles.number):
+                yield pd.DataFrame({"entity": pdf["entity"], "tile": t, "estimate": list(x @ tiles.tile(t).T)})
+
+    return totals.mapInPandas(ask, "entity string, tile int, estimate array<double>").join(done, ["entity", "tile"])
+
+
+def tile_width(passes: DensePasses, q: QueryRows) -> int:
+    return max(1, min(q.count, TILE_BYTES // (8 * passes.n)))
+
+
+def entity_variances(cover: DataFrame, passes: DensePasses, q, width: int | None = None) -> DataFrame:
+    """(entity, tile, estimate, v): estimates and variances of the queries, a tile of them per row."""
+    q = as_rows(q)
+    return entity_moments(cover, passes, q, True, width or tile_width(passes, q))
+
+
+def entity_covariance(cover: DataFrame, passes: DensePasses, q) -> DataFrame:
+    """(entity, estimate, covariance) of the queries ``q`` for each cover, all of them against each other, packed.
+
+    For few queries; deviations alone are :func:`entity_variances`.
+    """
+    q = as_rows(q)
+    return entity_moments(cover, passes, q, False, q.count).select("entity", "estimate", F.col("v").alias("covariance"))
+
 
-    return totals.mapInPandas(ask, "entity string, estimate array<double>").join(done, "entity")
+def variance_intervals(entities: DataFrame, queries: list[str], width: int) -> DataFrame:
+    """(entity, query, estimate, std_dev) from :func:`entity_variances`; ``queries`` names all rows in order."""
+    names = F.slice(F.array(*[F.lit(x) for x in queries]), F.col("tile") * width + 1, F.lit(width))
+    sd = F.transform(F.slice("v", F.lit(1), F.size("estimate")), lambda x: F.sqrt(x))
+    return entities.select("entity", F.inline(F.arrays_zip(names.alias("query"), F.col("estimate"), sd.alias("std_dev")))).toDF("entity", "query", "estimate", "std_dev")
 
 
 def covariance_intervals(entities: DataFrame, queries: list[str]) -> DataFrame:

@@ -119,6 +119,20 @@ class DensePasses:
     """Both passes over ``nodes`` (depth, geocode, own_sig, rhs) and ``precision`` (own_sig, p)."""
 
     def __init__(self, spine: Spine, n: int, nodes: DataFrame, precision: DataFrame, cut: Cut = cut_lineage):
+        self._prepare(spine, n, cut)
+        own = [nodes.filter(F.col("depth") == k).drop("depth") for k in range(spine.depth + 1)]
+        self._build_leaves(own[spine.depth], precision)
+        for k in range(spine.depth - 1, -1, -1):
+            self._build_level(k, own[k], precision)
+
+    @classmethod
+    def blank(cls, spine: Spine, n: int, cut: Cut = cut_lineage) -> DensePasses:
+        """Passes without tables, for those that have them stored."""
+        out = cls.__new__(cls)
+        out._prepare(spine, n, cut)
+        return out
+
+    def _prepare(self, spine: Spine, n: int, cut: Cut) -> None:
         self.spine, self.n, self.cut = spine, n, cut
         d = spine.depth
         self.nodes: list = [None] * (d + 1)  # geocode, sig, up (vector given the subtree)
@@ -127,10 +141,6 @@ class DensePasses:
         self.down: list = [None] * (d + 1)  # geocode, dsig, estimate
         self.down_mats: list = [None] * (d + 1)  # dsig, sig, ct
         self.pairs: list = [None] * (d + 1)  # dsig, parent_dsig, sig, parent_sig
-        own = [nodes.filter(F.col("depth") == k).drop("depth") for k in range(d + 1)]
-        self._build_leaves(own[d], precision)
-        for k in range(d - 1, -1, -1):
-            self._build_level(k, own[k], precision)
 
     # -- upwards --
 
@@ -230,8 +240,8 @@ class DensePasses:
     # -- downwards --
 
     def run_down(self, leaf_matrices: bool = False) -> "DensePasses":
-        self.down[0] = self.nodes[0].select("geocode", "sig", F.col("sig").alias("dsig"), F.col("up").alias("estimate"))
-        self.down_mats[0] = self.mats[0].select(F.col("sig").alias("dsig"), "sig", F.col("c").alias("ct"))
+        self.down[0] = self.cut(self.nodes[0].select("geocode", "sig", F.col("sig").alias("dsig"), F.col("up").alias("estimate")), "final_0")
+        self.down_mats[0] = self.cut(self.mats[0].select(F.col("sig").alias("dsig"), "sig", F.col("c").alias("ct")), "final_mats_0")
         for k in range(1, self.spine.depth + 1):
             self._down_level(k)
             if k < self.spine.depth or leaf_matrices:
@@ -344,7 +354,7 @@ class DensePasses:
 
 
 def dense_own(
-    measurements: DataFrame, design: DataFrame, n: int, masked: DataFrame | None = None, share: bool = True
+    measurements: DataFrame, design: DataFrame, n: int, masked: DataFrame | None = None, share: bool = True, cut: Callable[..., DataFrame] = cut_lineage,
 ) -> tuple[DataFrame, DataFrame]:
     """Inputs of :class:`DensePasses`, all levels at once.
 
@@ -353,8 +363,8 @@ def dense_own(
     """
     sigs = own_signatures(measurements, masked, share)
     rhs = F.when(F.col("own_sig") != NO_OWN, F.col("rhs"))  # a bypassed unit says nothing, whatever else it measured
-    nodes = cut_lineage(sigs.join(own_rhs(measurements, design, n), "geocode", "left").withColumn("rhs", rhs), "own", by=["depth"])
-    return nodes, cut_lineage(own_precision(nodes, measurements, design, masked, n), "precision")
+    nodes = cut(sigs.join(own_rhs(measurements, design, n), "geocode", "left").withColumn("rhs", rhs), "own", by=["depth"])
+    return nodes, cut(own_precision(nodes, measurements, design, masked, n), "precision")
 
 
 def own_estimates(nodes: DataFrame, precision: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:

@@ -156,26 +156,21 @@ def merge_overlapping(groups: DataFrame) -> DataFrame:
     return edges.join(label, "grp").groupBy("member").agg(F.min("label").alias("component"))
 
 
-def tenure_patch(measurements: DataFrame, keep_tenure: bool, source: str = "tenvacgq", target: str = "hhtenshort_3lev") -> DataFrame:
-    """Replace the 4-level tenure part of ``source`` by a 3-level measurement.
+TENURE = ("tenvacgq", "hhtenshort_3lev")  # fixed values: tenure as measured inside the unit attribute, and the query that it stands for
 
-    Rows (geocode, query_name, row_ix, value, variance). Owned with mortgage,
-    owned free and the sum of the two rented rows, which has twice the
-    variance; if tenure is summed out afterwards, the excess is spread evenly.
-    """
-    src = measurements.filter(F.col("query_name") == source)
+
+def tenure_rows(measurements: DataFrame) -> DataFrame:
+    """Measured arrays with the 4-level tenure part of the unit query as a 3-level tenure: with mortgage, free, and the sum of the two rented rows."""
     v = F.col("value")
-    three = F.array(F.get(v, F.lit(0)), F.get(v, F.lit(1)), F.get(v, F.lit(2)) + F.get(v, F.lit(3)))
-    scale = F.get(F.array(F.lit(1.0), F.lit(1.0), F.lit(2.0)), F.col("row_ix")) if keep_tenure else F.lit(4.0) / 3
-    return src.select("geocode", "variance", F.posexplode(three).alias("row_ix", "value")).select(
-        "geocode", F.lit(target).alias("query_name"), "row_ix", F.col("value").cast("double").alias("value"),
-        (F.col("variance") * scale).alias("variance"),
-    )
+    three = F.when(v.isNotNull(), F.array(F.get(v, F.lit(0)), F.get(v, F.lit(1)), F.get(v, F.lit(2)) + F.get(v, F.lit(3))))
+    is_unit = F.col("query_name") == TENURE[0]
+    return measurements.withColumn("value", F.when(is_unit, three).otherwise(v)).withColumn("query_name", F.when(is_unit, TENURE[1]).otherwise(F.col("query_name")))
 
 
-def nonzero_cells(matrix: DataFrame, row_ix: int) -> DataFrame:
-    """Cells with a non-zero coefficient in one row of a query matrix."""
-    return matrix.filter((F.col("row_ix") == row_ix) & (F.col("coef") != 0)).select("query", "cell")
+def tenure_design(design: DataFrame, kept: bool) -> DataFrame:
+    """The design of the 3-level tenure: the sum of two rented rows has twice the variance; where tenure is summed out, the excess is spread evenly."""
+    scale = F.when(F.col("row_ix") % 3 == 2, 2.0).otherwise(1.0) if kept else F.lit(4.0 / 3)
+    return design.withColumn("mult", F.col("mult") * scale)
 
 
 def rows_on_marginal(query: LinearQuery, marginal: LinearQuery) -> LinearQuery:

@@ -135,11 +135,6 @@ def in_family(names: Sequence[str], table: str = "TABLE") -> Column:
     return F.col(table).rlike(f"^({'|'.join(names)})[A-Z]*$")
 
 
-def workload_queries(rows: DataFrame) -> DataFrame:
-    """Distinct query names, sorted."""
-    return rows.select("QUERY").distinct().orderBy("QUERY")
-
-
 def tables_of_marginal(name: str) -> list[str]:
     """Table families answered from a marginal histogram."""
     found = tb.marginals()
@@ -189,9 +184,3 @@ def answer_workload(cells: DataFrame, rows: DataFrame, s: Schema, names: Sequenc
     return rows.withColumn("row_ix", F.col("col_index").cast("bigint")).join(got, ["QUERY", "row_ix"]).select(
         "TABLE", "QUERY", "LEVEL", "row_num", *keys, "n"
     )
-
-
-def matrix_rows(spark: SparkSession, query: LinearQuery, name: str | None = None) -> DataFrame:
-    """(QUERY, col_index, cell, coef) of one query."""
-    out = _with_rows(spark.range(query.domain_size).withColumnRenamed("id", "cell"), query, "cell")
-    return out.select(F.lit(name or query.name).alias("QUERY"), F.col("row_ix").alias("col_index"), "cell", "coef")

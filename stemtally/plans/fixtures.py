@@ -103,10 +103,32 @@ class Tables:
     def passes(self, cut=None) -> gd.DiagonalPasses:
         return gd.DiagonalPasses(SPINE, [self.own(d) for d in range(4)], cut=cut or cut_lineage)
 
+    @cached_property
+    def part_cover(self) -> DataFrame:
+        """Market segments of single regions; only those of one region hold several bypassed customers of a nation."""
+        entity = F.concat("c_mktsegment", F.lit("/"), F.left("geocode", F.lit(1)))
+        return coarsest_cover(self.leaf.select(F.col("geocode").alias("leaf"), entity.alias("entity")), SPINE)
+
     @cached_property
     def segment_cover(self) -> DataFrame:
         return coarsest_cover(self.leaf.select(F.col("geocode").alias("leaf"), F.col("c_mktsegment").alias("entity")), SPINE)
 
+    def second_arrays(self, depth: int) -> DataFrame:
+        """A second, independent measurement of the three statuses and their total, in the form of :meth:`arrays`."""
+        status = F.floor(F.col("cell") / 5).cast("int")
+        off = self.bypassed(depth)
+        cells = self.true_counts(depth).groupBy("geocode", "key", status.alias("cell")).agg(F.sum("n").alias("n")).select(
+            "geocode", "cell", (F.col("n") + (F.col("key") * 7 + F.col("cell")) % 11 - 5).cast("double").alias("value"),
+            F.when(off, F.lit(float("inf"))).otherwise(F.lit(VARIANCE[depth] * 1.5)).alias("variance"),
+        )
+        detailed = cells.groupBy("geocode").agg(F.array_sort(F.collect_list(F.struct("cell", "value"))).alias("s"), F.first("variance").alias("variance")).select(
+            "geocode", F.lit("detailed").alias("query_name"), F.transform("s", lambda x: x["value"]).alias("value"), "variance"
+        )
+        total = cells.groupBy("geocode").agg(F.sum("value").alias("s"), F.first("variance").alias("variance")).select(
+            "geocode", F.lit("total").alias("query_name"), F.array(F.col("s") + 2.0).alias("value"), (F.col("variance") * 3).alias("variance")
+        )
+        return detailed.unionByName(total).select(F.lit(depth).alias("depth"), "*")
+
     def arrays(self, depth: int) -> DataFrame:
         """Measurements as published: (depth, geocode, query_name, value, variance) for 'detailed' and 'total'."""
         cells = self.measured(depth)
@@ -145,54 +167,97 @@ _OFF = {0: "false", 1: "false", 2: "substr(geocode, 2, 2) = '13'", 3: "substr(ge
 for _d in (3, 2, 1, 0):
     _CTES.append((f"own{_d}", f"""SELECT geocode, cell, CASE WHEN {_OFF[_d]} THEN 0.0 ELSE CAST(n + (key * 31 + cell * 17) % 13 - 6 AS DOUBLE) END AS est,
       CASE WHEN {_OFF[_d]} THEN NULL ELSE CAST({VARIANCE[_d]} AS DOUBLE) END AS v FROM true{_d}"""))
-_CTES.append(("up3", "SELECT * FROM own3"))
-for _d in (2, 1, 0):
-    _w = SPINE.widths[_d]
-    _lone = "count(*) = 1" if _d == 2 else "false"
-    _CTES.append((f"sums{_d}", f"""SELECT substr(geocode, 1, {_w}) AS parent, cell, count(*) AS n,
-      CASE WHEN {_lone} THEN 1 ELSE count(*) FILTER (WHERE v IS NULL) END AS free,
-      CASE WHEN {_lone} THEN 0 ELSE coalesce(sum(est) FILTER (WHERE v IS NOT NULL), 0) END AS ke,
-      CASE WHEN {_lone} THEN 0 ELSE coalesce(sum(v), 0) END AS kv FROM up{_d + 1} GROUP BY 1, 2"""))
-    _CTES.append((f"up{_d}", f"""SELECT geocode, cell, CASE WHEN p + j > 0 THEN (p * est + j * ke) / (p + j) ELSE 0 END AS est,
+
+def _estimates(x: str, cover: str = "cover") -> list[tuple[str, str]]:
+    """From the relations own0{x} .. own3{x} (geocode, cell, est, v) all that follows, cell by cell: up, sums, fin and, for the entities of a cover, ent."""
+    out = [(f"up3{x}", f"SELECT * FROM own3{x}")]
+    for d in (2, 1, 0):
+        w, lone = SPINE.widths[d], "count(*) = 1" if d == 2 else "false"
+        out.append((f"sums{d}{x}", f"""SELECT substr(geocode, 1, {w}) AS parent, cell, count(*) AS n,
+      CASE WHEN {lone} THEN 1 ELSE count(*) FILTER (WHERE v IS NULL) END AS free,
+      CASE WHEN {lone} THEN 0 ELSE coalesce(sum(est) FILTER (WHERE v IS NOT NULL), 0) END AS ke,
+      CASE WHEN {lone} THEN 0 ELSE coalesce(sum(v), 0) END AS kv FROM up{d + 1}{x} GROUP BY 1, 2"""))
+        out.append((f"up{d}{x}", f"""SELECT geocode, cell, CASE WHEN p + j > 0 THEN (p * est + j * ke) / (p + j) ELSE 0 END AS est,
       CASE WHEN p + j > 0 THEN 1 / (p + j) END AS v FROM (SELECT o.geocode, o.cell, o.est, s.ke, coalesce(1 / o.v, 0) AS p,
-      CASE WHEN s.free = 0 THEN 1 / s.kv ELSE 0 END AS j FROM own{_d} o JOIN sums{_d} s ON s.parent = o.geocode AND s.cell = o.cell)"""))
-_CTES.append(("fin0", "SELECT *, CAST(NULL AS DOUBLE) AS share FROM up0"))
-for _d in (1, 2, 3):
-    _w = SPINE.widths[_d - 1]
-    _lone = "s.n = 1" if _d == 3 else "false"
-    _CTES.append((f"fin{_d}", f"""SELECT geocode, cell, CASE WHEN rest THEN 0 ELSE est END + share * (pest - ke) AS est,
+      CASE WHEN s.free = 0 THEN 1 / s.kv ELSE 0 END AS j FROM own{d}{x} o JOIN sums{d}{x} s ON s.parent = o.geocode AND s.cell = o.cell)"""))
+    out.append((f"fin0{x}", f"SELECT *, CAST(NULL AS DOUBLE) AS share FROM up0{x}"))
+    for d in (1, 2, 3):
+        w, lone = SPINE.widths[d - 1], "s.n = 1" if d == 3 else "false"
+        out.append((f"fin{d}{x}", f"""SELECT geocode, cell, CASE WHEN rest THEN 0 ELSE est END + share * (pest - ke) AS est,
       CASE WHEN rest THEN CASE WHEN free = 1 THEN pv + kv END WHEN free = 0 THEN v + share * share * pv - share * v ELSE v END AS v, share
-      FROM (SELECT u.geocode, u.cell, u.est, u.v, s.ke, s.kv, s.free, f.est AS pest, f.v AS pv, u.v IS NULL OR ({_lone}) AS rest,
-      CASE WHEN {_lone} THEN 1.0 WHEN s.free = 0 THEN u.v / s.kv WHEN u.v IS NULL THEN 1.0 / s.free ELSE 0 END AS share
-      FROM up{_d} u JOIN sums{_d - 1} s ON s.parent = substr(u.geocode, 1, {_w}) AND s.cell = u.cell
-      JOIN fin{_d - 1} f ON f.geocode = s.parent AND f.cell = s.cell)"""))
-_ANC = "[{'depth': 0, 'node': ''}, {'depth': 1, 'node': substr(geocode, 1, 1)}, {'depth': 2, 'node': substr(geocode, 1, 3)}, {'depth': 3, 'node': geocode}]"
-_CTES += [
-    ("stat", f"""SELECT x.depth AS depth, x.node AS node, min(c_mktsegment) AS lo, max(c_mktsegment) AS hi
-      FROM (SELECT c_mktsegment, unnest({_ANC}) AS x FROM leaf) GROUP BY 1, 2"""),
-    ("cover", """SELECT s.lo AS entity, s.depth, s.node AS geocode FROM stat s LEFT JOIN stat p ON p.depth = s.depth - 1
-      AND p.node = substr(s.node, 1, CASE s.depth WHEN 1 THEN 0 WHEN 2 THEN 1 ELSE 3 END) WHERE s.lo = s.hi AND (s.depth = 0 OR p.lo <> p.hi)"""),
-]
-# variance of an entity: weights g and settled variance r, lifted level by level
-_CTES.append(("car3", "SELECT c.entity, c.geocode, u.cell, CAST(1.0 AS DOUBLE) AS g, CAST(0.0 AS DOUBLE) AS r, u.v FROM cover c JOIN up3 u ON u.geocode = c.geocode WHERE c.depth = 3"))
-for _d in (2, 1, 0):
-    _w = SPINE.widths[_d]
-    _v = "CASE WHEN s.n = 1 THEN NULL ELSE c.v END" if _d == 2 else "c.v"
-    _CTES.append((f"lift{_d}", f"""SELECT entity, parent AS geocode, cell, g, CASE WHEN free > 1 AND abs(fgg - fg * fg / free) > 1e-9 THEN CAST('inf' AS DOUBLE)
+      FROM (SELECT u.geocode, u.cell, u.est, u.v, s.ke, s.kv, s.free, f.est AS pest, f.v AS pv, u.v IS NULL OR ({lone}) AS rest,
+      CASE WHEN {lone} THEN 1.0 WHEN s.free = 0 THEN u.v / s.kv WHEN u.v IS NULL THEN 1.0 / s.free ELSE 0 END AS share
+      FROM up{d}{x} u JOIN sums{d - 1}{x} s ON s.parent = substr(u.geocode, 1, {w}) AND s.cell = u.cell
+      JOIN fin{d - 1}{x} f ON f.geocode = s.parent AND f.cell = s.cell)"""))
+    # variance of an entity: weights g and settled variance r, lifted level by level
+    out.append((f"car3{x}", f"SELECT c.entity, c.geocode, u.cell, CAST(1.0 AS DOUBLE) AS g, CAST(0.0 AS DOUBLE) AS r, u.v FROM {cover} c JOIN up3{x} u ON u.geocode = c.geocode WHERE c.depth = 3"))
+    for d in (2, 1, 0):
+        w, v = SPINE.widths[d], "CASE WHEN s.n = 1 THEN NULL ELSE c.v END" if d == 2 else "c.v"
+        out.append((f"lift{d}{x}", f"""SELECT entity, parent AS geocode, cell, g, CASE WHEN free > 1 AND abs(fgg - fg * fg / free) > 1e-9 THEN CAST('inf' AS DOUBLE)
       ELSE r + vgg - 2 * g * vg + g * g * kv END AS r FROM (SELECT entity, parent, cell, r, vg, vgg, fg, fgg, free, kv,
       CASE WHEN free = 0 THEN vg / kv ELSE fg / free END AS g FROM (SELECT c.entity, s.parent, s.cell, sum(c.r) AS r, any_value(s.free) AS free, any_value(s.kv) AS kv,
-      coalesce(sum({_v} * c.g), 0) AS vg, coalesce(sum({_v} * c.g * c.g), 0) AS vgg, coalesce(sum(CASE WHEN {_v} IS NULL THEN c.g END), 0) AS fg,
-      coalesce(sum(CASE WHEN {_v} IS NULL THEN c.g * c.g END), 0) AS fgg
-      FROM car{_d + 1} c JOIN sums{_d} s ON s.parent = substr(c.geocode, 1, {_w}) AND s.cell = c.cell GROUP BY 1, 2, 3))"""))
-    if _d:
-        _CTES.append((f"car{_d}", f"""SELECT l.entity, l.geocode, l.cell, l.g, l.r, u.v FROM lift{_d} l JOIN up{_d} u ON u.geocode = l.geocode AND u.cell = l.cell
-          UNION ALL SELECT c.entity, c.geocode, u.cell, 1.0, 0.0, u.v FROM cover c JOIN up{_d} u ON u.geocode = c.geocode WHERE c.depth = {_d}"""))
-_CTES += [
-    ("fin", " UNION ALL ".join(f"SELECT {d} AS depth, geocode, cell, est, v FROM fin{d}" for d in range(4))),
-    ("ent", """SELECT e.entity, e.cell, e.est, x.v FROM (SELECT c.entity, f.cell, sum(f.est) AS est FROM cover c JOIN fin f ON f.depth = c.depth AND f.geocode = c.geocode GROUP BY 1, 2) e
+      coalesce(sum({v} * c.g), 0) AS vg, coalesce(sum({v} * c.g * c.g), 0) AS vgg, coalesce(sum(CASE WHEN {v} IS NULL THEN c.g END), 0) AS fg,
+      coalesce(sum(CASE WHEN {v} IS NULL THEN c.g * c.g END), 0) AS fgg
+      FROM car{d + 1}{x} c JOIN sums{d}{x} s ON s.parent = substr(c.geocode, 1, {w}) AND s.cell = c.cell GROUP BY 1, 2, 3))"""))
+        if d:
+            out.append((f"car{d}{x}", f"""SELECT l.entity, l.geocode, l.cell, l.g, l.r, u.v FROM lift{d}{x} l JOIN up{d}{x} u ON u.geocode = l.geocode AND u.cell = l.cell
+          UNION ALL SELECT c.entity, c.geocode, u.cell, 1.0, 0.0, u.v FROM {cover} c JOIN up{d}{x} u ON u.geocode = c.geocode WHERE c.depth = {d}"""))
+    out += [
+        (f"fin{x}", " UNION ALL ".join(f"SELECT {d} AS depth, geocode, cell, est, v FROM fin{d}{x}" for d in range(4))),
+        (f"ent{x}", f"""SELECT e.entity, e.cell, e.est, x.v FROM (SELECT c.entity, f.cell, sum(f.est) AS est FROM {cover} c JOIN fin{x} f ON f.depth = c.depth AND f.geocode = c.geocode GROUP BY 1, 2) e
       JOIN (SELECT l.entity, l.cell, coalesce(CASE WHEN l.g = 0 THEN l.r ELSE l.r + l.g * l.g * f.v END, CAST('inf' AS DOUBLE)) AS v
-      FROM lift0 l JOIN fin0 f ON f.cell = l.cell) x ON x.entity = e.entity AND x.cell = e.cell"""),
-]
+      FROM lift0{x} l JOIN fin0{x} f ON f.cell = l.cell) x ON x.entity = e.entity AND x.cell = e.cell"""),
+    ]
+    return out
+
+
+def _parted(x: str, cells: int, own: dict[int, str], total: dict[int, str]) -> list[tuple[str, str]]:
+    """Cells measured one by one and in total, as two kinds of scalars that never meet: each cell's deviation from the mean, and the total.
+
+    Covariances with equal variances and equal covariances have these
+    eigenspaces, and so has every sum, inverse and product of them. ``own``:
+    SQL of (geocode, cell, y, v) per level, v NULL where bypassed; ``total``:
+    SQL of the measured total's (geocode, y, v). Cell number ``cells`` is the
+    total. ``cells{x}`` and ``ask{x}`` put both kinds together again: cells of
+    all levels, and the total and the sums over thirds of the cells per entity.
+    """
+    out = []
+    for d in range(4):
+        out.append((f"own{d}{x}", f"""WITH o AS ({own[d]}), t AS ({total[d]}) SELECT geocode, cell, CASE WHEN v IS NULL THEN 0 ELSE y - avg(y) OVER (PARTITION BY geocode) END AS est, v FROM o
+      UNION ALL SELECT geocode, {cells}, CASE WHEN v IS NULL THEN 0 ELSE (y / ({cells} * v) + ty / tv) / (1 / ({cells} * v) + 1 / tv) END, CASE WHEN v IS NOT NULL THEN 1 / (1 / ({cells} * v) + 1 / tv) END
+      FROM (SELECT o.geocode, sum(o.y) AS y, any_value(o.v) AS v, any_value(t.y) AS ty, any_value(t.v) AS tv FROM o JOIN t ON t.geocode = o.geocode GROUP BY 1)"""))
+    out += _estimates(x, "cover_of_parts")
+    out.append((f"cells{x}", f"SELECT d.depth, d.geocode, d.cell, d.est + t.est / {cells} AS est, d.v * (1 - 1.0 / {cells}) + t.v / {cells * cells} AS v FROM fin{x} d JOIN fin{x} t ON t.depth = d.depth AND t.geocode = d.geocode WHERE d.cell < {cells} AND t.cell = {cells}"))
+    k = cells // 3
+    out.append((f"ask{x}", f"""SELECT entity, 'total' AS query, est, v FROM ent{x} WHERE cell = {cells}
+      UNION ALL SELECT d.entity, 'status_' || (d.cell // {k}), sum(d.est) + any_value(t.est) / 3, any_value(d.v) * {k} * (2.0 / 3) + any_value(t.v) / 9
+      FROM ent{x} d JOIN ent{x} t ON t.entity = d.entity WHERE d.cell < {cells} AND t.cell = {cells} GROUP BY d.entity, d.cell // {k}"""))
+    return out
+
+
+_ANC = "[{'depth': 0, 'node': ''}, {'depth': 1, 'node': substr(geocode, 1, 1)}, {'depth': 2, 'node': substr(geocode, 1, 3)}, {'depth': 3, 'node': geocode}]"
+for _x, _entity in (("", "c_mktsegment"), ("_of_parts", "c_mktsegment || '/' || substr(geocode, 1, 1)")):
+    _CTES += [
+        (f"stat{_x}", f"""SELECT x.depth AS depth, x.node AS node, min(e) AS lo, max(e) AS hi
+      FROM (SELECT {_entity} AS e, unnest({_ANC}) AS x FROM leaf) GROUP BY 1, 2"""),
+        (f"cover{_x}", f"""SELECT s.lo AS entity, s.depth, s.node AS geocode FROM stat{_x} s LEFT JOIN stat{_x} p ON p.depth = s.depth - 1
+      AND p.node = substr(s.node, 1, CASE s.depth WHEN 1 THEN 0 WHEN 2 THEN 1 ELSE 3 END) WHERE s.lo = s.hi AND (s.depth = 0 OR p.lo <> p.hi)"""),
+    ]
+_CTES += _estimates("")
+_DETAILED = {d: f"SELECT geocode, cell, est AS y, v FROM own{d}" for d in range(4)}
+_TOTAL = {d: f"SELECT geocode, sum(est) + 3 AS y, any_value(v) * 2 AS v FROM own{d} GROUP BY 1" for d in range(4)}
+_CTES += _parted("S", CELLS, _DETAILED, _TOTAL)
+# a stored run over the statuses alone: regions missing, the total of the root exact
+_STATUS = {d: f"SELECT geocode, cell // 5 AS cell, sum(est) AS y, {'CAST(NULL AS DOUBLE)' if d == 1 else 'any_value(v) * 5'} AS v FROM own{d} GROUP BY 1, 2" for d in range(4)}
+_CTES += _parted("J", 3, _STATUS, _TOTAL | {0: "SELECT geocode, CAST(sum(n) AS DOUBLE) AS y, 1.0 / 16384 AS v FROM true0 GROUP BY 1"})
+# a second run that measured the three statuses
+_SECOND = {d: f"""SELECT geocode, cell // 5 AS cell, CASE WHEN {_OFF[d]} THEN 0 ELSE CAST(sum(n) + (any_value(key) * 7 + cell // 5) % 11 - 5 AS DOUBLE) END AS y,
+      CASE WHEN {_OFF[d]} THEN NULL ELSE {VARIANCE[d]} * 1.5 END AS v FROM true{d} GROUP BY geocode, cell // 5, key""" for d in range(4)}
+_CTES += _parted("B", 3, _SECOND, {d: f"SELECT geocode, sum(y) + 2 AS y, any_value(v) * 3 AS v FROM ({_SECOND[d]}) GROUP BY 1" for d in range(4)})
+# the detailed query alone, with cells of no count held at zero above the leaves
+_CTES += [(f"own{d}M", f"""SELECT t.geocode, t.cell, CASE WHEN o.v IS NULL THEN 0.0 WHEN t.n = 0 AND {d} < 3 THEN o.est / o.v / (1 / o.v + 16384) ELSE o.est END AS est,
+      CASE WHEN o.v IS NULL THEN NULL WHEN t.n = 0 AND {d} < 3 THEN 1 / (1 / o.v + 16384) ELSE o.v END AS v FROM true{d} t JOIN own{d} o ON o.geocode = t.geocode AND o.cell = t.cell""") for d in range(4)]
+_CTES += _estimates("M")
 
 
 def sql(body: str, *extra: tuple[str, str]) -> str:

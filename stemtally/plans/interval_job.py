@@ -2,55 +2,38 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemtally.catalog.schemas import schema
+from stemtally.catalog.schemas import Schema, schema
 from stemtally.functions.lineage import cut_lineage
-from stemtally.functions.matrices import pack, unpack
 from stemtally.operators import covers, fuse, intervals, marginalize as mg
-from stemtally.operators.entities_dense import covariance_intervals, entity_covariance
+from stemtally.operators.entities_dense import entity_covariance, entity_variances, tile_width, variance_intervals
 from stemtally.operators.gls_dense import DensePasses
+from stemtally.operators.query_rows import DenseRows, QueryRows, as_rows
+from stemtally.operators.tabulate import Factor, LinearQuery
+from stemtally.plans.stored_run import load
 from stemtally.sources import results as res
 
-QUERY_BYTES = 64 << 20  # query matrix handed to the tasks at a time
+Rows = QueryRows | LinearQuery | np.ndarray | Sequence
 
-
-def query_matrix(rows: DataFrame, names: Sequence[str], n: int) -> np.ndarray:
-    """Dense rows from (query, cell, coef)."""
-    at = {q: i for i, q in enumerate(names)}
-    out = np.zeros((len(names), n))
-    for r in rows.filter(F.col("query").isin(*names)).groupBy("query", "cell").agg(F.sum("coef").alias("coef")).toLocalIterator():
-        out[at[r["query"]], r["cell"]] = r["coef"]
-    return out
-
-
-def query_blocks(rows: DataFrame, names: Sequence[str], n: int) -> Iterator[tuple[list[str], np.ndarray]]:
-    """Names and matrix of one block of queries after the other; standard deviations of different queries do not need each other."""
-    step = max(1, QUERY_BYTES // (8 * n))
-    for k in range(0, len(names), step):
-        block = list(names[k : k + step])
-        yield block, query_matrix(rows, block, n)
-
-
-def projection_matrix(schema_name: str, mapping: str, marginal: str) -> np.ndarray:
-    """0/1 matrix from the cells of a marginal to the rows of the common coarsening with ``mapping``."""
-    s = schema(schema_name)
+def projection_query(schema_name: Schema | str, mapping: str, marginal: str) -> LinearQuery:
+    """The rows of the common coarsening with ``mapping``, over the cells of a marginal: one 0/1 factor per attribute."""
+    s = schema(schema_name) if isinstance(schema_name, str) else schema_name
     fine, asked = s.query(marginal), s.query(mapping)
     coarse = mg.common_coarsening(asked, fine)
-    out = np.ones((1, 1))
-    for f, c in zip(fine.factors, coarse.factors):
-        part = np.zeros((c.rows, f.rows))
+    factors = []
+    for f, c in zip(fine.factors, coarse.factors, strict=True):
+        rows = [[] for _ in range(c.rows)]
         for i, r in enumerate(mg._row_map(f, c)):
             if r is not None:
-                part[r, i] = 1
-        out = np.kron(out, part)
-    return out
+                rows[r].append(i)
+        factors.append(Factor.groups(f.rows, rows))
+    return LinearQuery(mapping, tuple(factors))
 
 
 def entity_covers(leaves: DataFrame, passes: DensePasses, tab_widths: Mapping[str, int], levels: Sequence[str]) -> dict[str, DataFrame]:
@@ -73,41 +56,43 @@ def entity_covers(leaves: DataFrame, passes: DensePasses, tab_widths: Mapping[st
 
 
 def estimate_intervals(
-    covers_of: Mapping[str, DataFrame], passes: DensePasses, queries: np.ndarray, names: Sequence[str], alphas: Sequence[float], out: str,
-    second: DensePasses | None = None, second_covers: Mapping[str, DataFrame] | None = None,
-    first_map: np.ndarray | None = None, second_map: np.ndarray | None = None,
+    covers_of: Mapping[str, DataFrame], passes: DensePasses, queries: Rows, names: Sequence[str], alphas: Sequence[float], out: str,
+    second: DensePasses | None = None, second_covers: Mapping[str, DataFrame] | None = None, first_map: Rows | None = None, second_map: Rows | None = None,
 ) -> dict[str, DataFrame]:
-    """Intervals per entity level, written under ``<out>/intervals``.
+    """Intervals per entity level, written under ``<out>/intervals``; estimates and variances before that under ``<out>/entities``.
 
-    With a second run (all four of its arguments, or none), both are fused on
-    common entities: ``first_map`` and ``second_map`` bring both histograms to
-    the same answers.
+    ``queries`` and the maps are rows over the cells: linear queries (kept as
+    factors), arrays, or lists of these. With a second run (all four of its
+    arguments, or none), both are fused on common entities: ``first_map`` and
+    ``second_map`` bring both histograms to the same answers. Any passes will
+    do, those just made or those :func:`load` opened.
     """
     extra = [second, second_covers, first_map, second_map]
     if any(x is None for x in extra) and any(x is not None for x in extra):
         raise ValueError("give all arguments of the second run or none")
-    done, step = {}, max(1, QUERY_BYTES // (8 * queries.shape[1]))
-    blocks = [slice(k, k + step) for k in range(0, len(names), step)]
+    done, base, asked = {}, out.rstrip("/"), as_rows(queries)
     for level, cover in covers_of.items():
         if second is None:
-            parts = [covariance_intervals(entity_covariance(cover, passes, queries[b]), list(names[b])) for b in blocks]
+            width = tile_width(passes, asked)
+            found = entity_variances(cover, passes, asked, width)
         else:
-            own = entity_covariance(cover, passes, np.eye(passes.n))
-            other = entity_covariance(second_covers[level], second, second_map)
-            fused = cut_lineage(fuse.fuse_matrices(own, other, first_map), "fused")
-            parts = [covariance_intervals(ask(fused, queries[b]), list(names[b])) for b in blocks]
-        rows = intervals.with_moe(reduce(DataFrame.unionByName, parts), alphas).withColumnRenamed("entity", "geocode")
-        done[level] = res.write_intervals(rows, f"{out.rstrip('/')}/intervals/{level}")
+            shared, other = as_rows(first_map), entity_covariance(second_covers[level], second, second_map)
+            other, width = cut_lineage(other, "second"), max(shared.count, 1)
+            parts = []
+            for t in range(0, asked.count, width):
+                own = entity_covariance(cover, passes, [DenseRows(asked.block(t, t + width)), shared])
+                parts.append(fuse.fuse_answers(own, other, min(width, asked.count - t)).select("entity", F.lit(t // width).alias("tile"), "estimate", F.col("variance").alias("v")))
+            found = reduce(DataFrame.unionByName, parts)
+        found = res.write_table(found, f"{base}/entities/{level}")
+        rows = intervals.with_moe(variance_intervals(found, list(names), width), alphas).withColumnRenamed("entity", "geocode")
+        done[level] = res.write_intervals(rows, f"{base}/intervals/{level}")
     return done
 
 
-def ask(entities: DataFrame, q: np.ndarray) -> DataFrame:
-    """(entity, estimate, covariance) of cells -> of the queries ``q``."""
-
-    def run(batches):
-        for pdf in batches:
-            cov = [pack(q @ unpack(c) @ q.T) for c in pdf["covariance"]]
-            est = [q @ np.asarray(b) for b in pdf["estimate"]]
-            yield pd.DataFrame({"entity": pdf["entity"], "estimate": pd.Series(est, dtype=object), "covariance": pd.Series(cov, dtype=object)})
-
-    return entities.select("entity", "estimate", "covariance").mapInPandas(run, "entity string, estimate array<double>, covariance array<double>")
+def stored_intervals(
+    spark: SparkSession, run: str, covers_of: Mapping[str, DataFrame], queries: Rows, names: Sequence[str], alphas: Sequence[float], out: str,
+    second_run: str | None = None, second_covers: Mapping[str, DataFrame] | None = None, first_map: Rows | None = None, second_map: Rows | None = None,
+) -> dict[str, DataFrame]:
+    """:func:`estimate_intervals` from finished runs in files, by their paths alone."""
+    second = load(spark, second_run) if second_run else None
+    return estimate_intervals(covers_of, load(spark, run), queries, names, alphas, out, second, second_covers, first_map, second_map)

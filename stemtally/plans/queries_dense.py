@@ -123,21 +123,30 @@ def _gls(share):
     return run
 
 
-query("gls_dense_15cell")(_gls(False))
-query("gls_signature")(_gls(True))
+_CELLS = sql(f"SELECT depth, geocode, cell, {rs('est', 'estimate')}, {rs('v', 'variance')} FROM cellsS")
+query("gls_dense_15cell", _CELLS)(_gls(False))
+query("gls_signature", _CELLS)(_gls(True))
 
 # status and total as rows over the 15 cells
 ASK = np.vstack([np.ones(CELLS), np.repeat(np.eye(3), 5, axis=1)])
 ASK_NAMES = ["total", "status_0", "status_1", "status_2"]
 
 
-@query("entity_covariance_dense")
+@query("entity_covariance_dense", sql(f"SELECT entity, query, {rs('est', 'estimate')}, {rs('sqrt(v)', 'std_dev')} FROM askS"))
 def _(t):
+    """All covariances of four queries per entity."""
     p = dense_passes(t).run_down()
-    e = ed.entity_covariance(t.segment_cover, p, ASK)
+    e = ed.entity_covariance(t.part_cover, p, ASK)
     return ed.covariance_intervals(e, ASK_NAMES).select("entity", "query", r("estimate"), r("std_dev"))
 
 
+@query("entity_variances_tiled", sql(f"SELECT entity, query, {rs('est', 'estimate')}, {rs('sqrt(v)', 'std_dev')} FROM askS"))
+def _(t):
+    """The same in tiles of three queries, variances alone."""
+    e = ed.entity_variances(t.part_cover, dense_passes(t).run_down(), ASK, 3)
+    return ed.variance_intervals(e, ASK_NAMES, 3).select("entity", "query", r("estimate"), r("std_dev"))
+
+
 def diagonal_inputs(t: Tables):
     """Only the detailed query: the dense tier must then repeat the diagonal one."""
     m = measurements(t).filter("query_name = 'detailed'")
@@ -148,8 +157,8 @@ def diagonal_inputs(t: Tables):
   WHERE q.query NOT LIKE 'priority%' GROUP BY 1, 2""", _QC))
 def _(t):
     p = gd.DensePasses(SPINE, CELLS, *diagonal_inputs(t)).run_down()
-    e = ed.entity_covariance(t.segment_cover, p, ASK)
-    return ed.covariance_intervals(e, ASK_NAMES).select("entity", "query", r("estimate"), r("std_dev"))
+    e = ed.entity_variances(t.segment_cover, p, ASK)
+    return ed.variance_intervals(e, ASK_NAMES, len(ASK_NAMES)).select("entity", "query", r("estimate"), r("std_dev"))
 
 
 @query("fuse_matrices", sql("""SELECT a.geocode AS entity, a.cell, round(a.est + a.v / (m.mv + 3.0) * (b.y - m.my), 6) + 0.0 AS estimate, round(a.v - a.v * a.v / (m.mv + 3.0), 6) + 0.0 AS variance

@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import uuid
+from statistics import NormalDist
 
 from pyspark.sql import functions as F
 
+from stemtally.catalog.attributes import Attribute
+from stemtally.catalog.schemas import Schema
 from stemtally.functions.lineage import checkpoint_root
 from stemtally.functions import matrices as mx
 from stemtally.operators import intervals, marginalize as mg, workloads as wl
-from stemtally.plans.fixtures import CELLS, SPINE, Tables, sql
+from stemtally.plans import interval_job as job
+from stemtally.plans.fixtures import SPINE, Tables, sql
 from stemtally.plans.queries_tabulation import _UNIT_ROWS
 from stemtally.plans.queries_estimates import _NAT, _QC, _nation_answers, _Z10, r, rs
 from stemtally.plans.registry import query
+from stemtally.plans.two_pass import run_two_pass_estimate
 from stemtally.sources import measurements as src, results as res
 
 
@@ -121,16 +126,86 @@ def _(t):
     return back.select("geocode", F.floor(F.col("k") / 5).cast("int").alias("row"), (F.col("k") % 5).alias("col"), "value")
 
 
-@query("two_pass_job", None)
+ORDERS = Schema("orders", [Attribute("status", "", ["F", "O", "P"], {"finished": [("finished", [0]), ("other", [1, 2])]}), Attribute("priority", "", list("12345"))])
+STATUSES = Schema("order statuses", [Attribute("status", "", ["F", "O", "P"])])
+ALPHAS = (0.05, 0.1)
+
+
+def store_run(t: Tables, root: str, arrays, skip: tuple[str, ...] = (), totals: bool = False, zeros: bool = False) -> str:
+    """An input of the estimation: ``arrays(depth)`` and, as constraints, true totals and rows that must be zero."""
+    for d, level in enumerate(SPINE.names):
+        m = arrays(d).select("geocode", F.concat("query_name", F.lit("_dpq")).alias("query_name"), "value", "variance")
+        if level not in skip:
+            m.write.parquet(src.level_path(root, level, src.MEASUREMENT_DIR))
+        n = t.true_counts(d).groupBy("geocode").agg(F.sum("n").alias("total"), F.array_sort(F.collect_list(F.struct("cell", "n"))).alias("s"))
+        con = n.select("geocode", F.lit("total_con").alias("query_name"), F.lit("=").alias("sign"), F.array(F.col("total") if totals else F.lit(1).cast("bigint")).alias("value"), F.lit("total").alias("part"))
+        if zeros:  # cells without orders: their upper bound is zero
+            con = con.unionByName(n.select("geocode", F.lit("cells_ub_con").alias("query_name"), F.lit("<=").alias("sign"), F.transform("s", lambda x: x["n"]).alias("value"), F.lit("detailed").alias("part")))
+        con.write.parquet(src.level_path(root, level, src.CONSTRAINT_DIR))
+    return root
+
+
+def _ask_orders(s: Schema, marginal: str) -> tuple[list, list[str]]:
+    """The total and the statuses, restated over the cells of a marginal."""
+    target = s.query(marginal)
+    return [mg.rows_on_marginal(s.query(n), target) for n in ("total", "status")], ["total", "status_0", "status_1", "status_2"]
+
+
+def _intervals_sql(relation: str) -> str:
+    z = [NormalDist().inv_cdf(1 - a / 2) for a in ALPHAS]
+    one = "SELECT entity AS geocode, query, {a}::DOUBLE AS alpha, {e}, {s}, round(sqrt(v) * {z!r}::DOUBLE, 6) + 0.0 AS moe FROM {r}"
+    return sql(" UNION ALL ".join(one.format(a=a, e=rs("est", "estimate"), s=rs("sqrt(v)", "std_dev"), z=x, r=relation) for a, x in zip(ALPHAS, z)), _FUSED)
+
+
+def _rounded(rows):
+    return rows.select("geocode", "query", "alpha", r("estimate"), r("std_dev"), r("moe"))
+
+
+# both runs fused scalar by scalar: the total, and the statuses' deviations from their mean
+_FUSED = ("askF", """WITH d AS (SELECT a.entity, a.query, a.est - t.est / 3 AS e, (a.v - t.v / 9) * 1.5 AS v FROM askS a JOIN askS t ON t.entity = a.entity AND t.query = 'total' WHERE a.query <> 'total'),
+  b AS (SELECT a.entity, a.query, a.est - t.est / 3 AS e, (a.v - t.v / 9) * 1.5 AS v FROM askB a JOIN askB t ON t.entity = a.entity AND t.query = 'total' WHERE a.query <> 'total'),
+  t AS (SELECT a.entity, CASE WHEN isinf(a.v) OR isinf(b.v) THEN a.est ELSE (a.est / a.v + b.est / b.v) / (1 / a.v + 1 / b.v) END AS est, CASE WHEN isinf(a.v) OR isinf(b.v) THEN a.v ELSE 1 / (1 / a.v + 1 / b.v) END AS v
+    FROM askS a JOIN askB b ON a.entity = b.entity AND a.query = b.query WHERE a.query = 'total')
+  SELECT entity, 'total' AS query, est, v FROM t UNION ALL
+  SELECT d.entity, d.query, t.est / 3 + CASE WHEN isinf(t.v) THEN d.e ELSE (d.e / d.v + b.e / b.v) / (1 / d.v + 1 / b.v) END, CASE WHEN isinf(t.v) THEN t.v ELSE t.v / 9 + (2.0 / 3) / (1 / d.v + 1 / b.v) END
+  FROM d JOIN b ON b.entity = d.entity AND b.query = d.query JOIN t ON t.entity = d.entity""")
+
+
+@query("two_pass_job", _intervals_sql("askJ"))
 def _(t):
-    """The whole job on stored files: read levels, estimate, cover the segments, write and read intervals."""
-    from stemtally.operators.gls_dense import DensePasses, dense_own
-    from stemtally.plans import interval_job as job
-    from stemtally.plans.queries_dense import ASK, ASK_NAMES, DETAILED, TOTAL
+    """The whole job from files: a marginal histogram, an exact total at the root, a missing level; intervals of segments within regions."""
+    root = store_run(t, scratch(t, "input"), t.arrays, skip=("Region",), totals=True)
+    passes = run_two_pass_estimate(t.spark, root, SPINE, ORDERS, scratch(t, "run"), "status", total_levels=("Root",), on_missing_level="bypass")
+    asked, names = _ask_orders(ORDERS, "status")
+    return _rounded(job.estimate_intervals({"Part": t.part_cover}, passes, asked, names, ALPHAS, scratch(t, "job"))["Part"])
 
-    rows = src.read_levels(t.spark, store(t), SPINE, on_missing_level="bypass")
-    design = mg.marginal_design(t.spark, DETAILED, DETAILED).unionByName(mg.marginal_design(t.spark, TOTAL, DETAILED))
-    passes = DensePasses(SPINE, CELLS, *dense_own(rows, design, CELLS)).run_down()
-    out = job.estimate_intervals({"Segment": t.segment_cover}, passes, ASK, ASK_NAMES, [0.05, 0.1], scratch(t, "job"))
-    return out["Segment"].select("geocode", "query", "alpha", r("estimate"), r("std_dev"), r("moe"))
 
+@query("masked_job", sql(f"SELECT depth, geocode, cell, {rs('est', 'estimate')} FROM finM"))
+def _(t):
+    """The whole job with cells held at zero above the leaves, from constraints on the detailed query."""
+    root = store_run(t, scratch(t, "input"), lambda d: t.arrays(d).filter("query_name = 'detailed'"), zeros=True)
+    passes = run_two_pass_estimate(t.spark, root, SPINE, ORDERS, scratch(t, "run"))
+    return passes.estimates().select("depth", "geocode", "cell", r("final_estimate", "estimate"))
+
+
+@query("resumed_run", _intervals_sql("askS"))
+def _(t):
+    """A run that stops half-way up, goes on from its files, and is opened again by the interval job from its path alone."""
+    root, out = store_run(t, scratch(t, "input"), t.arrays), scratch(t, "run")
+    if run_two_pass_estimate(t.spark, root, SPINE, ORDERS, out, until="up_2") is not None:
+        raise AssertionError("the run did not stop")
+    run_two_pass_estimate(t.spark, root, SPINE, ORDERS, out)
+    asked, names = _ask_orders(ORDERS, "detailed")
+    return _rounded(job.stored_intervals(t.spark, out, {"Part": t.part_cover}, asked, names, ALPHAS, scratch(t, "job"))["Part"])
+
+
+@query("fused_stored_runs", _intervals_sql("askF"))
+def _(t):
+    """Two stored runs over different histograms, fused on what both know: the three statuses."""
+    first, second = scratch(t, "first"), scratch(t, "second")
+    run_two_pass_estimate(t.spark, store_run(t, scratch(t, "input"), t.arrays), SPINE, ORDERS, first)
+    run_two_pass_estimate(t.spark, store_run(t, scratch(t, "input"), t.second_arrays), SPINE, STATUSES, second)
+    asked, names = _ask_orders(ORDERS, "detailed")
+    cover, shared = {"Part": t.part_cover}, job.projection_query(ORDERS, "status", "detailed")
+    done = job.stored_intervals(t.spark, first, cover, asked, names, ALPHAS, scratch(t, "job"), second, cover, shared, STATUSES.query("detailed"))
+    return _rounded(done["Part"])

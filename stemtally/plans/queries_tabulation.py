@@ -422,4 +422,7 @@ def _(t):
   FROM (SELECT geocode, list(est ORDER BY cell) AS v FROM own1 GROUP BY 1) CROSS JOIN (SELECT unnest([0, 1, 2]) AS r) r"""))
 def _(t):
     m = t.arrays(1).filter("query_name = 'detailed'").select("geocode", F.lit("tenvacgq").alias("query_name"), "value", F.lit(2.0).alias("variance"))
-    return mg.tenure_patch(m, keep_tenure=True)
+    rows = mg.tenure_rows(m).select("geocode", "query_name", "variance", F.posexplode("value").alias("row_ix", "value"))
+    three = tab.tabular_query(mg.TENURE[1], (3,))
+    design = mg.tenure_design(mg.marginal_design(t.spark, three, three), True)
+    return rows.join(design.select("query_name", "row_ix", "mult"), ["query_name", "row_ix"]).select("geocode", "query_name", "row_ix", "value", (F.col("variance") * F.col("mult")).alias("variance"))

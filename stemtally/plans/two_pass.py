@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from stemtally.operators import constraints as ct, marginalize as mg
 from stemtally.operators.gls_dense import DensePasses, dense_own
 from stemtally.operators.spine import level_inventory
 from stemtally.operators.tabulate import query_cell
+from stemtally.plans.stored_run import Stopped, StoredRun
 from stemtally.sources import measurements as src, results as res
 
 TENURE_SCHEMA = "DHCH_SCHEMA_TEN_3LEV"  # fixed value: schema whose tenure is measured inside the unit attribute
@@ -21,7 +23,7 @@ TENURE_SCHEMA = "DHCH_SCHEMA_TEN_3LEV"  # fixed value: schema whose tenure is me
 
 def prepare(
     spark: SparkSession, root: str, spine: Spine, histogram: Schema, marginal: str | None = None, total_levels: tuple[str, ...] = (),
-    household_root: str | None = None, suffix_len: int = 4, overwrite: bool = True, **dirs,
+    household_root: str | None = None, suffix_len: int = 4, overwrite: bool = True, cut: Callable[..., DataFrame] = cut_lineage, **dirs,
 ) -> tuple[DataFrame, DataFrame, DataFrame | None, int]:
     """Measurements over the marginal, their design, masked cells, and the number of cells.
 
@@ -32,9 +34,9 @@ def prepare(
     target = histogram.query(marginal or "detailed")
     rows = src.read_levels(spark, root, spine, suffix_len=suffix_len, **dirs)
     names = [r.query_name for r in rows.select("query_name").distinct().collect()]  # as many as the catalog has queries
-    if histogram.name == TENURE_SCHEMA and "tenvacgq" in names:
-        rows = _patch_tenure(rows)
-        names = [n for n in names if n != "tenvacgq"] + ["hhtenshort_3lev"]
+    if histogram.name == TENURE_SCHEMA and mg.TENURE[0] in names:
+        rows = mg.tenure_rows(rows)
+        names = [n for n in names if n != mg.TENURE[0]] + [mg.TENURE[1]]
     zeros, totals = None, None
     for level in spine.names[:-1]:
         c = ct.interpret(src.read_constraints(spark, root, level, dirs.get("constraint_directory", src.CONSTRAINT_DIR)), level in total_levels)
@@ -65,37 +67,20 @@ def prepare(
         if marginal is not None:
             arrays = mg.marginalised_arrays(arrays, q, target)
         design = mg.marginal_design(spark, q, target)
-        if n == "hhtenshort_3lev" and histogram.name == TENURE_SCHEMA:
-            design = _tenure_design(design, histogram, target)
+        if n == mg.TENURE[1] and histogram.name == TENURE_SCHEMA:
+            design = mg.tenure_design(design, target.factors[histogram.dims.index(n)].rows == 3)
         parts.append(res.level_of_geocode(arrays, spine))
         designs.append(design)
     masked = None
     if zeros is not None:
         masked = _masked_cells(spark, zeros, histogram, marginal)
     return (
-        cut_lineage(reduce(DataFrame.unionByName, parts), "measurements", by=["depth"]),
-        cut_lineage(reduce(DataFrame.unionByName, designs), "design"),
+        cut(reduce(DataFrame.unionByName, parts), "measurements", by=["depth"]),
+        cut(reduce(DataFrame.unionByName, designs), "design"),
         masked, target.num_rows,
     )
 
 
-def _patch_tenure(rows: DataFrame) -> DataFrame:
-    v = F.col("value")
-    three = F.when(v.isNotNull(), F.array(F.get(v, F.lit(0)), F.get(v, F.lit(1)), F.get(v, F.lit(2)) + F.get(v, F.lit(3))))
-    is_unit = F.col("query_name") == "tenvacgq"
-    return rows.withColumn("value", F.when(is_unit, three).otherwise(v)).withColumn(
-        "query_name", F.when(is_unit, "hhtenshort_3lev").otherwise(F.col("query_name"))
-    )
-
-
-def _tenure_design(design: DataFrame, histogram: Schema, target) -> DataFrame:
-    """The sum of the two rented rows has twice the variance; summed out, it is spread evenly."""
-    d = histogram.dims.index("hhtenshort_3lev")
-    kept = target.factors[d].rows == 3
-    scale = F.when(F.col("row_ix") % 3 == 2, 2.0).otherwise(1.0) if kept else F.lit(4.0 / 3)
-    return design.withColumn("mult", F.col("mult") * scale)
-
-
 def _masked_cells(spark: SparkSession, zeros: DataFrame, histogram: Schema, marginal: str | None) -> DataFrame:
     names = [r.query_name for r in zeros.select("query_name").distinct().collect()]  # catalog-sized
     known = [n for n in names if n and histogram.knows(n)]
@@ -113,17 +98,26 @@ def _masked_cells(spark: SparkSession, zeros: DataFrame, histogram: Schema, marg
 
 
 def run_two_pass_estimate(
-    spark: SparkSession, root: str, spine: Spine, schema_name: str, out: str, marginal: str | None = None,
-    total_levels: tuple[str, ...] = (), household_root: str | None = None, suffix_len: int = 4, share: bool = True, **dirs,
-) -> DensePasses:
-    """Estimate every cell of every unit; levels are stored under ``<out>/estimates/<Level>``."""
-    histogram = schema_by_name(schema_name)
-    rows, design, masked, n = prepare(spark, root, spine, histogram, marginal, total_levels, household_root, suffix_len, **dirs)
-    base = out.rstrip("/")
-    src.write_widths(spark, spine, f"{base}/widths")
-    passes = DensePasses(spine, n, *dense_own(rows, design, n, masked, share)).run_down()
-    for d, level in enumerate(spine.names):
-        passes.down[d] = res.write_table(passes.down[d], f"{base}/estimates/{level}")
-        if d < spine.depth:
-            passes.down_mats[d] = res.write_table(passes.down_mats[d], f"{base}/covariances/{level}")
-    return passes
+    spark: SparkSession, root: str, spine: Spine, histogram: Schema | str, out: str, marginal: str | None = None,
+    total_levels: tuple[str, ...] = (), household_root: str | None = None, suffix_len: int = 4, share: bool = True, until: str | None = None, **dirs,
+) -> DensePasses | None:
+    """Estimate every cell of every unit and keep all steps under ``out``; see :mod:`stemtally.plans.stored_run`.
+
+    A run that stopped, for whatever reason, goes on behind its last committed
+    step; a finished one is only opened. ``until`` names a step to stop after
+    (None comes back), such as ``up_2``, the estimates given the subtree of
+    level 2.
+    """
+    histogram = schema_by_name(histogram) if isinstance(histogram, str) else histogram
+    n = histogram.query(marginal or "detailed").num_rows
+    facts = {"root": root, "histogram": histogram.name, "marginal": marginal, "total_levels": total_levels, "household_root": household_root, "suffix_len": suffix_len, "share": share, "cells": n, **dirs}
+    run = StoredRun(spark, out, spine, facts, until)
+    try:
+        if "precision" in run.done:
+            own = run.read("own"), run.read("precision")
+        else:
+            rows, design, masked, n = prepare(spark, root, spine, histogram, marginal, total_levels, household_root, suffix_len, cut=run.cut, **dirs)
+            own = dense_own(rows, design, n, masked, share, run.cut)
+        return DensePasses(spine, n, *own, cut=run.cut).run_down()
+    except Stopped:
+        return None

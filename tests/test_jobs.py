@@ -8,7 +8,10 @@ from stemtally.functions.keys import Spine
 from stemtally.functions.matrices import unpack
 from stemtally.operators import constraints
 from stemtally.operators.gls_diagonal import SOFT_VARIANCE
+from stemtally.operators import tabulate as tab
+from stemtally.operators.query_rows import FactorRows, as_rows, contract, factor_matrix
 from stemtally.plans import interval_job as job
+from stemtally.plans.stored_run import StoredRun, load
 from stemtally.plans.two_pass import run_two_pass_estimate
 from stemtally.sources import measurements as src, results as res
 
@@ -76,9 +79,10 @@ def test_whole_job(spark, tmp_path):
         if x.geocode == "x":
             i = ["all", "married"].index(x["query"])
             assert x.estimate == pytest.approx((sx @ mean)[i], abs=1e-6) and x.std_dev == pytest.approx(np.sqrt((sx @ cov @ sx.T)[i, i]), rel=1e-6)
-    q1 = job.projection_matrix("HOUSEHOLDSMALL_SCHEMA", "hhsex", MARGINAL)
+    shared = job.projection_query("HOUSEHOLDSMALL_SCHEMA", "hhsex", MARGINAL)
+    q1 = FactorRows(shared).block(0, 2)
     assert q1.tolist() == [[1, 1, 1, 0, 0, 0], [0, 0, 0, 1, 1, 1]]
-    fused = job.estimate_intervals({"Pair": cover}, passes, np.eye(6), list("abcdef"), [0.1], str(tmp_path / "f"), passes, {"Pair": cover}, q1, q1)["Pair"]
+    fused = job.estimate_intervals({"Pair": cover}, passes, np.eye(6), list("abcdef"), [0.1], str(tmp_path / "f"), passes, {"Pair": cover}, shared, q1)["Pair"]
     v1 = np.hstack([np.eye(6), np.eye(6), np.zeros((6, 6))])
     v1, b1 = v1 @ cov @ v1.T, v1 @ mean
     w = np.linalg.inv(q1 @ v1 @ q1.T)
@@ -146,3 +150,39 @@ def test_households_of_another_tree_meet_by_leaf(spark):
 def test_a_constraint_without_sign_is_an_equality(spark):
     df = spark.createDataFrame([("1", "x_con", None, [0, 0], "detailed")], "geocode string, query_name string, sign string, value array<bigint>, hhgq string")
     assert constraints.interpret(df).count() == 2
+
+
+def test_a_run_goes_on_behind_its_last_step(spark, tmp_path):
+    root, out = str(tmp_path / "in"), str(tmp_path / "out")
+    write_inputs(spark, root, np.random.default_rng(6))
+    args = (spark, root, SPINE, "HOUSEHOLDSMALL_SCHEMA", out, MARGINAL)
+    assert run_two_pass_estimate(*args, until="up_1") is None
+    before = {r.step: r.row_count for r in StoredRun.existing(spark, out).commits().collect()}
+    assert before["up_1"] == 3 and "up_0" not in before
+    with pytest.raises(ValueError, match="not finished"):
+        load(spark, out)
+    with pytest.raises(ValueError, match="other parameters"):
+        run_two_pass_estimate(*args, total_levels=("Root",))
+    (tmp_path / "out" / "steps" / "own_0").mkdir()  # left behind by a run that broke off while it wrote
+    (tmp_path / "in" / "Leaf.parquet" / "DPQuery").rename(tmp_path / "gone")  # the input is not needed any more
+    whole = run_two_pass_estimate(*args)
+    again = load(spark, out)
+    (tmp_path / "gone").rename(tmp_path / "in" / "Leaf.parquet" / "DPQuery")
+    fresh = run_two_pass_estimate(*args[:4], str(tmp_path / "fresh"), MARGINAL)
+    want = {(r.geocode, r.cell): r.final_estimate for r in fresh.estimates().collect()}
+    for p in (whole, again):
+        assert {(r.geocode, r.cell): r.final_estimate for r in p.estimates().collect()} == pytest.approx(want, abs=1e-9)
+    assert {r.step for r in StoredRun.existing(spark, out).commits().collect()} >= set(before) | {"up_0", "final_0", "final_1"}
+    assert again.variances([1]).count() == 18 and "final_mats_1" in StoredRun.existing(spark, out).done  # leaf matrices on demand
+
+
+def test_query_rows_and_contraction():
+    q = tab.tabular_query("q", (3, 2, 4), {2: [[0, 1], [3]]}, [0])
+    whole = np.ones((1, 1))
+    for f in q.factors:
+        whole = np.kron(whole, factor_matrix(f))
+    rows = as_rows([q, np.eye(24)[:5], q])
+    assert rows.count == 13 and rows.cells == 24
+    assert np.array_equal(rows.block(0, 13), np.vstack([whole, np.eye(24)[:5], whole])) and np.array_equal(rows.block(3, 10), np.vstack([whole, np.eye(24)[:5], whole])[3:10])
+    x = np.random.default_rng(1).uniform(size=(7, 24))
+    assert np.allclose(contract([factor_matrix(f) for f in q.factors], x), x @ whole.T)
