@@ -35,7 +35,7 @@ from stemtally.functions.lineage import cut_lineage, release
 from stemtally.llm.common import carried, whole
 
 BLOCK = 600_000  # tokens packed at a time, unless one text has more
-RANGE_BYTES = 16_000_000  # text per hash range
+RANGE_BYTES = 4_000_000  # text per hash range
 VOCABULARY = 200_000  # word hashes remembered at a time; more are hashed again
 HEAD = 1 << 16
 RELIABLE = 5  # counts above are not discounted
@@ -142,6 +142,7 @@ def _joined(parts: pd.Series, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(parts), kind)
 
 
+PAIR, HISTORY, WORD, PAIRS_OF, WORDS_OF = range(5)  # kinds of counts
 COUNTED = "p int, h binary, runs binary, w binary, c binary, u binary, n binary"
 
 
@@ -176,18 +177,20 @@ def count(docs: DataFrame, ranges: int, min_count: int) -> DataFrame:
             at, n = _groups(h)
             sums, keep = np.add.reduceat(c, at), c >= min_count
             some = np.add.reduceat(keep, at, dtype=np.int64) > 0
-            tables += [("pair", h[keep], w[keep], c[keep]), ("history", h[at][some], h[at][some], sums[some])]
-            tables.append(("pairs_of", *_often(c)))
+            tables += [(PAIR, h[keep], w[keep], c[keep]), (HISTORY, h[at][some], h[at][some], sums[some])]
+            tables.append((PAIRS_OF, *_often(c)))
         u, k = _joined(pdf["u"], np.uint64), _joined(pdf["n"], np.uint32)
         if len(u):
             order = np.argsort(u)
             u, k = u[order], k[order]
             at, _ = _groups(u)
             k = np.add.reduceat(k, at, dtype=np.int64)
-            tables += [("word", u[at], u[at], k), ("words_of", *_often(k))]
-        return pd.concat([pd.DataFrame({"kind": t, "h": a.view(np.int64), "w": b.view(np.int64), "c": n.astype(np.int64)}) for t, a, b, n in tables])
+            tables += [(WORD, u[at], u[at], k), (WORDS_OF, *_often(k))]
+        kind = np.concatenate([np.full(len(a), t, np.int8) for t, a, *_ in tables])
+        h, w, c = (np.concatenate([x[k].view(np.int64) if k < 3 else x[k].astype(np.int64) for x in tables]) for k in (1, 2, 3))
+        return pd.DataFrame({"kind": kind, "h": h, "w": w, "c": c})
 
-    return docs.mapInPandas(pack, COUNTED).groupBy("p").applyInPandas(total, "kind string, h bigint, w bigint, c bigint")
+    return docs.mapInPandas(pack, COUNTED).groupBy("p").applyInPandas(total, "kind tinyint, h bigint, w bigint, c bigint")
 
 
 def _often(c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -236,20 +239,20 @@ def fit(docs: DataFrame, min_count: int = 1, text: str = "text") -> Model:
     ranges = int(size // RANGE_BYTES) + 1
     table = cut_lineage(count(base, ranges, min_count), "counts", by=["kind"])
     of = lambda kind: table.filter(F.col("kind") == kind).drop("kind")
-    often: dict[str, dict[int, int]] = {"words_of": {}, "pairs_of": {}}
+    often: dict[int, dict[int, int]] = {WORDS_OF: {}, PAIRS_OF: {}}
     for r in table.filter(F.col("kind").isin(*often)).groupBy("kind", "w").agg(F.sum("c").alias("n")).collect():
         often[r.kind][r.w] = r.n
-    one, two = discounts(often["words_of"]), discounts(often["pairs_of"], min_count)
+    one, two = discounts(often[WORDS_OF]), discounts(often[PAIRS_OF], min_count)
 
-    words = of("word").select("w", "c").withColumn("mass", _discounted(F.col("c"), one))
+    words = of(WORD).select("w", "c").withColumn("mass", _discounted(F.col("c"), one))
     tokens, distinct, mass = words.agg(F.sum("c"), F.count(F.lit(1)), F.sum("mass")).first()
     tokens, mass = tokens or 0, mass or 0.0
     total = tokens if mass < tokens - 0.25 else tokens + 1
     words = words.select("w", "c", (F.col("mass") / total).alias("prob"))
-    pairs = of("pair").join(words.select("w", "prob"), "w").withColumn("mass", _discounted(F.col("c"), two))
+    pairs = of(PAIR).join(words.select("w", "prob"), "w").withColumn("mass", _discounted(F.col("c"), two))
     pairs = cut_lineage(pairs, "pairs")
     sums = pairs.groupBy("h").agg(F.sum("mass").alias("mass"), F.sum("prob").alias("low"))
-    room = sums.join(of("history").select("h", F.col("c").alias("seen")), "h")
+    room = sums.join(of(HISTORY).select("h", F.col("c").alias("seen")), "h")
     room = room.withColumn("total", F.when(F.col("mass") < F.col("seen") - 0.25, F.col("seen")).otherwise(F.col("seen") + 1))
     left, low = 1 - F.col("mass") / F.col("total"), F.greatest(1 - F.col("low"), F.lit(1e-12))
     alphas = cut_lineage(room.select("h", "total", F.log10(left / low).alias("alpha")), "weights")
