@@ -152,7 +152,7 @@ class DensePasses:
             F.lit(0).cast("bigint").alias("num_siblings"), F.lit(0).cast("bigint").alias("kinds"),
         )
         self.mats[d] = self.cut(self._solve_up(sigs), f"mats_{d}")
-        self._finish_up(d, nodes.withColumnRenamed("own_sig", "sig").withColumn("known", F.lit(None).cast("array<double>")))
+        self._finish_up(d, nodes.withColumnRenamed("own_sig", "sig").withColumn("known", F.lit(None).cast("array<double>")), True)
 
     def _build_level(self, k: int, nodes: DataFrame, precision: DataFrame) -> None:
         w, leaf = self.spine.widths[k], k + 1 == self.spine.depth
@@ -216,7 +216,7 @@ class DensePasses:
             "sig string, c array<double>, j array<double>, f array<double>, free bigint, num_siblings bigint, kinds bigint",
         )
 
-    def _finish_up(self, k: int, nodes: DataFrame) -> None:
+    def _finish_up(self, k: int, nodes: DataFrame, stored: bool = False) -> None:
         """up = C (rhs + J * sum of the children's up), batch by batch."""
         n = self.n
 
@@ -233,7 +233,7 @@ class DensePasses:
 
         out = apply_by_signature(
             nodes.select("geocode", "sig", "rhs", "known"), self.mats[k].select("sig", "c", "j"), "sig", run,
-            "geocode string, sig string, up array<double>", row_bytes=24 * n,
+            "geocode string, sig string, up array<double>", row_bytes=24 * n, stored=stored,
         )
         self.nodes[k] = self.cut(out, f"up_{k}")
 
@@ -289,7 +289,7 @@ class DensePasses:
 
         general = apply_by_signature(
             kids.filter("scale is null").select("geocode", "sig", "dsig", "base", "residual"), gains, "dsig", run,
-            "geocode string, sig string, dsig string, estimate array<double>", row_bytes=24 * n,
+            "geocode string, sig string, dsig string, estimate array<double>", row_bytes=24 * n, stored=True,
         )
         self.down[k] = self.cut(plain.unionByName(general), f"final_{k}")
 
@@ -304,7 +304,7 @@ class DensePasses:
             .select("dsig", "sig", "how", "c", "j", "f", "free", "num_siblings", "above")
         )
 
-        def one(r) -> np.ndarray | None:
+        def one(r: dict) -> np.ndarray | None:
             if r["how"] == "alone":
                 return r["c"]
             if r["how"] == "rest":
@@ -383,6 +383,6 @@ def own_estimates(nodes: DataFrame, precision: DataFrame, n: int) -> tuple[DataF
 
     units = apply_by_signature(
         nodes.select("depth", "geocode", "own_sig", "rhs"), mats, "own_sig", run,
-        "depth int, geocode string, own_sig string, estimate array<double>", row_bytes=24 * n,
+        "depth int, geocode string, own_sig string, estimate array<double>", row_bytes=24 * n, stored=True,
     )
     return units, mats
