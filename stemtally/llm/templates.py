@@ -4,18 +4,17 @@ Numbers, names and units become typed placeholders; a document that shares a
 window of template tokens with an item is a candidate, and what stands in the
 slots must agree: one value of the item is one value of the document
 throughout, and the other way round. So a question with other numbers or
-names is found, and a text that only has the same shape is not.
+names is found, and a text that only has the same shape is not. A capital at
+the start of a sentence may be a name or not, so texts are read both ways.
 
-The benchmark goes to the tasks in blocks of bounded size, one pass over the
-documents each; documents are never shuffled.
+Windows of items and documents meet in a hash join. Documents are read once
+and never shuffled: only their windows that pass a filter of fixed size are.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
-from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -27,8 +26,8 @@ from stemtally.functions.lineage import cut_lineage
 from stemtally.llm.common import carried, small, whole
 from stemtally.llm.substring import NO_ID, Rolling, keyed
 
-WINDOW, SHORTEST, LITERALS = 13, 5, 8
-BLOCK_BYTES = 8_000_000  # of item texts per pass
+WINDOW, SHORT, LITERALS = 13, 5, 8
+FILTER_BITS = 1 << 22  # of each of the two bitmaps over the windows of the items
 BATCH_WORDS = 300_000
 VOCABULARY = 400_000
 
@@ -92,15 +91,16 @@ def split(text: str) -> list[str]:
     return text.replace("\n", " . ").split()  # a line break ends a sentence
 
 
-def template(lexicon: Lexicon, place: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def template(lexicon: Lexicon, place: np.ndarray, first: np.ndarray, names: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, is a slot, index of its first word) of the template tokens of words at ``place``; ``first`` marks where texts begin.
 
-    Marks alone are skipped, a run of names is one slot, a number and its unit are one slot.
+    Marks alone are skipped, a run of names is one slot, a number and its unit
+    are one slot. A capital that begins a sentence is a name if ``names``.
     """
     kind, ends = lexicon.kind[place], lexicon.ends[place]
     begins = first.copy()
     begins[1:] |= ends[:-1]
-    name = (kind == CAPITAL) & ~begins
+    name = (kind == CAPITAL) & (names | ~begins)
     before = np.zeros(len(kind), bool)
     before[1:] = ~first[1:]
     unit = (kind == UNIT) & before & np.append(False, (kind == NUM)[:-1])
@@ -111,109 +111,138 @@ def template(lexicon: Lexicon, place: np.ndarray, first: np.ndarray) -> tuple[np
     return h[keep], (name | with_unit | (kind == NUM))[keep], np.flatnonzero(keep)
 
 
-class Items:
-    """Template windows of a block of benchmark items, by length and hash."""
-
-    def __init__(self, rows: list[tuple], window: int):
-        lexicon, rolling = Lexicon(), Rolling()
-        self.windows: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-        self.ids, self.values, self.slots = [], [], []
-        for item, text in rows:
-            words = split(text or "")
-            if not words:
-                continue
-            place = lexicon.places(words)
-            h, slot, at = template(lexicon, place, np.arange(len(words)) == 0)
-            if len(h) < SHORTEST:
-                continue
-            n = min(window, len(h))
-            rolling.load(np.stack([h, h]))
-            start = np.arange(len(h) - n + 1)
-            for s, x in zip(start, rolling.stretch(0, start, start + n), strict=True):
-                self.windows[n][int(x)].append((len(self.ids), int(s)))
-            self.ids.append(item)
-            self.values.append(slot_values(lexicon, place, at, slot))
-            self.slots.append(np.concatenate([[0], np.cumsum(slot)]))
-        self.windows = {n: dict(w) for n, w in self.windows.items()}
-        self.sorted = {n: np.sort(np.array(list(w), np.uint64)) for n, w in self.windows.items()}
-
-
 def slot_values(lexicon: Lexicon, place: np.ndarray, at: np.ndarray, slot: np.ndarray) -> dict[int, str]:
     """What stands in each slot: all words up to the next template token."""
     end = np.append(at[1:], len(place))
     return {int(k): " ".join(filter(None, (lexicon.value[p] for p in place[at[k] : end[k]]))) for k in np.flatnonzero(slot)}
 
 
-def consistent(items: Items, item: int, hits: list[tuple[int, int]], n: int, values: dict[int, str], literals: int) -> int:
-    """Windows (item position, text position) whose slots agree with those before them.
+def read(lexicon: Lexicon, place: np.ndarray, first: np.ndarray, names: int, before: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """:func:`template` with or without ``names`` that begin a sentence; None if that is what ``before`` is."""
+    out = template(lexicon, place, first, bool(names))
+    return None if before is not None and len(out[0]) == len(before[0]) and (out[0] == before[0]).all() else out
 
-    A window with few literal words must have the very values of the item.
-    """
-    there, back, good = {}, {}, 0
-    for a, b in hits:
-        slots = items.slots[item]
-        pairs = [(items.values[item][a + k], values[b + k]) for k in range(n) if slots[a + k + 1] > slots[a + k]]
-        if n - len(pairs) < min(literals, n - 1) and any(x != y for x, y in pairs):
-            continue
-        new_there, new_back = dict(pairs), {y: x for x, y in pairs}
-        if all(there.get(x, new_there[x]) == y == new_there[x] and back.get(y, new_back[y]) == x == new_back[y] for x, y in pairs):
-            there.update(new_there)
-            back.update(new_back)
-            good += 1
-    return good
 
+WINDOWS = "names tinyint, n tinyint, x bigint, item bigint, ikey bigint, a int, total int, tokens int, literals tinyint, there array<string>"
 
-def search(docs: DataFrame, items: Items, literals: int = LITERALS) -> DataFrame:
-    """(did, tkey, item, n_windows) of one pass; ``docs`` has did, tkey and text."""
-    shared = docs.sparkSession.sparkContext.broadcast(vars(items))
 
-    def block(lexicon: Lexicon, rolling: Rolling, rows: list[tuple[int, int, list[str]]]) -> Iterator[tuple]:
-        items = SimpleNamespace(**shared.value)
+def item_windows(bench: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Every template window of every item (item, text), read twice: words that begin a sentence as words, and as names.
+
+    ``there`` has the slots' values, empty for literal tokens; an item of
+    fewer tokens than a window is one window.
+    """
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lexicon, rolling = Lexicon(), Rolling()
+        for pdf in batches:
+            out = []
+            for item, ikey, text in zip(pdf["item"], pdf["ikey"], pdf["text"], strict=True):
+                words, before = split(text), None
+                if not words:
+                    continue
+                place = lexicon.places(words)
+                for names in (0, 1):
+                    got = read(lexicon, place, np.arange(len(words)) == 0, names, before)
+                    if got is None:
+                        continue
+                    h, slot, at = before = got
+                    n = min(window, len(h))
+                    if not n:
+                        continue
+                    rolling.load(np.stack([h, h]))
+                    start = np.arange(len(h) - n + 1)
+                    values = slot_values(lexicon, place, at, slot)
+                    for k, x in zip(start, rolling.stretch(0, start, start + n).view(np.int64), strict=True):
+                        there = [values.get(int(j), "") for j in range(k, k + n)]
+                        out.append((names, n, x, item, ikey, k, len(start), len(h), n - int(slot[k : k + n].sum()), there))
+            yield pd.DataFrame(out, columns=["names", "n", "x", "item", "ikey", "a", "total", "tokens", "literals", "there"])
+
+    return bench.mapInPandas(work, WINDOWS)
+
+
+def window_filter(windows: DataFrame) -> tuple[list[int], np.ndarray]:
+    """The lengths of the items' windows, and two bitmaps of FILTER_BITS over their hashes: a window that misses one of them is no item's."""
+    bit = lambda k: F.shiftrightunsigned("x", 22 * k).bitwiseAND(FILTER_BITS - 1)
+    places = windows.select(F.col("n").cast("int").alias("n"), F.explode(F.array(*[bit(k) + k * FILTER_BITS for k in (0, 1)])).alias("b")).distinct().toPandas()  # at most 2 * FILTER_BITS for each length
+    bits = np.zeros(2 * FILTER_BITS, bool)
+    bits[places["b"].to_numpy(np.int64)] = True
+    return sorted(set(places["n"].tolist())), bits
+
+
+HITS = "did bigint, tkey bigint, names tinyint, n tinyint, x bigint, s int, here array<string>"
+
+
+def doc_windows(docs: DataFrame, lengths: list[int], bits: np.ndarray) -> DataFrame:
+    """Windows of ``docs`` (did, tkey, text) that pass the filter, with their slots' values."""
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bits, bitorder="little"))
+
+    def block(lexicon: Lexicon, rolling: Rolling, held: np.ndarray, rows: list[tuple[int, int, list[str]]]) -> Iterator[tuple]:
         sizes = np.array([len(w) for _, _, w in rows])
         if not sizes.sum():
             return
-        place = lexicon.places([x for _, _, w in rows for x in w])
-        ends = np.cumsum(sizes)
+        place, ends, before = lexicon.places([x for _, _, w in rows for x in w]), np.cumsum(sizes), None
         first = np.zeros(len(place), bool)
         first[(ends - sizes)[sizes > 0]] = True
-        h, slot, at = template(lexicon, place, first)
-        doc = np.searchsorted(ends, at, side="right")
-        rolling.load(np.stack([h, h]))
-        for n, known in items.sorted.items():
-            start = np.arange(len(h) - n + 1)
-            if not len(start):
+        for names in (0, 1):
+            got = read(lexicon, place, first, names, before)
+            if got is None:
                 continue
-            x = rolling.stretch(0, start, start + n)
-            hit = np.flatnonzero((known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x) & (doc[start] == doc[start + n - 1]))
-            found: dict[tuple[int, int, int], list[tuple[int, int]]] = defaultdict(list)
-            for s in hit:
-                for item, a in items.windows[n][int(x[s])]:
-                    found[int(doc[s]), item, int(s) - a].append((a, int(s)))
-            total: dict[tuple[int, int], int] = defaultdict(int)
-            for (d, item, _), pairs in found.items():
-                lo, hi = pairs[0][1], pairs[-1][1] + n
-                stop = at[hi] if hi < len(at) else len(place)
-                values = slot_values(lexicon, place[:stop], at[lo:hi], slot[lo:hi])
-                total[d, item] += consistent(items, item, pairs, n, {k + lo: v for k, v in values.items()}, literals)
-            for (d, item), good in total.items():
-                if good:
-                    yield rows[d][0], rows[d][1], items.ids[item], good
+            h, slot, at = before = got
+            doc = np.searchsorted(ends, at, side="right")
+            rolling.load(np.stack([h, h]))
+            for n in lengths:
+                start = np.arange(len(h) - n + 1)
+                if not len(start):
+                    continue
+                x = rolling.stretch(0, start, start + n)
+                ok = held[(x & np.uint64(FILTER_BITS - 1)).astype(np.int64)]
+                some = np.flatnonzero(ok)
+                some = some[held[((x[some] >> np.uint64(22)) & np.uint64(FILTER_BITS - 1)).astype(np.int64) + FILTER_BITS]]
+                for k in some[doc[some] == doc[some + n - 1]]:
+                    stop = at[k + n] if k + n < len(at) else len(place)
+                    values = slot_values(lexicon, place[:stop], at[k : k + n], slot[k : k + n])
+                    d = doc[k]
+                    yield rows[d][0], rows[d][1], names, n, int(x[k].view(np.int64)), int(k), [values.get(j, "") for j in range(n)]
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lexicon, rolling, rows, size = Lexicon(), Rolling(), [], 0
+        lexicon, rolling, held = Lexicon(), Rolling(), np.unpackbits(shared.value, bitorder="little").view(bool)
         for pdf in batches:
-            out = []
+            out, rows, size = [], [], 0
             for did, tkey, text in zip(pdf["did"], pdf["tkey"], pdf["text"], strict=True):
                 rows.append((did, tkey, split(text.decode(errors="replace"))))
                 size += len(rows[-1][2])
                 if size >= BATCH_WORDS:
-                    out += block(lexicon, rolling, rows)
+                    out += block(lexicon, rolling, held, rows)
                     rows, size = [], 0
-            out += block(lexicon, rolling, rows)
-            rows, size = [], 0
-            yield pd.DataFrame(out, columns=["did", "tkey", "item", "n_windows"])
+            out += block(lexicon, rolling, held, rows)
+            yield pd.DataFrame(out, columns=["did", "tkey", "names", "n", "x", "s", "here"])
+
+    return docs.mapInPandas(work, HITS)
 
-    return docs.mapInPandas(work, "did bigint, tkey bigint, item bigint, n_windows bigint")
+
+def agreeing(pdf: pd.DataFrame, literals: int) -> int:
+    """Windows of one item in one place of one document whose slots agree: one value of the item is one of the document throughout, and the other way round.
+
+    A window with few literal words counts if the values are the item's own,
+    or if the whole item is there; a very short item must be there as it is.
+    """
+    there, back, good = {}, {}, 0
+    pdf = pdf.sort_values("a")
+    exact = pdf["tokens"].iloc[0] < SHORT
+    whole_ = not exact and pdf["a"].nunique() == pdf["total"].iloc[0]
+    rows = []
+    for n, lit, x, y in zip(pdf["n"], pdf["literals"], pdf["there"], pdf["here"], strict=True):
+        pairs = [(p, q) for p, q in zip(x, y, strict=True) if p or q]
+        same = all(p == q for p, q in pairs)
+        rows.append((pairs, same or (not exact and (lit >= min(literals, n - 1) or whole_))))
+    for pairs, ok in rows:
+        new, old = dict(pairs), {q: p for p, q in pairs}
+        if ok and all(there.get(p, new[p]) == q == new[p] and back.get(q, old[q]) == p == old[q] for p, q in pairs):
+            there |= new
+            back |= old
+            good += 1
+    return good
 
 
 def leaks(
@@ -222,26 +251,24 @@ def leaks(
 ) -> DataFrame:
     """(did, tkey, item, n_windows): documents that hold template windows of an item with consistent slots.
 
-    Items shorter than a window are searched whole; those under SHORTEST
-    template tokens, empty and null ones are not searched, as any text would
-    hold them. An empty benchmark gives no rows. (did, tkey) name the
-    document as in the substring operator.
+    Windows of documents and of items meet in a join on their hashes; a filter
+    of fixed size keeps those of documents that no item has from it. Items
+    shorter than a window are searched whole, those under SHORT template
+    tokens as they are, empty and null ones not at all. An empty benchmark
+    gives no rows. (did, tkey) name the document as in the substring operator.
     """
-    bench = benchmark.select(F.col(item_id).cast("bigint").alias("item"), whole(item_text).alias("text")).filter("text <> ''")
-    size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = int(size // BLOCK_BYTES) + 1
-    base, found = keyed(docs, doc_id, text), []
-    for k in range(n):
-        rows = [tuple(r) for r in bench.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).collect()]  # about BLOCK_BYTES
-        items = Items(rows, window)
-        if items.ids:
-            found.append(cut_lineage(search(base, items, literals), "leaks"))
-    if not found:
-        return docs.sparkSession.createDataFrame([], "did bigint, tkey bigint, item bigint, n_windows bigint")
-    out = found[0]
-    for more in found[1:]:
-        out = out.union(more)
-    return out.groupBy("did", "tkey", "item").agg(F.max("n_windows").alias("n_windows"))
+    bench = benchmark.select(F.col(item_id).cast("bigint").alias("item"), whole(item_text).alias("text")).filter("text <> ''").distinct()
+    windows = cut_lineage(item_windows(bench.withColumn("ikey", F.xxhash64("item", "text")), window), "windows")
+    lengths, bits = window_filter(windows)
+    hits = cut_lineage(doc_windows(keyed(docs, doc_id, text), lengths, bits), "hits").dropDuplicates(["did", "tkey", "names", "n", "s"])
+    met = hits.join(small(windows), ["names", "n", "x"]).withColumn("off", F.col("s") - F.col("a"))
+
+    def count(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"did": [key[0]], "tkey": [key[1]], "item": [pdf["item"].iloc[0]], "ikey": [key[2]], "names": [key[3]], "good": [agreeing(pdf, literals)]})
+
+    each = met.groupBy("did", "tkey", "ikey", "names", "off").applyInPandas(count, "did bigint, tkey bigint, item bigint, ikey bigint, names tinyint, good bigint")
+    found = each.filter("good > 0").groupBy("did", "tkey", "item", "ikey", "names").agg(F.sum("good").alias("good"))
+    return found.groupBy("did", "tkey", "item").agg(F.max("good").alias("n_windows"))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:

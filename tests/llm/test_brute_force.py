@@ -8,6 +8,8 @@ import zlib
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -264,6 +266,49 @@ def test_templates(spark):
     assert set(found) == {1}  # the two slots of the item hold one value
 
 
+def test_templates_of_short_and_reparameterised_items(spark):
+    items = [(1, "Compute 3 plus 4"), (2, "What is 15 plus 27 in total"), (3, "Tom has 5 apples and gives 2 apples to his sister"), (4, "yes"), (5, None), (6, "  ")]
+    texts = [
+        (1, "now Compute 3 plus 4 please"), (2, "now compute 5 plus 4 please"), (3, "What is 18 plus 31 in total"), (4, "What is 15 minus 27 in total"),
+        (5, "Anna has 7 apples and gives 3 apples to his sister"), (6, "Anna has 7 apples and gives 3 pears to his sister"), (7, "he said yes."), (8, None), (9, "What is 18 plus 31 in all"),
+    ]
+    got = templates.leaks(spark.createDataFrame(texts, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert {(r.did, r.item) for r in got} == {(1, 1), (3, 2), (5, 3), (7, 4)}
+
+
+def test_templates_by_brute_force(spark):
+    """Every window of every text against every window of every item, without hashes, filter or join."""
+    dice, vocabulary = random.Random(8), "the old train leaves a station and travels for many hours while it rains on all of us".split()
+    say = lambda n: [dice.choice([*vocabulary, str(dice.randint(1, 3)), f"{dice.randint(1, 3)} km", "Peter", "Anna"]) for _ in range(n)]
+    items = [(k, " ".join(say(dice.choice((2, 4, 6, 9, 14, 22))))) for k in range(25)]
+    change = lambda w: [str(dice.randint(1, 3)) if x.isdigit() and dice.random() < 0.5 else dice.choice(["Peter", "Anna", "Carl"]) if x[0].isupper() else x for x in w]
+    texts = [(k, " ".join(say(dice.randint(0, 10)) + change(dice.choice(items)[1].split())[: dice.choice((99, 14, 5))] + [dice.choice(["", "."])] + say(dice.randint(0, 20)))) for k in range(150)]
+
+    def tokens(t, names):
+        lexicon, words = templates.Lexicon(), templates.split(t)
+        place = lexicon.places(words)
+        h, slot, at = templates.template(lexicon, place, np.arange(len(words)) == 0, names)
+        values = templates.slot_values(lexicon, place, at, slot)
+        return [(int(x), values.get(k, "") if s else "") for k, (x, s) in enumerate(zip(h, slot, strict=True))]
+
+    want = set()
+    for names in (False, True):
+        read = {d: tokens(t, names) for d, t in texts}
+        for i, item in items:
+            x = tokens(item, names)
+            n = min(13, len(x))
+            for d, y in read.items():
+                for off in range(-len(x), len(y)):
+                    rows = [(a, x[a : a + n], y[off + a : off + a + n]) for a in range(len(x) - n + 1) if 0 <= off + a <= len(y) - n]
+                    rows = [(a, p, q) for a, p, q in rows if [z[0] for z in p] == [z[0] for z in q]]
+                    if rows:
+                        pdf = pd.DataFrame([(a, len(x) - n + 1, len(x), n, sum(not z[1] for z in p), [z[1] for z in p], [z[1] for z in q]) for a, p, q in rows], columns=["a", "total", "tokens", "n", "literals", "there", "here"])
+                        if templates.agreeing(pdf, templates.LITERALS):
+                            want.add((d, i))
+    got = templates.leaks(spark.createDataFrame(texts, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert len(want) > 40 and {(r.did, r.item) for r in got} == want
+
+
 def test_planted_passages_of_the_benchmark(spark, sf_dir, docs):
     items = dict(duckdb.sql(f"SELECT item_id, text FROM '{sf_dir}/benchmark.parquet'").fetchall())
     plain = lambda t: " " + " ".join(re.findall(r"\w+", t.lower())) + " "
