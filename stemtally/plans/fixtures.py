@@ -13,6 +13,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stemtally.functions.grouped import sum_arrays
 from stemtally.functions.keys import Spine, prefix
 from stemtally.functions.lineage import cut_lineage
 from stemtally.operators import gls_diagonal as gd
@@ -143,6 +144,40 @@ class Tables:
         return detailed.unionByName(total).select(F.lit(depth).alias("depth"), "*")
 
 
+WIDE = (8, 2, 2, 63)  # attributes of a wide histogram of orders
+WIDE_CELLS = 2016
+
+
+def wide_cell() -> Column:
+    """Order number modulo 8, finished or not, urgent or not, day of the year modulo 63."""
+    status, urgent = (F.col("o_orderstatus") != "F").cast("int"), (F.left("o_orderpriority", F.lit(1)).cast("int") > 2).cast("int")
+    return (((F.col("o_orderkey") % 8) * 2 + status) * 2 + urgent) * 63 + F.dayofyear("o_orderdate") % 63
+
+
+def wide_measurements(t: Tables) -> DataFrame:
+    """(depth, geocode, query_name, value, variance) of all cells, of the first attribute and of the total, over the wide histogram."""
+    n = t.read("orders").groupBy(F.col("o_custkey").alias("key"), wide_cell().cast("int").alias("cell")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    held = n.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("cell", "n"))).alias("n"))  # WIDE_CELLS entries at most
+    every = F.sequence(F.lit(0), F.lit(WIDE_CELLS - 1))
+    level = t.leaf.join(held, "key", "left").select("geocode", "key", F.transform(every, lambda i: F.coalesce(F.try_element_at("n", i), F.lit(0.0))).alias("n"))
+    out = None
+    for d in range(SPINE.depth, -1, -1):
+        if d < SPINE.depth:
+            level = sum_arrays(level.withColumn("geocode", prefix("geocode", SPINE.widths[d])), ["geocode"], ["n"])
+            level = level.withColumn("key", {0: F.lit(0), 1: F.col("geocode"), 2: F.substring("geocode", 2, 2)}[d].cast("bigint"))
+        level = cut_lineage(level.select("geocode", "key", "n"), "wide")
+        y = F.transform("n", lambda x, i: x + (F.col("key") * 31 + i * 17) % 13 - 6)
+        total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+        rows = level.select("geocode", "key", y.alias("y"))
+        first = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: total(F.slice("y", k * 252 + 1, F.lit(252))) + k)
+        v = F.when(t.bypassed(d), F.lit(float("inf"))).otherwise(F.lit(VARIANCE[d]))
+        one = lambda name, value, var: F.struct(F.lit(name).alias("query_name"), value.alias("value"), var.alias("variance"))
+        asked = F.array(one("detailed", F.col("y"), v), one("first", first, v / 2), one("total", F.array(total(F.col("y")) + 3), F.lit(VARIANCE[d] * 2)))
+        part = rows.select(F.lit(d).alias("depth"), "geocode", F.inline(asked))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def order_cell() -> Column:
     status = F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2)
     return status * 5 + F.left("o_orderpriority", F.lit(1)).cast("int") - 1
@@ -254,6 +289,26 @@ _CTES += _parted("J", 3, _STATUS, _TOTAL | {0: "SELECT geocode, CAST(sum(n) AS D
 _SECOND = {d: f"""SELECT geocode, cell // 5 AS cell, CASE WHEN {_OFF[d]} THEN 0 ELSE CAST(sum(n) + (any_value(key) * 7 + cell // 5) % 11 - 5 AS DOUBLE) END AS y,
       CASE WHEN {_OFF[d]} THEN NULL ELSE {VARIANCE[d]} * 1.5 END AS v FROM true{d} GROUP BY geocode, cell // 5, key""" for d in range(4)}
 _CTES += _parted("B", 3, _SECOND, {d: f"SELECT geocode, sum(y) + 2 AS y, any_value(v) * 3 AS v FROM ({_SECOND[d]}) GROUP BY 1" for d in range(4)})
+# the wide histogram: cells within a level of the first attribute, levels against their mean, and the total never meet
+_CTES.append(("widecell", f"""SELECT o_custkey AS key, CAST(((o_orderkey % 8 * 2 + CAST(o_orderstatus <> 'F' AS INTEGER)) * 2 + CAST(CAST(substr(o_orderpriority, 1, 1) AS INTEGER) > 2 AS INTEGER)) * 63 + dayofyear(o_orderdate) % 63 AS INTEGER) AS cell,
+      count(*) AS n FROM orders GROUP BY 1, 2"""))
+_CTES.append(("wide3", f"SELECT l.geocode, l.key, CAST(r.cell AS INTEGER) AS cell, coalesce(c.n, 0) AS n FROM leaf l CROSS JOIN range({WIDE_CELLS}) r(cell) LEFT JOIN widecell c ON c.key = l.key AND c.cell = r.cell"))
+_CTES += [(f"wide{d}", f"SELECT {g} AS geocode, CAST({k} AS BIGINT) AS key, cell, CAST(sum(n) AS BIGINT) AS n FROM wide3 GROUP BY ALL") for d, g, k in
+          ((2, "substr(geocode, 1, 3)", "substr(geocode, 2, 2)"), (1, "substr(geocode, 1, 1)", "substr(geocode, 1, 1)"), (0, "''", "0"))]
+for _d in range(4):
+    _v = float(VARIANCE[_d])
+    _CTES.append((f"own{_d}W", f"""WITH y AS (SELECT geocode, cell, {_OFF[_d]} AS off, n + (key * 31 + cell * 17) % 13 - 6.0 AS y FROM wide{_d}),
+      l AS (SELECT geocode, cell // 252 AS k, any_value(off) AS off, sum(y) AS y FROM y GROUP BY 1, 2), m AS (SELECT *, avg(y) OVER (PARTITION BY geocode) AS mean FROM l),
+      t AS (SELECT geocode, any_value(off) AS off, sum(y) AS y FROM l GROUP BY 1)
+      SELECT y.geocode, y.cell, CASE WHEN y.off THEN 0 ELSE y.y - l.y / 252 END AS est, CASE WHEN y.off THEN NULL ELSE {_v} END AS v FROM y JOIN l ON l.geocode = y.geocode AND l.k = y.cell // 252
+      UNION ALL SELECT geocode, {WIDE_CELLS} + k, CASE WHEN off THEN 0 ELSE ((y - mean) / {252 * _v} + (y - mean + k - 3.5) / {_v / 2}) / (1 / {252 * _v} + 1 / {_v / 2}) END, CASE WHEN off THEN NULL ELSE 1 / (1 / {252 * _v} + 1 / {_v / 2}) END FROM m
+      UNION ALL SELECT geocode, {WIDE_CELLS + 8}, CASE WHEN off THEN 0 ELSE (y / {WIDE_CELLS * _v} + (y + 28) / {4 * _v} + (y + 3) / {2 * _v}) / (1 / {WIDE_CELLS * _v} + 1 / {4 * _v} + 1 / {2 * _v}) END,
+        CASE WHEN off THEN NULL ELSE 1 / (1 / {WIDE_CELLS * _v} + 1 / {4 * _v} + 1 / {2 * _v}) END FROM t"""))
+_CTES += _estimates("W")
+_CTES.append(("levelsW", f"""SELECT l.depth, l.geocode, CAST(l.cell - {WIDE_CELLS} AS INTEGER) AS k, l.est + t.est / 8 AS est, l.v * (7.0 / 8) + t.v / 64 AS v
+      FROM finW l JOIN finW t ON t.depth = l.depth AND t.geocode = l.geocode WHERE l.cell BETWEEN {WIDE_CELLS} AND {WIDE_CELLS + 7} AND t.cell = {WIDE_CELLS + 8}"""))
+_CTES.append(("pickedW", f"""SELECT l.depth, l.geocode, l.k, l.est AS level_est, l.v AS level_v, c.est + l.est / 252 AS cell_est, c.v * (251.0 / 252) + l.v / {252 * 252} AS cell_v
+      FROM levelsW l JOIN finW c ON c.depth = l.depth AND c.geocode = l.geocode AND c.cell = l.k * 252 + (l.k * 37 + 11) % 252"""))
 # the detailed query alone, with cells of no count held at zero above the leaves
 _CTES += [(f"own{d}M", f"""SELECT t.geocode, t.cell, CASE WHEN o.v IS NULL THEN 0.0 WHEN t.n = 0 AND {d} < 3 THEN o.est / o.v / (1 / o.v + 16384) ELSE o.est END AS est,
       CASE WHEN o.v IS NULL THEN NULL WHEN t.n = 0 AND {d} < 3 THEN 1 / (1 / o.v + 16384) ELSE o.v END AS v FROM true{d} t JOIN own{d} o ON o.geocode = t.geocode AND o.cell = t.cell""") for d in range(4)]

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from stemtally.functions import matrices as mx
 from stemtally.functions.lineage import cut_lineage
-from stemtally.operators import entities_dense as ed, fuse, gls_dense as gd, marginalize as mg, tabulate as tab
-from stemtally.plans.fixtures import CELLS, SHAPE, SPINE, VARIANCE, Tables, sql
+from stemtally.operators import entities_dense as ed, fuse, gls_dense as gd, gls_residual as gr, marginalize as mg, tabulate as tab
+from stemtally.plans.fixtures import CELLS, SHAPE, SPINE, VARIANCE, WIDE, Tables, sql, wide_measurements
 from stemtally.plans.queries_estimates import _QC, r, rs
 from stemtally.plans.registry import query
 
@@ -181,3 +181,30 @@ def _(t):
         "entity", "cell", r("estimate"), r("variance")
     )
 
+
+@query("gls_residual_15cell", _CELLS)
+def _(t):
+    """The passes of ``gls_signature`` with one variance per subset of attributes in place of matrices."""
+    basis = gr.Basis(SHAPE)
+    p = gr.ResidualPasses(SPINE, basis, gr.residual_own(measurements(t), {q.name: q for q in (DETAILED, TOTAL)}, basis)).run_down()
+    out = None
+    for d in range(4):
+        x = p.estimates(d).select(F.lit(d).alias("depth"), "geocode", F.posexplode("estimate").alias("cell", "estimate"), F.when(F.col("variance") < float("inf"), F.col("variance")).alias("variance"))
+        out = x if out is None else out.unionByName(x)
+    return out.select("depth", "geocode", "cell", r("estimate"), r("variance"))
+
+
+@query("gls_residual_2016cell", sql(f"SELECT depth, geocode, k, {rs('level_est', 'level_estimate')}, {rs('level_v', 'level_variance')}, {rs('cell_est', 'cell_estimate')}, {rs('cell_v', 'cell_variance')} FROM pickedW"))
+def _(t):
+    """2,016 cells and three queries: the sums over the first attribute and one cell of each, at all units."""
+    basis = gr.Basis(WIDE)
+    asked = {n: tab.tabular_query(n, WIDE, {}, m) for n, m in (("detailed", []), ("first", [1, 2, 3]), ("total", [0, 1, 2, 3]))}
+    p = gr.ResidualPasses(SPINE, basis, gr.residual_own(wide_measurements(t), asked, basis)).run_down()
+    sums = [np.eye(8), *[np.ones((1, n)) for n in WIDE[1:]]]
+    k, known, out = F.sequence(F.lit(0), F.lit(7)), lambda c: F.when(F.col(c) < float("inf"), F.col(c)), None
+    for d in range(4):
+        cells = p.estimates(d).select("geocode", F.transform(k, lambda i: F.get("estimate", i * 252 + (i * 37 + 11) % 252)).alias("cell_estimate"), known("variance").alias("cell_variance"))
+        levels = p.answers(d, sums).select("geocode", F.col("estimate").alias("level_estimate"), F.col("variance").alias("level_variance"))
+        x = levels.join(cells, "geocode").select(F.lit(d).alias("depth"), "geocode", "cell_variance", F.inline(F.arrays_zip(k.alias("k"), "level_estimate", "level_variance", "cell_estimate")))
+        out = x if out is None else out.unionByName(x)
+    return out.select("depth", "geocode", "k", r("level_estimate"), r(known("level_variance"), "level_variance"), r("cell_estimate"), r("cell_variance"))
