@@ -16,6 +16,8 @@ from math import prod
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stemtally.functions.lineage import cut_lineage
+
 
 @dataclass(frozen=True)
 class Factor:
@@ -56,6 +58,12 @@ class Factor:
     def overlaps(self) -> bool:
         return len({i for _, i, _ in self.entries}) < len(self.entries)
 
+    def stretches(self) -> list[tuple[int, int]] | None:
+        """(first, last) level of each row where every row is a stretch of neighbouring levels, counted once each; else None."""
+        rows = [sorted(x) for x in self.row_levels()]
+        plain = all(c == 1.0 for *_, c in self.entries) and all(x and x[-1] - x[0] + 1 == len(x) == len(set(x)) for x in rows)
+        return [(x[0], x[-1]) for x in rows] if plain else None
+
 
 @dataclass(frozen=True)
 class LinearQuery:
@@ -182,13 +190,45 @@ def _with_rows(df: DataFrame, query: LinearQuery, cell: str) -> DataFrame:
 
 
 def answer(cells: DataFrame, query: LinearQuery, keys: Sequence[str] = (), value: str = "n", cell: str = "cell") -> DataFrame:
-    """(keys, row_ix, value) of a query over histogram rows; rows without any cell are absent."""
+    """(keys, row_ix, value) of a query over histogram rows; rows without any cell are absent.
+
+    Overlapping stretches of levels (prefixes, ranges, splits) are differences
+    of running sums; other overlapping groups repeat a cell once per group.
+    """
+    for d, f in enumerate(query.factors):
+        if f.overlaps and (bounds := f.stretches()):
+            return _answer_stretches(cells, query, d, bounds, keys, value, cell)
     out = _with_rows(cells.select(*keys, cell, value), query, cell)
     plain = all(c == 1.0 for f in query.factors for *_, c in f.entries)
     v = F.col(value) if plain else F.col("coef") * F.col(value)
     return out.groupBy(*keys, "row_ix").agg(F.sum(v).alias(value))
 
 
+def _answer_stretches(cells: DataFrame, query: LinearQuery, d: int, bounds: Sequence[tuple[int, int]], keys: Sequence[str], value: str, cell: str) -> DataFrame:
+    """Attribute ``d`` is kept whole, its running sums are formed once per key and other rows, and each stretch is two look-ups."""
+    n, stride = query.factors[d].size, prod(query.row_shape[d + 1 :])
+    plain = LinearQuery(query.name, (*query.factors[:d], Factor.identity(n), *query.factors[d + 1 :]))
+    per = answer(cells, plain, keys, value, cell)
+    level = level_of(F.col("row_ix"), plain.row_shape, d)
+    held = per.select(*keys, (F.col("row_ix") - level.cast("bigint") * stride).alias("_rest"), level.alias("_level"), value)
+    held = held.groupBy(*keys, "_rest").agg(F.map_from_entries(F.collect_list(F.struct("_level", value))).alias("_m"))  # n entries at most
+    every, kind = F.sequence(F.lit(0), F.lit(n - 1)), per.schema[value].dataType
+    zero = F.lit(0).cast(kind)
+
+    def running(values: Column, start: Column) -> Column:
+        return F.aggregate(values, F.array(start), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+
+    sums = running(F.transform(every, lambda i: F.coalesce(F.try_element_at("_m", i), zero)), zero)
+    seen = running(F.transform(every, lambda i: F.try_element_at("_m", i).isNotNull().cast("int")), F.lit(0))
+    held = held.select(*keys, "_rest", sums.alias("_s"), seen.alias("_n"))
+    first, behind = int_array(a for a, _ in bounds), int_array(b + 1 for _, b in bounds)
+    between = lambda c, r: F.get(c, F.get(behind, r)) - F.get(c, F.get(first, r))
+    rows = F.transform(F.sequence(F.lit(0), F.lit(len(bounds) - 1)), lambda r: F.struct(r.alias("_r"), between(F.col("_s"), r).alias(value), between(F.col("_n"), r).alias("_seen")))
+    out = held.select(*keys, "_rest", F.inline(rows)).filter("_seen > 0")
+    high, low = F.floor(F.col("_rest") / (n * stride)), F.col("_rest") % stride
+    return out.select(*keys, ((high * len(bounds) + F.col("_r")) * stride + low).cast("bigint").alias("row_ix"), F.col(value).cast(kind).alias(value))
+
+
 def zero_fill(answers: DataFrame, nodes: DataFrame, num_rows: int, key: str, value: str = "n") -> DataFrame:
     """Every (node, row) of the domain, 0 where nothing was counted."""
     domain = nodes.select(key, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(num_rows - 1).cast("bigint"))).alias("row_ix"))
@@ -282,22 +322,48 @@ def query_differences(a: DataFrame, b: DataFrame) -> DataFrame:
     return x.exceptAll(y).unionAll(y.exceptAll(x))
 
 
+def cover_tree(sets: Sequence[tuple[str, ...]], sizes: Mapping[str, int]) -> list[tuple[tuple[str, ...], tuple[str, ...] | None]]:
+    """(set, the smallest computed superset or None for the first), in an order in which each comes after its superset.
+
+    The first is the union of all sets, asked for or not. ``sizes`` are the
+    numbers of values of the attributes; a table has at most their product.
+    """
+    top = tuple(d for d in sizes if any(d in s for s in sets))
+    rows, done = lambda s: prod(sizes[d] for d in s), [top]
+    out: list[tuple[tuple[str, ...], tuple[str, ...] | None]] = [(top, None)]
+    for s in sorted({tuple(s) for s in sets} - {top}, key=lambda s: (-len(s), s)):
+        out.append((s, min((t for t in done if set(s) < set(t)), key=lambda t: (rows(t), t))))
+        done.append(s)
+    return out
+
+
 def marginals(df: DataFrame, dims: Sequence[str], ways: Sequence[int], value: str = "n", include: Sequence[str] = (), ignore: Sequence[str] = ()) -> DataFrame:
-    """All n-way marginals in one aggregation (grouping sets).
+    """All n-way marginals; the rows are read once, and each marginal is summed from the smallest one computed before that holds it.
 
     Adds ``query`` ('a * b'; the full cross is 'detailed', the empty one
-    'total') and ``ways``. ``include`` must be in every cross, ``ignore`` never.
+    'total') and ``ways``. ``include`` must be in every cross, ``ignore``
+    never. No rows give no rows. Tables that others are summed from are
+    written; at most one per set of attributes.
     """
     from itertools import combinations
 
     use = [d for d in dims if d not in ignore]
     sets = [s for w in sorted(ways) for s in combinations(use, w) if set(include) <= set(s)]
-    name = F.array_join(
-        F.filter(F.array(*[F.when(F.grouping(d) == 0, F.lit(d)) for d in use]), lambda x: x.isNotNull()), " * "
-    )
-    full = " * ".join(dims)
-    label = F.when(name == full, "detailed").when(name == "", "total").otherwise(name)
-    ways_of = sum([(1 - F.grouping(d)).cast("int") for d in use], F.lit(0))
-    return df.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(d) for d in use]).agg(
-        label.alias("query"), ways_of.alias("ways"), F.sum(value).alias(value)
-    )
+    held = {d for s in sets for d in s}
+    top = [d for d in use if d in held]
+    full = cut_lineage(df.groupBy(*top).agg(F.sum(value).alias(value)) if top else df.groupBy(F.lit(0).alias("_")).agg(F.sum(value).alias(value)), "full")
+    counts = full.agg(F.lit(0).alias("_"), *[F.count_distinct(d).alias(d) for d in top]).first()
+    tree = cover_tree(sets, {d: counts[d] + 1 for d in top})
+    parents, tables, out = {p for _, p in tree}, {tuple(top): full}, None
+    for s, parent in tree:
+        if parent is not None:
+            t = tables[parent].groupBy(*s, *([] if s else [F.lit(0).alias("_")])).agg(F.sum(value).alias(value))
+            tables[s] = cut_lineage(t, "marginal") if s in parents else t
+        if s in sets:
+            name = "detailed" if list(s) == list(dims) else " * ".join(s) or "total"
+            cols = [F.col(d) if d in s else F.lit(None).cast(df.schema[d].dataType).alias(d) for d in use]
+            part = tables[s].select(*cols, F.lit(name).alias("query"), F.lit(len(s)).alias("ways"), value)
+            out = part if out is None else out.union(part)
+    if out is None:
+        raise ValueError("no set of attributes was asked for")
+    return out

@@ -63,9 +63,9 @@ def _age_recode(name, oracle):
         recode = {"age_prefix": "prefix_agecats", "age_range": "range_agecats", "age_binary_split": "binarysplit_agecats"}[name]
         groups = a.recodes[recode]
         per = t.read("lineitem").groupBy((F.col("l_partkey") % 116).cast("int").alias("cell")).agg(F.count(F.lit(1)).alias("n"))
-        spread = fr.recode_level(t.spark, ["AgeAttr"]).filter(F.col("recode") == recode).select("group_ix", "group_label", F.col("level_ix").alias("cell"))
-        assert len(groups) > 0
-        return per.join(spread, "cell").groupBy("group_ix", "group_label").agg(F.sum("n").alias("n"))
+        labels = t.spark.createDataFrame([(i, label) for i, (label, _) in enumerate(groups)], "group_ix int, group_label string")
+        q = tab.tabular_query(recode, (a.size,), {0: [levels for _, levels in groups]})
+        return tab.answer(per, q).join(labels, F.col("row_ix") == F.col("group_ix")).select("group_ix", "group_label", "n")
 
 
 _age_recode("age_prefix", f"SELECT CAST(j AS INTEGER) AS group_ix, CASE WHEN j = 0 THEN 'age 0' ELSE 'age 0-' || j END AS group_label, count(*) AS n FROM ({_AGE}) JOIN range(116) r(j) ON age <= j GROUP BY 1, 2")

@@ -74,13 +74,15 @@ def _(t):
     return res.read_intervals(t.spark, path).select("geocode", "query", "alpha", r("estimate"), r("std_dev"), r("moe"))
 
 
-@query("publish_partitioned", sql(f"SELECT substr(geocode, 1, 1) AS Region, substr(geocode, 2, 2) AS Nation, geocode, query, {rs('est', 'estimate')}, {rs('sd', 'std_dev')}, 'Orders: ' || query AS query_description FROM nat", _QC, _NAT))
+@query("publish_partitioned", sql(f"SELECT substr(geocode, 1, 1) AS Region, substr(geocode, 2, 2) AS Nation, geocode, query, {rs('est', 'estimate')}, {rs('sd', 'std_dev')}, 'Orders: ' || query AS query_description, CAST(1 AS BIGINT) AS files FROM nat", _QC, _NAT))
 def _(t):
     path = scratch(t, "published")
     rows = _nation_answers(t).select(F.col("entity").alias("geocode"), "query", "estimate", "std_dev", F.concat(F.lit("Orders: "), "query").alias("query_description"))
     levels = {"Region": (1, 1), "Nation": (2, 2)}
     res.publish(rows, path, levels)
-    return res.read_published(t.spark, path, list(levels)).select("Region", "Nation", "geocode", "query", r("estimate"), r("std_dev"), "query_description")
+    back = res.read_published(t.spark, path, list(levels)).withColumn("file", F.input_file_name())
+    files = back.groupBy("Region", "Nation").agg(F.count_distinct("file").alias("files"))
+    return back.join(files, ["Region", "Nation"]).select("Region", "Nation", "geocode", "query", r("estimate"), r("std_dev"), "query_description", "files")
 
 
 @query("widths_roundtrip", sql("SELECT n.depth, ['Root', 'Region', 'Nation', 'Customer'][n.depth + 1] AS level, length(n.geocode)::INTEGER AS width, count(*) AS nodes FROM nodes n GROUP BY 1, 2, 3"))

@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stemtally.functions.keys import Spine
+from stemtally.functions.lineage import cut_lineage
+
+FILE_ROWS = 2_000_000  # rows of a published file, about 150 MB as text
 
 INTERVAL_DDL = "geocode string, query string, alpha double, estimate double, std_dev double, moe double"
 
@@ -39,15 +42,20 @@ def read_intervals(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(INTERVAL_DDL).parquet(f"{path}.parquet")
 
 
-def publish(rows: DataFrame, path: str, levels: dict[str, tuple[int, int]]) -> None:
-    """Published layout: directories per level code, pipe-separated rows.
+def publish(rows: DataFrame, path: str, levels: dict[str, tuple[int, int]], rows_per_file: int = FILE_ROWS) -> None:
+    """Published layout: directories per level code, pipe-separated rows, one file per directory up to ``rows_per_file`` rows.
 
     ``rows``: (geocode, query, estimate, std_dev, query_description);
-    ``levels``: directory name -> (start, length) inside the geocode.
+    ``levels``: directory name -> (start, length) inside the geocode. Rows are
+    dealt by directory before they are written; a directory of more rows goes
+    to as many tasks as it has files, by the hash of its rows' geocodes.
     """
     parts = {n: F.substring("geocode", s, k) for n, (s, k) in levels.items()}
-    keyed = rows.select("geocode", "query", "estimate", "std_dev", "query_description", *[c.alias(n) for n, c in parts.items()])
-    keyed.write.mode("overwrite").partitionBy(*parts).csv(path, sep="|", header=True)
+    keyed = cut_lineage(rows.select("geocode", "query", "estimate", "std_dev", "query_description", *[c.alias(n) for n, c in parts.items()]), "published")
+    files = keyed.groupBy(*parts).agg(F.ceil(F.count(F.lit(1)) / rows_per_file).alias("_files")).filter("_files > 1")
+    part = F.pmod(F.xxhash64("geocode", "query"), F.coalesce("_files", F.lit(1)))
+    dealt = keyed.join(cut_lineage(files, "files"), [*parts], "left").repartition(*parts, part).drop("_files")
+    dealt.write.option("maxRecordsPerFile", rows_per_file).mode("overwrite").partitionBy(*parts).csv(path, sep="|", header=True)
 
 
 def read_published(spark: SparkSession, path: str, levels: Sequence[str]) -> DataFrame:

@@ -2,6 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from stemtally.operators.query_rows import factor_matrix
+from stemtally.sources import results as res
 from stemtally.functions import matrices as mx
 from stemtally.functions.keys import Spine
 from stemtally.operators import constraints as ct, covers, intervals, marginalize as mg, spine as sp, tabulate as tab
@@ -149,3 +151,41 @@ def test_stub_and_differences(spark):
     assert tab.query_differences(q, q).count() == 0
     with pytest.raises(Exception, match="differ in size"):
         tab.check_dimension(q, 5).collect()
+
+
+def test_overlapping_stretches_are_differences_of_running_sums(spark):
+    rng = np.random.default_rng(4)
+    shape = (3, 7, 4)
+    q = tab.tabular_query("ranges", shape, {0: [[0, 2], [1]], 1: [[0], [0, 1, 2], [2, 3, 4, 5, 6], [6], list(range(7)), [3]], 2: [[1, 2], [2, 3], [0]]})
+    rows = [(k, c, int(rng.integers(1, 9))) for k in ("a", "b") for c in range(84) if rng.uniform() < 0.3]
+    df = spark.createDataFrame(rows, "k string, cell int, n bigint")
+    whole = np.ones((1, 1))
+    for f in q.factors:
+        whole = np.kron(whole, factor_matrix(f))
+    want = {}
+    for k, c, n in rows:
+        for r in np.flatnonzero(whole[:, c]):
+            want[k, int(r)] = want.get((k, int(r)), 0) + n
+    out = tab.answer(df, q, ["k"])
+    assert {(r.k, r.row_ix): r.n for r in out.collect()} == want and out.schema["n"].dataType.simpleString() == "bigint"
+    assert tab.Factor.groups(5, [[0, 2], [1, 2]]).stretches() is None and tab.Factor.weights([[1, 1], [0, 2]]).stretches() is None
+
+
+def test_each_marginal_comes_from_the_smallest_one_that_holds_it(spark):
+    tree = dict(tab.cover_tree([("a", "b"), ("a", "c"), ("b", "c"), ("b",), ("c",), ()], {"a": 100, "b": 10, "c": 2}))
+    assert tree == {("a", "b", "c"): None, ("a", "b"): ("a", "b", "c"), ("a", "c"): ("a", "b", "c"), ("b", "c"): ("a", "b", "c"), ("b",): ("b", "c"), ("c",): ("b", "c"), (): ("c",)}
+    df = spark.createDataFrame([(None, 1, 5), ("x", 1, 2), ("x", 2, 3), (None, 1, 4)], "a string, b int, n bigint")
+    got = {(r.query, r.a, r.b): r.n for r in tab.marginals(df, ["a", "b"], [0, 1, 2]).collect()}
+    assert got == {("detailed", None, 1): 9, ("detailed", "x", 1): 2, ("detailed", "x", 2): 3, ("a", None, None): 9, ("a", "x", None): 5, ("b", None, 1): 11, ("b", None, 2): 3, ("total", None, None): 14}
+    assert tab.marginals(df.limit(0), ["a", "b"], [0, 1]).count() == 0
+
+
+def test_a_large_directory_is_split_into_files(spark, tmp_path):
+    rows = spark.range(300).select(
+        F.when(F.col("id") < 200, "1001").otherwise(F.concat(F.lit("2"), F.lpad(F.col("id").cast("string"), 3, "0"))).alias("geocode"), F.col("id").cast("string").alias("query"),
+        F.lit(1.5).alias("estimate"), F.lit(0.5).alias("std_dev"), F.lit("d").alias("query_description"),
+    )
+    res.publish(rows, str(tmp_path / "p"), {"State": (1, 1)}, rows_per_file=50)
+    files = {s.name: len(list(s.glob("part-*"))) for s in (tmp_path / "p").iterdir() if s.is_dir()}
+    assert 4 <= files["State=1"] <= 8 and 2 <= files["State=2"] <= 4
+    assert res.read_published(spark, str(tmp_path / "p"), ["State"]).count() == 300
