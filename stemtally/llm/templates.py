@@ -14,7 +14,7 @@ and never shuffled: only their windows that pass a filter of fixed size are.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -91,24 +91,47 @@ def split(text: str) -> list[str]:
     return text.replace("\n", " . ").split()  # a line break ends a sentence
 
 
-def template(lexicon: Lexicon, place: np.ndarray, first: np.ndarray, names: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, is a slot, index of its first word) of the template tokens of words at ``place``; ``first`` marks where texts begin.
+Template = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def readings(lexicon: Lexicon, place: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, Template]]:
+    """(0, (hash, is a slot, index of its first word)) of the template tokens of words at ``place``; ``first`` marks where texts begin.
 
     Marks alone are skipped, a run of names is one slot, a number and its unit
-    are one slot. A capital that begins a sentence is a name if ``names``.
+    are one slot. A capital that begins a sentence is a word in this reading
+    and a name in the second one, (1, ...); readings meet their like only.
     """
     kind, ends = lexicon.kind[place], lexicon.ends[place]
     begins = first.copy()
     begins[1:] |= ends[:-1]
-    name = (kind == CAPITAL) & (names | ~begins)
-    before = np.zeros(len(kind), bool)
-    before[1:] = ~first[1:]
-    unit = (kind == UNIT) & before & np.append(False, (kind == NUM)[:-1])
-    with_unit = (kind == NUM_UNIT) | ((kind == NUM) & np.append(unit[1:], False))
-    more = name & before & np.append(False, name[:-1])
-    h = np.where(name, SLOT["name"], np.where(with_unit, SLOT["num unit"], np.where(kind == NUM, SLOT["num"], lexicon.hash[place])))
-    keep = (kind != NONE) & ~unit & ~more
-    return h[keep], (name | with_unit | (kind == NUM))[keep], np.flatnonzero(keep)
+    capital, number, inside = kind == CAPITAL, kind == NUM, np.zeros(len(kind), bool)
+    inside[1:] = ~first[1:]
+    unit = (kind == UNIT) & inside & np.append(False, number[:-1])
+    with_unit = (kind == NUM_UNIT) | (number & np.append(unit[1:], False))
+    plain = lexicon.hash[place]
+    plain[number] = SLOT["num"]
+    plain[with_unit] = SLOT["num unit"]
+    slots, stay = with_unit | number, (kind != NONE) & ~unit
+    for names in (0, 1):
+        name = capital if names else capital & ~begins
+        keep = stay.copy()
+        keep[1:] &= ~(name[1:] & inside[1:] & name[:-1])
+        h = plain.copy()
+        h[name] = SLOT["name"]
+        yield names, (h[keep], (name | slots)[keep], np.flatnonzero(keep))
+
+
+class Windows(Rolling):
+    """Hashes of windows of template tokens: one of the two sequences of :class:`Rolling`."""
+
+    def load(self, hashes: np.ndarray) -> None:
+        if len(self.up[0]) <= len(hashes):
+            super().load(np.stack([hashes, hashes]))
+        self.sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * self.up[0][: len(hashes)], dtype=np.uint64)])]
+
+    def of(self, n: int) -> np.ndarray:
+        start = np.arange(len(self.sums[0]) - n)
+        return self.stretch(0, start, start + n)
 
 
 def slot_values(lexicon: Lexicon, place: np.ndarray, at: np.ndarray, slot: np.ndarray) -> dict[int, str]:
@@ -117,12 +140,6 @@ def slot_values(lexicon: Lexicon, place: np.ndarray, at: np.ndarray, slot: np.nd
     return {int(k): " ".join(filter(None, (lexicon.value[p] for p in place[at[k] : end[k]]))) for k in np.flatnonzero(slot)}
 
 
-def read(lexicon: Lexicon, place: np.ndarray, first: np.ndarray, names: int, before: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-    """:func:`template` with or without ``names`` that begin a sentence; None if that is what ``before`` is."""
-    out = template(lexicon, place, first, bool(names))
-    return None if before is not None and len(out[0]) == len(before[0]) and (out[0] == before[0]).all() else out
-
-
 WINDOWS = "names tinyint, n tinyint, x bigint, item bigint, ikey bigint, a int, total int, tokens int, literals tinyint, there array<string>"
 
 
@@ -134,28 +151,23 @@ def item_windows(bench: DataFrame, window: int = WINDOW) -> DataFrame:
     """
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lexicon, rolling = Lexicon(), Rolling()
+        lexicon, rolling = Lexicon(), Windows()
         for pdf in batches:
             out = []
             for item, ikey, text in zip(pdf["item"], pdf["ikey"], pdf["text"], strict=True):
-                words, before = split(text), None
+                words = split(text)
                 if not words:
                     continue
                 place = lexicon.places(words)
-                for names in (0, 1):
-                    got = read(lexicon, place, np.arange(len(words)) == 0, names, before)
-                    if got is None:
-                        continue
-                    h, slot, at = before = got
+                for names, (h, slot, at) in readings(lexicon, place, np.arange(len(words)) == 0):
                     n = min(window, len(h))
                     if not n:
                         continue
-                    rolling.load(np.stack([h, h]))
-                    start = np.arange(len(h) - n + 1)
-                    values = slot_values(lexicon, place, at, slot)
-                    for k, x in zip(start, rolling.stretch(0, start, start + n).view(np.int64), strict=True):
-                        there = [values.get(int(j), "") for j in range(k, k + n)]
-                        out.append((names, n, x, item, ikey, k, len(start), len(h), n - int(slot[k : k + n].sum()), there))
+                    rolling.load(h)
+                    values, total = slot_values(lexicon, place, at, slot), len(h) - n + 1
+                    for k, x in enumerate(rolling.of(n).view(np.int64)):
+                        there = [values.get(j, "") for j in range(k, k + n)]
+                        out.append((names, n, x, item, ikey, k, total, len(h), n - int(slot[k : k + n].sum()), there))
             yield pd.DataFrame(out, columns=["names", "n", "x", "item", "ikey", "a", "total", "tokens", "literals", "there"])
 
     return bench.mapInPandas(work, WINDOWS)
@@ -181,32 +193,26 @@ def doc_windows(docs: DataFrame, lengths: list[int], bits: np.ndarray) -> DataFr
         sizes = np.array([len(w) for _, _, w in rows])
         if not sizes.sum():
             return
-        place, ends, before = lexicon.places([x for _, _, w in rows for x in w]), np.cumsum(sizes), None
+        place = lexicon.places([x for _, _, w in rows for x in w])
+        text_of = np.repeat(np.arange(len(rows)), sizes)
         first = np.zeros(len(place), bool)
-        first[(ends - sizes)[sizes > 0]] = True
-        for names in (0, 1):
-            got = read(lexicon, place, first, names, before)
-            if got is None:
-                continue
-            h, slot, at = before = got
-            doc = np.searchsorted(ends, at, side="right")
-            rolling.load(np.stack([h, h]))
+        first[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
+        for names, (h, slot, at) in readings(lexicon, place, first):
+            rolling.load(h)
             for n in lengths:
-                start = np.arange(len(h) - n + 1)
-                if not len(start):
+                if len(h) < n:
                     continue
-                x = rolling.stretch(0, start, start + n)
-                ok = held[(x & np.uint64(FILTER_BITS - 1)).astype(np.int64)]
-                some = np.flatnonzero(ok)
-                some = some[held[((x[some] >> np.uint64(22)) & np.uint64(FILTER_BITS - 1)).astype(np.int64) + FILTER_BITS]]
-                for k in some[doc[some] == doc[some + n - 1]]:
+                x = rolling.of(n)
+                some = np.flatnonzero(held[x & np.uint64(FILTER_BITS - 1)])
+                some = some[held[(x[some] >> np.uint64(22) & np.uint64(FILTER_BITS - 1)) + np.uint64(FILTER_BITS)]]
+                for k in some[text_of[at[some]] == text_of[at[some + n - 1]]]:
                     stop = at[k + n] if k + n < len(at) else len(place)
                     values = slot_values(lexicon, place[:stop], at[k : k + n], slot[k : k + n])
-                    d = doc[k]
-                    yield rows[d][0], rows[d][1], names, n, int(x[k].view(np.int64)), int(k), [values.get(j, "") for j in range(n)]
+                    did, tkey, _ = rows[text_of[at[k]]]
+                    yield did, tkey, names, n, int(x[k].view(np.int64)), int(k), [values.get(j, "") for j in range(n)]
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lexicon, rolling, held = Lexicon(), Rolling(), np.unpackbits(shared.value, bitorder="little").view(bool)
+        lexicon, rolling, held = Lexicon(), Windows(), np.unpackbits(shared.value, bitorder="little").view(bool)
         for pdf in batches:
             out, rows, size = [], [], 0
             for did, tkey, text in zip(pdf["did"], pdf["tkey"], pdf["text"], strict=True):
@@ -221,24 +227,23 @@ def doc_windows(docs: DataFrame, lengths: list[int], bits: np.ndarray) -> DataFr
     return docs.mapInPandas(work, HITS)
 
 
-def agreeing(pdf: pd.DataFrame, literals: int) -> int:
-    """Windows of one item in one place of one document whose slots agree: one value of the item is one of the document throughout, and the other way round.
+def agreeing(windows: Sequence[tuple], literals: int) -> int:
+    """Windows (a, n, total, tokens, literals, there, here) of one item in one place of one document whose slots agree.
 
-    A window with few literal words counts if the values are the item's own,
-    or if the whole item is there; a very short item must be there as it is.
+    One value of the item is one of the document throughout, and the other way
+    round. A window with few literal words counts if the values are the item's
+    own, or if the whole item is there; a very short item must be there as it is.
     """
     there, back, good = {}, {}, 0
-    pdf = pdf.sort_values("a")
-    exact = pdf["tokens"].iloc[0] < SHORT
-    whole_ = not exact and pdf["a"].nunique() == pdf["total"].iloc[0]
-    rows = []
-    for n, lit, x, y in zip(pdf["n"], pdf["literals"], pdf["there"], pdf["here"], strict=True):
+    _, _, total, tokens, *_ = windows[0]
+    exact = tokens < SHORT
+    whole_ = not exact and len({w[0] for w in windows}) == total
+    for _, n, _, _, lit, x, y in sorted(windows, key=lambda w: w[0]):
         pairs = [(p, q) for p, q in zip(x, y, strict=True) if p or q]
-        same = all(p == q for p, q in pairs)
-        rows.append((pairs, same or (not exact and (lit >= min(literals, n - 1) or whole_))))
-    for pairs, ok in rows:
+        if not (whole_ or all(p == q for p, q in pairs) or (not exact and lit >= min(literals, n - 1))):
+            continue
         new, old = dict(pairs), {q: p for p, q in pairs}
-        if ok and all(there.get(p, new[p]) == q == new[p] and back.get(q, old[q]) == p == old[q] for p, q in pairs):
+        if all(there.get(p, new[p]) == q == new[p] and back.get(q, old[q]) == p == old[q] for p, q in pairs):
             there |= new
             back |= old
             good += 1
@@ -263,10 +268,14 @@ def leaks(
     hits = cut_lineage(doc_windows(keyed(docs, doc_id, text), lengths, bits), "hits").dropDuplicates(["did", "tkey", "names", "n", "s"])
     met = hits.join(small(windows), ["names", "n", "x"]).withColumn("off", F.col("s") - F.col("a"))
 
-    def count(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"did": [key[0]], "tkey": [key[1]], "item": [pdf["item"].iloc[0]], "ikey": [key[2]], "names": [key[3]], "good": [agreeing(pdf, literals)]})
+    card = F.struct("a", "n", "total", "tokens", "literals", "there", "here")
+    placed = met.groupBy("did", "tkey", "ikey", "names", "off").agg(F.min("item").alias("item"), F.collect_list(card).alias("windows"))  # an item's windows at most
+
+    @F.pandas_udf("bigint")
+    def good(windows: pd.Series) -> pd.Series:
+        return pd.Series([agreeing([tuple(w.values()) for w in ws], literals) for ws in windows])
 
-    each = met.groupBy("did", "tkey", "ikey", "names", "off").applyInPandas(count, "did bigint, tkey bigint, item bigint, ikey bigint, names tinyint, good bigint")
+    each = placed.select("did", "tkey", "item", "ikey", "names", good("windows").alias("good"))
     found = each.filter("good > 0").groupBy("did", "tkey", "item", "ikey", "names").agg(F.sum("good").alias("good"))
     return found.groupBy("did", "tkey", "item").agg(F.max("good").alias("n_windows"))
 
