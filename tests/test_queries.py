@@ -12,7 +12,7 @@ from compare import TABLES, compare  # noqa: E402
 from stemtally.plans import registry  # noqa: E402
 
 registry.load_all()
-SLOW = ("2cell", "gls_", "dense", "entity_cov", "two_pass", "publish", "state_round", "cousin", "ancestor_cov", "leaf_top", "coverage", "children", "sibling", "read_levels", "ci_entities", "child_sums", "bottom_up", "top_down", "entity_", "fuse_", "intervals_round")
+SLOW = ("2cell", "gls_", "dense", "entity_cov", "entity_variances", "two_pass", "masked_job", "resumed", "fused_stored", "cousin", "ancestor_cov", "ci_entities", "coverage", "read_levels")
 
 
 @pytest.fixture(scope="module")
@@ -26,7 +26,7 @@ def con(sf_dir):
 @pytest.mark.parametrize("name", sorted(n for n in registry.QUERIES if not any(s in n for s in SLOW)))
 def test_query(spark, con, sf_dir, name):
     out, _ = compare(spark, con, name, registry.QUERIES[name], registry.ORACLES.get(name), sf_dir)
-    assert out.startswith(("ok", "rows-only")), out
+    assert out.startswith("ok") or (name == "recode_catalog" and out.startswith("rows-only")), out
 
 
 def test_entry(spark):
