@@ -267,6 +267,7 @@ def _(t):
 _REL8 = "CASE rel WHEN 0 THEN 'Householder living alone' WHEN 1 THEN 'Householder not living alone' END"
 
 
+# Labels of the published tables, as the oracle must state them.
 _OF_GROUP = """(VALUES ('', ''), ('A', ' BY White alone'), ('B', ' BY Black or African American alone'), ('C', ' BY American Indian and Alaska Native alone'), ('D', ' BY Asian alone'),
   ('E', ' BY Native Hawaiian and Pacific Islander alone'), ('F', ' BY Some Other Race alone'), ('G', ' BY Two or more races'), ('H', ' BY Hispanic or Latino'), ('I', ' BY Not Hispanic or Latino BY White alone')) t(x, label)
   ON CASE t.x WHEN '' THEN true WHEN 'G' THEN race >= 6 WHEN 'H' THEN hisp = 1 WHEN 'I' THEN race = 0 AND hisp = 0 ELSE race = ascii(t.x) - 65 END"""

@@ -13,7 +13,7 @@ from trees import random_tree
 def test_marginalised_golden_arrays(spark):
     shape = (2, 3, 2, 2)
     marginal = tab.tabular_query("m", shape, {1: [[0], [1, 2]]}, [2, 3])
-    want = {
+    want = {  # fixed values: answers and designs that must come out
         (0, 1): ([0.015625, 0.09375, 0.125, 0.75], [[1, 0, 0, 0], [0, 1, 0, 0], [0, 0, 1, 0], [0, 0, 0, 1]]),
         (): ([0.015625], [[1, 1, 1, 1]]),
         (0, 1, 2, 3): ([0.234375, 63.75, 960.0, 261120.0], [[1, 0, 0, 0], [0, 1, 0, 0], [0, 0, 1, 0], [0, 0, 0, 1]]),
