@@ -13,10 +13,16 @@ Where nothing would be left over, the total is raised by one.
 
 Words and pairs travel as 64-bit hashes in packed arrays, one per block of
 text and hash range, so a shuffle costs about ten bytes per distinct pair of a
-block. A hash range holds a bounded share because the number of ranges follows
-the text and because what is frequent never reaches it: at most ``HEAD`` words
-or pairs have a share of 1/HEAD of all tokens, and those are looked up where
-the text is read.
+block. A pair goes to the range of its history, so that the range has all that
+the history's weight needs but the unigram of the following words, which is
+asked for once per range and word. The model stays packed, one row per range;
+values are made where they are looked up.
+
+A hash range holds a bounded share because the number of ranges follows the
+text; because pairs of frequent histories go by their own hash, and only these
+histories' sums are put together over the ranges; and because what is frequent
+never reaches it: at most ``HEAD`` words or pairs have a share of 1/HEAD of all
+tokens, and those are looked up where the text is read.
 """
 
 from __future__ import annotations
@@ -28,16 +34,21 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stemtally.functions.lineage import cut_lineage, release
 from stemtally.llm.common import carried, whole
 
-BLOCK = 600_000  # tokens packed at a time, unless one text has more
+BLOCK = 1_000_000  # tokens packed at a time, unless one text has more
 RANGE_BYTES = 4_000_000  # text per hash range
 VOCABULARY = 200_000  # word hashes remembered at a time; more are hashed again
-HEAD = 1 << 16
+HEAD = 1 << 18
+SUM_BYTES = 48_000_000  # sums of documents that a task holds before it passes them on
+HOT = 1 << 13  # histories with this part of a sample's tokens, of HOT_LEAST at least, are spread; which ones changes no result
+HOT_LEAST = 64
+HOT_BYTES = 8_000_000  # text of that sample
+WORD_RANGES = 16  # ranges of pairs to one of words
 RELIABLE = 5  # counts above are not discounted
 
 
@@ -66,8 +77,16 @@ def range_of(key: np.ndarray, ranges: int) -> np.ndarray:
     return ((key.view(np.uint64) >> np.uint64(33)) * np.uint64(ranges) >> np.uint64(31)).astype(np.int32)
 
 
-def range_column(key: Column, ranges: int) -> Column:
-    return F.shiftright(F.shiftrightunsigned(key, 33) * ranges, 31).cast("int")
+def is_in(keys: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Where ``keys`` are among the sorted ``some``."""
+    return some[np.minimum(np.searchsorted(some, keys), len(some) - 1)] == keys if len(some) else np.zeros(len(keys), bool)
+
+
+def route(h: np.ndarray, w: np.ndarray, ranges: int, hot: np.ndarray) -> np.ndarray:
+    """The range of each pair: its history's, or its own where the history is hot."""
+    p, some = range_of(h, ranges), is_in(h, hot)
+    p[some] = range_of(pair_key(h[some], w[some]), ranges)
+    return p
 
 
 def blocks(batches: Iterator[pd.DataFrame], key: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -119,35 +138,73 @@ def _slices(keys: np.ndarray, ranges: int) -> Iterator[tuple[int, slice]]:
 
 
 def packed_keys(keys: np.ndarray) -> bytes:
-    """Sorted keys: the first one, six bytes per step, and the rest of the few steps that need more."""
+    """Ascending keys: the first one, as few bytes per step as most of them need, and the rest of those that need more."""
+    if not len(keys):
+        return b""
     step = np.diff(keys)
-    far = np.flatnonzero(step >> np.uint64(48)).astype(np.uint32)
-    rest = (step[far] >> np.uint64(48)).astype(np.uint16)
-    return b"".join([keys[:1].tobytes(), np.uint32(len(far)).tobytes(), far.tobytes(), rest.tobytes(), step.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()])
+    k = next((k for k in (4, 5, 6, 7) if 24 * np.count_nonzero(step >> np.uint64(8 * k)) <= len(step)), 8)
+    far = np.flatnonzero(step >> np.uint64(8 * k)) if k < 8 else np.empty(0, np.int64)
+    rest = (step[far] >> np.uint64(8 * k)).astype(np.uint32) if k < 8 else far.astype(np.uint32)
+    low = step.view(np.uint8).reshape(-1, 8)[:, :k]
+    return b"".join([keys[:1].tobytes(), np.array([k, len(far)], np.uint32).tobytes(), far.astype(np.uint32).tobytes(), rest.tobytes(), low.tobytes()])
 
 
 def unpacked_keys(data: bytes) -> np.ndarray:
-    n = int(np.frombuffer(data, np.uint32, 1, offset=8)[0])
-    far, rest = np.frombuffer(data, np.uint32, n, offset=12), np.frombuffer(data, np.uint16, n, offset=12 + 4 * n)
-    step = np.frombuffer(data, np.uint8, offset=12 + 6 * n).reshape(-1, 6)
+    if not data:
+        return np.empty(0, np.uint64)
+    k, n = (int(x) for x in np.frombuffer(data, np.uint32, 2, offset=8))
+    far, rest = np.frombuffer(data, np.uint32, n, offset=16), np.frombuffer(data, np.uint32, n, offset=16 + 4 * n)
+    step = np.frombuffer(data, np.uint8, offset=16 + 8 * n).reshape(-1, k)
     wide = np.zeros((len(step) + 1, 8), np.uint8)
-    wide[1:, :6] = step
+    wide[1:, :k] = step
     out = wide.view(np.uint64).ravel()
     out[0] = np.frombuffer(data, np.uint64, 1)[0]
-    out[1:][far] |= rest.astype(np.uint64) << np.uint64(48)
+    if n:
+        out[1:][far] |= rest.astype(np.uint64) << np.uint64(8 * k)
     return np.cumsum(out, dtype=np.uint64)
 
 
-def _joined(parts: pd.Series, kind: type) -> np.ndarray:
-    return np.frombuffer(b"".join(parts), kind)
+def packed_ints(x: np.ndarray) -> bytes:
+    """Whole numbers from 0 on in as many bytes as the largest needs, lowest bytes first."""
+    k = max((int(x.max(initial=0)).bit_length() + 7) // 8, 1)
+    return bytes([k]) + x.astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :k].T.tobytes()
+
+
+def unpacked_ints(data: bytes) -> np.ndarray:
+    if not data:
+        return np.empty(0, np.int64)
+    planes = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1)
+    wide = np.zeros((planes.shape[1], 8), np.uint8)
+    wide[:, : data[0]] = planes.T
+    return wide.view(np.int64).ravel()
+
+
+def _all(parts: list[np.ndarray], kind: type) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.empty(0, kind)
+
+
+def hot_histories(texts: DataFrame, size: int) -> np.ndarray:
+    """Frequent words of a sample, sorted, and START. Pairs are routed by it; any set gives the same model."""
 
+    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for tokens, _, _ in blocks(batches, "d"):
+            w, n = np.unique(tokens, return_counts=True)
+            yield pd.DataFrame({"w": w, "n": n})
 
-PAIR, HISTORY, WORD, PAIRS_OF, WORDS_OF = range(5)  # kinds of counts
-COUNTED = "p int, h binary, runs binary, w binary, c binary, u binary, n binary"
+    part = texts.filter(F.pmod(F.xxhash64("text"), F.lit(size // HOT_BYTES + 1)) == 0)
+    seen = cut_lineage(part.mapInPandas(words, "w bigint, n bigint").groupBy("w").agg(F.sum("n").alias("n")), "sample")
+    least = max((seen.agg(F.sum("n")).first()[0] or 0) // HOT + 1, HOT_LEAST)
+    w = [r.w for r in seen.filter(F.col("n") >= least).collect()]  # at most HOT words
+    release(seen)
+    return np.sort(np.array([START, *w], np.int64).view(np.uint64))
 
 
-def count(docs: DataFrame, ranges: int, min_count: int) -> DataFrame:
-    """(kind, h, w, c): all words, kept pairs, totals of histories with kept pairs, and how many words or pairs occur how often."""
+PIECES = "p int, h binary, runs binary, w binary, c binary, u binary, n binary"
+COUNTED = "p int, h binary, runs binary, seen binary, w binary, ix binary, c binary, u binary, n binary, pairs_of array<bigint>, words_of array<bigint>, tokens bigint, words bigint"
+
+
+def count(docs: DataFrame, ranges: int, min_count: int, hot: np.ndarray) -> DataFrame:
+    """One row per range: histories, how many kept pairs and tokens each has, the words of those pairs and their counts, the range's words, and how many words or pairs occur how often."""
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for tokens, sizes, _ in blocks(batches, "d"):
@@ -155,48 +212,50 @@ def count(docs: DataFrame, ranges: int, min_count: int) -> DataFrame:
             order = np.lexsort((w, h))
             h, w = h[order], w[order]
             at, c = _groups(h, w)
-            h, w, c = h[at], w[at], c.astype(np.uint32)
+            h, w = h[at], w[at]
+            p = route(h, w, ranges, hot)
+            order = np.argsort(p, kind="stable")  # histories ascend in each range
+            p, h, w, c = p[order], h[order], w[order], c[order]
             word, times = np.unique(tokens.view(np.uint64), return_counts=True)
-            times, out = times.astype(np.uint32), {}
-            for p, s in _slices(h, ranges):
-                a, n = _groups(h[s])
-                out[p] = [h[s][a].tobytes(), n.astype(np.uint32).tobytes(), w[s].tobytes(), c[s].tobytes(), b"", b""]
-            for p, s in _slices(word, ranges):
-                out.setdefault(p, [b""] * 6)[4:] = [word[s].tobytes(), times[s].tobytes()]
-            yield pd.DataFrame([(p, *x) for p, x in out.items()], columns=["p", "h", "runs", "w", "c", "u", "n"])
+            out = {}
+            for a, k in zip(*_groups(p), strict=True):
+                s = slice(a, a + k)
+                first, n = _groups(h[s])
+                out[int(p[a])] = [packed_keys(h[s][first]), packed_ints(n), w[s].tobytes(), packed_ints(c[s]), b"", b""]
+            for r, s in _slices(word, ranges):
+                out.setdefault(r, [b""] * 6)[4:] = [packed_keys(word[s]), packed_ints(times[s])]
+            yield pd.DataFrame([(r, *x) for r, x in out.items()], columns=["p", "h", "runs", "w", "c", "u", "n"])
 
     def total(pdf: pd.DataFrame) -> pd.DataFrame:
-        h = np.repeat(_joined(pdf["h"], np.uint64), _joined(pdf["runs"], np.uint32))
-        w, c = _joined(pdf["w"], np.uint64), _joined(pdf["c"], np.uint32)
-        order = np.lexsort((w, h))
-        h, w, c = h[order], w[order], c[order]
-        tables = []
+        h = _all([np.repeat(unpacked_keys(a), unpacked_ints(n)) for a, n in zip(pdf["h"], pdf["runs"], strict=True)], np.uint64)
+        w, c = np.frombuffer(b"".join(pdf["w"]), np.uint64), _all([unpacked_ints(x) for x in pdf["c"]], np.int64)
+        runs = seen = np.empty(0, np.int64)
         if len(h):
+            order = np.lexsort((w, h))
+            h, w, c = h[order], w[order], c[order]
             at, _ = _groups(h, w)
-            h, w, c = h[at], w[at], np.add.reduceat(c, at, dtype=np.int64)
-            at, n = _groups(h)
-            sums, keep = np.add.reduceat(c, at), c >= min_count
-            some = np.add.reduceat(keep, at, dtype=np.int64) > 0
-            tables += [(PAIR, h[keep], w[keep], c[keep]), (HISTORY, h[at][some], h[at][some], sums[some])]
-            tables.append((PAIRS_OF, *_often(c)))
-        u, k = _joined(pdf["u"], np.uint64), _joined(pdf["n"], np.uint32)
+            h, w, c = h[at], w[at], np.add.reduceat(c, at)
+            at, _ = _groups(h)
+            keep = c >= min_count
+            h, runs, seen = h[at], np.add.reduceat(keep, at, dtype=np.int64), np.add.reduceat(c, at)
+        else:
+            keep = np.empty(0, bool)
+        known, ix = np.unique(w[keep], return_inverse=True)
+        u, k = _all([unpacked_keys(x) for x in pdf["u"]], np.uint64), _all([unpacked_ints(x) for x in pdf["n"]], np.int64)
         if len(u):
             order = np.argsort(u)
             u, k = u[order], k[order]
             at, _ = _groups(u)
-            k = np.add.reduceat(k, at, dtype=np.int64)
-            tables += [(WORD, u[at], u[at], k), (WORDS_OF, *_often(k))]
-        kind = np.concatenate([np.full(len(a), t, np.int8) for t, a, *_ in tables])
-        h, w, c = (np.concatenate([x[k].view(np.int64) if k < 3 else x[k].astype(np.int64) for x in tables]) for k in (1, 2, 3))
-        return pd.DataFrame({"kind": kind, "h": h, "w": w, "c": c})
+            u, k = u[at], np.add.reduceat(k, at)
+        row = (int(pdf["p"].iloc[0]), packed_keys(h), packed_ints(runs), packed_ints(seen), packed_keys(known), packed_ints(ix), packed_ints(c[keep]), packed_keys(u), packed_ints(k), _often(c), _often(k), int(k.sum()), len(u))
+        return pd.DataFrame([row], columns=[x.split()[0] for x in COUNTED.split(", ")])
 
-    return docs.mapInPandas(pack, COUNTED).groupBy("p").applyInPandas(total, "kind tinyint, h bigint, w bigint, c bigint")
+    return docs.mapInPandas(pack, PIECES).groupBy("p").applyInPandas(total, COUNTED)
 
 
-def _often(c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n = np.bincount(np.minimum(c, RELIABLE + 2), minlength=RELIABLE + 3)[1 : RELIABLE + 2]
-    r = np.arange(1, RELIABLE + 2)
-    return r, r, n
+def _often(c: np.ndarray) -> list[int]:
+    """How many of ``c`` are 1, 2, ... RELIABLE + 1."""
+    return np.bincount(np.minimum(c, RELIABLE + 2), minlength=RELIABLE + 3)[1 : RELIABLE + 2].tolist()
 
 
 def discounts(often: dict[int, int], min_count: int = 1) -> dict[int, float]:
@@ -214,57 +273,183 @@ def discounts(often: dict[int, int], min_count: int = 1) -> dict[int, float]:
     return out
 
 
-def _discounted(c: Column, d: dict[int, float]) -> Column:
-    out = F.lit(1.0)
-    for r, x in d.items():
-        out = F.when(c == r, F.lit(float(x))).otherwise(out)
-    return out * c
+def _discounted(c: np.ndarray, d: dict[int, float]) -> np.ndarray:
+    return np.array([1.0, *[d[r] for r in range(1, RELIABLE + 1)], 1.0])[np.minimum(c, RELIABLE + 1)] * c
+
+
+@dataclass
+class Facts:
+    """What all ranges share: bounded by HOT and the discounts."""
+
+    one: dict[int, float]
+    two: dict[int, float]
+    total: int  # tokens, raised by one where the discounts leave nothing over
+    hot: np.ndarray  # histories whose pairs are spread, sorted
+    hot_total: np.ndarray | None = None
+    hot_alpha: np.ndarray | None = None
+
+
+def _alpha(seen: np.ndarray, mass: np.ndarray, low: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Totals and log10 weights of histories; 0 where no pair is kept."""
+    total = np.where(mass < seen - 0.25, seen, seen + 1)
+    left = np.where(pairs > 0, (1 - mass / total) / np.maximum(1 - low, 1e-12), 1.0)
+    return total, np.log10(left)
+
+
+class Range:
+    """The model of one range from its rows and the counts it asked for."""
+
+    def __init__(self, rows: pd.DataFrame, facts: Facts):
+        of = {r.kind: r for r in rows[rows["kind"].isin(["history", "follower", "vocabulary"])].itertuples(index=False)}
+        take = lambda kind, c: getattr(of[kind], c) if kind in of else b""
+        self.h, self.runs, self.seen = unpacked_keys(take("history", "keys")), unpacked_ints(take("history", "runs")), unpacked_ints(take("history", "docs"))
+        self.c, w, self.ix = unpacked_ints(take("history", "times")), unpacked_keys(take("follower", "keys")), unpacked_ints(take("follower", "runs"))
+        self.u, self.n = unpacked_keys(take("vocabulary", "keys")), unpacked_ints(take("vocabulary", "runs"))
+        counts = _all([unpacked_ints(x) for x in rows[rows["kind"] == "answer"].sort_values("block")["runs"]], np.int64)
+        self.prob = _discounted(counts, facts.one) / facts.total if facts.total else np.empty(0)
+        self.word_prob = _discounted(self.n, facts.one) / facts.total if facts.total else np.empty(0)
+        self.at, self.w = np.repeat(np.arange(len(self.h)), self.runs), w[self.ix]
+        self.mass = _discounted(self.c, facts.two)
+        self.held = np.bincount(self.at, self.mass, len(self.h)), np.bincount(self.at, self.prob[self.ix], len(self.h))
+        self.total, self.alpha = _alpha(self.seen, *self.held, self.runs)
+        self.hot = is_in(self.h, facts.hot)
+        if facts.hot_alpha is not None:
+            k = np.searchsorted(facts.hot, self.h[self.hot])
+            self.total[self.hot], self.alpha[self.hot] = facts.hot_total[k], facts.hot_alpha[k]
+        self.facts = facts
+
+    def gains(self) -> np.ndarray:
+        return np.log10(self.mass / self.total[self.at]) - self.alpha[self.at] - np.log10(self.prob[self.ix])
+
+    def values(self) -> np.ndarray:
+        """log10 of the range's words' unigram and of their weights as histories."""
+        out = np.log10(self.word_prob)
+        own, hot = is_in(self.u, self.h[~self.hot]), is_in(self.u, self.facts.hot)
+        own &= ~hot
+        out[own] += self.alpha[np.searchsorted(self.h, self.u[own])]
+        if self.facts.hot_alpha is not None:
+            out[hot] += self.facts.hot_alpha[np.searchsorted(self.facts.hot, self.u[hot])]
+        return out
 
 
 @dataclass
 class Model:
-    words: DataFrame  # w, c, prob, value: log10 of the unigram and of the weight as a history
-    pairs: DataFrame  # h, w, c, value: log10 by which the pair beats its backoff
+    parts: DataFrame  # (p, kind, block, keys, runs, docs, times): the packed model, a few rows per range
+    facts: Facts
+    few: tuple[np.ndarray, ...]  # w, c, value of words with a share of 1/HEAD
+    top: tuple[np.ndarray, ...]  # key, value of such pairs
     start: float  # log10 weight of a text's start as a history
     unknown: float  # log10 of the unknown class
     tokens: int
     distinct: int
     ranges: int
 
+    @property
+    def words(self) -> DataFrame:
+        """w, c, prob, value: log10 of the unigram and of the weight as a history."""
+        facts = self.facts
+
+        def table(pdf: pd.DataFrame) -> pd.DataFrame:
+            m = Range(pdf, facts)
+            return pd.DataFrame({"w": m.u.view(np.int64), "c": m.n, "prob": m.word_prob, "value": m.values()})
+
+        return self.parts.groupBy("p").applyInPandas(table, "w bigint, c bigint, prob double, value double")
+
+    @property
+    def pairs(self) -> DataFrame:
+        """h, w, c, value: log10 by which the pair beats its backoff."""
+        facts = self.facts
+
+        def table(pdf: pd.DataFrame) -> pd.DataFrame:
+            m = Range(pdf, facts)
+            return pd.DataFrame({"h": m.h[m.at].view(np.int64), "w": m.w.view(np.int64), "c": m.c, "value": m.gains()})
+
+        return self.parts.groupBy("p").applyInPandas(table, "h bigint, w bigint, c bigint, value double")
+
+
+def answers(table: DataFrame, ranges: int) -> DataFrame:
+    """(p, block, runs): counts of the words that follow in range p; a range of words answers each range of pairs once."""
+    coarse = ranges // WORD_RANGES + 1
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for p, w in zip(pdf["p"], pdf["w"], strict=True):
+                w = unpacked_keys(w)
+                if len(w):
+                    yield pd.DataFrame([(q, p, packed_keys(w[s])) for q, s in _slices(w, coarse)], columns=["q", "p", "keys"])
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for u, n in zip(pdf["u"], pdf["n"], strict=True):
+                u, n = unpacked_keys(u), unpacked_ints(n)
+                if len(u):
+                    yield pd.DataFrame([(q, packed_keys(u[s]), packed_ints(n[s])) for q, s in _slices(u, coarse)], columns=["q", "u", "n"])
+
+    def answer(asked: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+        u, n = _all([unpacked_keys(x) for x in words["u"]], np.uint64), _all([unpacked_ints(x) for x in words["n"]], np.int64)
+        order = np.argsort(u)
+        u, n = u[order], n[order]
+        found = [packed_ints(n[np.searchsorted(u, unpacked_keys(x))]) for x in asked["keys"]]
+        return pd.DataFrame({"p": asked["p"], "block": asked["q"], "runs": pd.Series(found, index=asked.index, dtype=object)})
+
+    asked = table.select("p", "w").mapInPandas(ask, "q int, p int, keys binary")
+    words = table.select("u", "n").mapInPandas(split, "q int, u binary, n binary")
+    return asked.groupBy("q").cogroup(words.groupBy("q")).applyInPandas(answer, "p int, block bigint, runs binary")
+
 
 def fit(docs: DataFrame, min_count: int = 1, text: str = "text") -> Model:
     """Learn from the texts of ``docs``; null texts are empty and teach their end only. No rows give an all unknown model."""
     base = docs.select(whole(text).cast("binary").alias("text"), F.lit(0).cast("bigint").alias("d"))
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = int(size // RANGE_BYTES) + 1
-    table = cut_lineage(count(base, ranges, min_count), "counts", by=["kind"])
-    of = lambda kind: table.filter(F.col("kind") == kind).drop("kind")
-    often: dict[int, dict[int, int]] = {WORDS_OF: {}, PAIRS_OF: {}}
-    for r in table.filter(F.col("kind").isin(*often)).groupBy("kind", "w").agg(F.sum("c").alias("n")).collect():
-        often[r.kind][r.w] = r.n
-    one, two = discounts(often[WORDS_OF]), discounts(often[PAIRS_OF], min_count)
-
-    words = of(WORD).select("w", "c").withColumn("mass", _discounted(F.col("c"), one))
-    tokens, distinct, mass = words.agg(F.sum("c"), F.count(F.lit(1)), F.sum("mass")).first()
-    tokens, mass = tokens or 0, mass or 0.0
+    hot = hot_histories(base, size)
+    table = cut_lineage(count(base, ranges, min_count, hot), "counts")
+    each = range(RELIABLE + 1)
+    sums = table.agg(F.sum("tokens"), F.sum("words"), *[F.sum(F.get(c, F.lit(k))) for c in ("words_of", "pairs_of") for k in each]).first()
+    tokens, distinct, *often = (x or 0 for x in sums)
+    words_of, pairs_of = ({k + 1: often[k + a] for k in each} for a in (0, RELIABLE + 1))
+    one, two = discounts(words_of), discounts(pairs_of, min_count)
+    mass = tokens - sum(r * words_of[r] * (1 - one[r]) for r in one)
     total = tokens if mass < tokens - 0.25 else tokens + 1
-    words = words.select("w", "c", (F.col("mass") / total).alias("prob"))
-    pairs = of(PAIR).join(words.select("w", "prob"), "w").withColumn("mass", _discounted(F.col("c"), two))
-    pairs = cut_lineage(pairs, "pairs")
-    sums = pairs.groupBy("h").agg(F.sum("mass").alias("mass"), F.sum("prob").alias("low"))
-    room = sums.join(of(HISTORY).select("h", F.col("c").alias("seen")), "h")
-    room = room.withColumn("total", F.when(F.col("mass") < F.col("seen") - 0.25, F.col("seen")).otherwise(F.col("seen") + 1))
-    left, low = 1 - F.col("mass") / F.col("total"), F.greatest(1 - F.col("low"), F.lit(1e-12))
-    alphas = cut_lineage(room.select("h", "total", F.log10(left / low).alias("alpha")), "weights")
-    gain = F.log10(F.col("mass") / F.col("total")) - F.col("alpha") - F.log10("prob")
-    start = alphas.filter(F.col("h") == START).select("alpha").first()
-    valued = words.join(alphas.select(F.col("h").alias("w"), "alpha"), "w", "left").select("w", "c", "prob", (F.log10("prob") + F.coalesce("alpha", F.lit(0.0))).alias("value"))
-    valued, worth = cut_lineage(valued, "words"), cut_lineage(pairs.join(alphas, "h").select("h", "w", "c", gain.alias("value")), "pair_values")
-    release(table, pairs, alphas)
-    return Model(
-        valued, worth,
-        start[0] if start else 0.0, math.log10(1 - mass / total) if total else 0.0, tokens, distinct, ranges,
-    )
+    facts = Facts(one, two, total if tokens else 0, hot)
+    asked = cut_lineage(answers(table, ranges), "answers")
+    none, row = F.lit(b""), lambda kind, *c: F.struct(F.lit(kind).alias("kind"), F.lit(0).cast("bigint").alias("block"), *[x.alias(n) for x, n in zip(c, ("keys", "runs", "docs", "times"), strict=True)])
+    col = F.col
+    parts = table.select("p", F.inline(F.array(row("history", col("h"), col("runs"), col("seen"), col("c")), row("follower", col("w"), col("ix"), none, none), row("vocabulary", col("u"), col("n"), none, none))))
+    parts = parts.unionByName(asked.select("p", F.lit("answer").alias("kind"), "block", none.alias("keys"), "runs", none.alias("docs"), none.alias("times")))
+    floor = max(tokens // HEAD + 1, 1)
+
+    def head(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Sums of hot histories, and what has a share of 1/HEAD; weights of hot histories are not known yet."""
+        m = Range(pdf, facts)
+        held, low = m.held
+        at, p, u = np.flatnonzero(m.hot), np.flatnonzero(m.c >= floor), np.flatnonzero(m.n >= floor)
+        tables = [
+            {"kind": 0, "h": m.h[at], "w": m.h[at], "c": m.seen[at], "a": held[at], "b": low[at], "k": m.runs[at]},
+            {"kind": 1, "h": m.h[m.at[p]], "w": m.w[p], "c": m.c[p], "a": m.gains()[p], "b": (m.alpha + np.log10(m.total))[m.at[p]], "k": 0},
+            {"kind": 2, "h": m.u[u], "w": m.u[u], "c": m.n[u], "a": m.values()[u], "b": 0.0, "k": 0},
+        ]
+        out = pd.concat([pd.DataFrame(t) for t in tables], ignore_index=True)
+        return out.assign(h=out["h"].to_numpy(np.uint64).view(np.int64), w=out["w"].to_numpy(np.uint64).view(np.int64))
+
+    heads = cut_lineage(parts.groupBy("p").applyInPandas(head, "kind int, h bigint, w bigint, c bigint, a double, b double, k bigint"), "heads")
+    spread = heads.filter("kind = 0").groupBy("h").agg(F.sum("c").alias("c"), F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("k").alias("k")).toPandas()  # at most HOT + 1 rows
+    rest = heads.filter("kind > 0").toPandas()  # at most 2 HEAD rows
+    release(heads)
+    facts.hot_total, facts.hot_alpha = np.ones(len(hot), np.int64), np.zeros(len(hot))
+    k = np.searchsorted(hot, spread["h"].to_numpy(np.int64).view(np.uint64))
+    facts.hot_total[k], facts.hot_alpha[k] = _alpha(*(spread[c].to_numpy() for c in ("c", "a", "b", "k")))
+    h, w = (rest[c].to_numpy(np.int64).view(np.uint64) for c in ("h", "w"))
+    value, pair, late = rest["a"].to_numpy(float).copy(), rest["kind"].to_numpy() == 1, is_in(h, hot)
+    k = np.searchsorted(hot, h[late])
+    weight = facts.hot_alpha[k]
+    value[late] += np.where(pair[late], rest["b"].to_numpy()[late] - weight - np.log10(facts.hot_total[k]), weight)
+    order = np.argsort(w[~pair].view(np.int64))
+    few = w[~pair].view(np.int64)[order], rest["c"].to_numpy(np.float64)[~pair][order], value[~pair][order]
+    key = pair_key(h[pair], w[pair])
+    order = np.argsort(key)
+    start = float(facts.hot_alpha[np.searchsorted(hot, np.uint64(START % (1 << 64)))])
+    return Model(parts, facts, few, (key[order], value[pair][order]), start, math.log10(1 - mass / total) if total else 0.0, tokens, distinct, ranges)
 
 
 PACKED = "p int, kind string, block bigint, keys binary, runs binary, docs binary, times binary"
@@ -278,25 +463,23 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     names are replaced.
     """
     spark, ranges, n, v = docs.sparkSession, model.ranges, model.tokens, model.distinct
-    floor = max(n // HEAD + 1, 1)
-    few = model.words.filter(F.col("c") >= floor).select("w", "c", "value").toPandas().sort_values("w")  # at most HEAD rows
-    top = model.pairs.filter(F.col("c") >= floor).select("h", "w", "value").toPandas()
-    key = pair_key(top["h"].to_numpy(np.int64), top["w"].to_numpy(np.int64))
-    order = np.argsort(key)
-    head = spark.sparkContext.broadcast((few["w"].to_numpy(np.int64), few["c"].to_numpy(np.float64), few["value"].to_numpy(np.float64), key[order], top["value"].to_numpy(np.float64)[order]))
+    facts = model.facts
+    hot = facts.hot
+    head = spark.sparkContext.broadcast((*model.few, *model.top))
     start, unknown, below = model.start, model.unknown, n + 0.5 * (v + 1)
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, counts, values, pairs, gains = head.value
 
-        def rest(keys: np.ndarray, doc: np.ndarray, block: int, kind: str) -> Iterator[tuple]:
-            order = np.lexsort((doc, keys))
-            keys, doc = keys[order], doc[order]
+        def rest(keys: np.ndarray, to: np.ndarray, doc: np.ndarray, block: int, kind: str) -> Iterator[tuple]:
+            order = np.lexsort((doc, keys, to))
+            keys, to, doc = keys[order], to[order], doc[order]
             at, times = _groups(keys, doc)
-            keys, doc, times = keys[at], doc[at], times.astype(np.uint32)
-            for p, s in _slices(keys, ranges):
-                a, runs = _groups(keys[s])
-                yield p, kind, block, packed_keys(keys[s][a]), runs.astype(np.uint32).tobytes(), doc[s].tobytes(), times[s].tobytes()
+            keys, to, doc = keys[at], to[at], doc[at]
+            for a, k in zip(*_groups(to), strict=True):
+                s = slice(a, a + k)
+                first, runs = _groups(keys[s])
+                yield int(to[a]), kind, block, packed_keys(keys[s][first]), packed_ints(runs), packed_ints(doc[s]), packed_ints(times[s])
 
         for tokens, sizes, ids in blocks(batches, "d"):
             block = _signed(xxhash.xxh3_64_intdigest(ids.tobytes() + tokens.tobytes()))
@@ -306,72 +489,91 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
             total = start + np.bincount(doc[hit], values[at[hit]], len(ids))
             base = np.bincount(doc[hit], np.log10((counts[at[hit]] + 0.5) / below), len(ids))
             known = np.bincount(doc[hit], minlength=len(ids))
-            out = list(rest(tokens[~hit].view(np.uint64), doc[~hit], block, "word")) if not hit.all() else []
-            del at, hit
-            both = pair_key(histories(tokens, sizes), tokens)
+            rare = tokens[~hit].view(np.uint64)
+            out = list(rest(rare, range_of(rare, ranges), doc[~hit], block, "word")) if len(rare) else []
+            h = histories(tokens, sizes)
+            both = pair_key(h, tokens)
             at = np.minimum(np.searchsorted(pairs, both), max(len(pairs) - 1, 0))
             hit = pairs[at] == both if len(pairs) else np.zeros(len(both), bool)
             total += np.bincount(doc[hit], gains[at[hit]], len(ids))
-            out += rest(both[~hit], doc[~hit], block, "pair") if not hit.all() else []
+            if not hit.all():
+                out += rest(both[~hit], route(h[~hit].view(np.uint64), tokens[~hit].view(np.uint64), ranges, hot), doc[~hit], block, "pair")
             local = np.column_stack([total, base, known.astype(np.float64), sizes.astype(np.float64)])
             p = int(range_of(np.array([block]), ranges)[0])
             out.append((p, "text", block, b"", b"", ids.tobytes(), local.tobytes()))
             yield pd.DataFrame(out, columns=["p", "kind", "block", "keys", "runs", "docs", "times"])
 
-    def look_up(packed: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
-        tables = {}
-        for kind, rows in table.groupby("kind"):
-            k = rows["key"].to_numpy(np.int64).view(np.uint64)
-            order = np.argsort(k)
-            tables[kind] = k[order], rows["c"].to_numpy(np.float64)[order], rows["value"].to_numpy(np.float64)[order]
-        found = []
-
-        def add(block: int, doc: np.ndarray, s=0.0, b=0.0, known=0.0, tokens=0.0, ids: np.ndarray | None = None) -> None:
-            sums = np.stack([np.broadcast_to(np.asarray(x, np.float64), len(doc)) for x in (s, b, known, tokens)])
-            found.append((block, doc.astype(np.int32).tobytes(), sums.tobytes(), b"" if ids is None else ids.tobytes()))
-
-        for kind, block, keys, runs, docs, times in packed[["kind", "block", "keys", "runs", "docs", "times"]].itertuples(index=False):
-            if kind == "text":
-                local = np.frombuffer(times, np.float64).reshape(-1, 4)
-                add(block, np.arange(len(local)), *local.T, ids=np.frombuffer(docs, np.int64))
-                continue
-            keys, runs, times = unpacked_keys(keys), np.frombuffer(runs, np.uint32), np.frombuffer(times, np.uint32)
-            docs = np.frombuffer(docs, np.uint16 if len(docs) == 2 * len(times) else np.uint32)
-            have, c, value = tables.get(kind, (np.empty(0, np.uint64), np.empty(0), np.empty(0)))
+    found = ["block", "ids", "sums", "docs", "base", "known"]
+
+    def look_up(parts: pd.DataFrame, sums: dict[int, np.ndarray]) -> None:
+        """Add what the range's words and pairs give each document to the sums of its block."""
+        m = Range(parts, facts)
+        key = pair_key(m.h[m.at], m.w)
+        order = np.argsort(key)
+        tables = {"pair": (key[order], m.c[order], m.gains()[order]), "word": (m.u, m.n, m.values())}
+        for kind, block, keys, runs, docs, times in parts.loc[parts["kind"].isin(list(tables)), ["kind", "block", "keys", "runs", "docs", "times"]].itertuples(index=False):
+            keys, runs, docs, times = unpacked_keys(keys), unpacked_ints(runs), unpacked_ints(docs), unpacked_ints(times)
+            have, c, value = tables[kind]
             at = np.minimum(np.searchsorted(have, keys), max(len(have) - 1, 0))
             hit = have[at] == keys if len(have) else np.zeros(len(keys), bool)
             gain = np.where(hit, value[at] if len(have) else 0.0, unknown if kind == "word" else 0.0)
-            out = {"s": np.bincount(docs, np.repeat(gain, runs) * times)}
+            out = [np.bincount(docs, np.repeat(gain, runs) * times)]
             if kind == "word":
                 seen = np.where(hit, c[at] if len(have) else 0.0, 0.0)
-                out["b"] = np.bincount(docs, np.repeat(np.log10((seen + 0.5) / below), runs) * times)
-                out["known"] = np.bincount(docs, np.repeat(hit, runs) * times)
-            some = np.flatnonzero(np.any([x != 0 for x in out.values()], axis=0))
-            add(block, some, **{k: x[some] for k, x in out.items()})
-        return pd.DataFrame(found, columns=["block", "docs", "sums", "ids"])
+                out += [np.bincount(docs, np.repeat(np.log10((seen + 0.5) / below), runs) * times), np.bincount(docs, np.repeat(hit, runs) * times)]
+            n, own = len(out[0]), sums.get(block)
+            if own is None or own.shape[1] < n:
+                wider = np.zeros((3, n))
+                if own is not None:
+                    wider[:, : own.shape[1]] = own
+                own = sums[block] = wider
+            own[: len(out), :n] += out
+
+    def passed_on(sums: dict[int, np.ndarray]) -> pd.DataFrame:
+        rows = []
+        for block, own in sums.items():
+            some = np.flatnonzero(own.any(axis=0))
+            rows.append((block, b"", own[0, some].tobytes(), packed_ints(some), own[1, some].tobytes(), packed_ints(np.rint(own[2, some]).astype(np.int64))))
+        sums.clear()
+        return pd.DataFrame(rows, columns=found)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, sums = [], {}  # rows of the range that may go on in the next batch
+
+        for pdf in batches:
+            text = pdf["kind"] == "text"
+            if text.any():
+                t = pdf[text]
+                yield pd.DataFrame({"block": t["block"], "ids": t["docs"], "sums": t["times"], "docs": b"", "base": b"", "known": b""})
+            pdf = pdf[~text]
+            for p, rows in pdf.groupby("p", sort=False):
+                if held and held[0]["p"].iloc[0] != p:
+                    look_up(pd.concat(held, ignore_index=True), sums)
+                    held = []
+                    if sum(x.nbytes for x in sums.values()) > SUM_BYTES:
+                        yield passed_on(sums)
+                held.append(rows)
+        if held:
+            look_up(pd.concat(held, ignore_index=True), sums)
+        if sums:
+            yield passed_on(sums)
 
     def gather(parts: pd.DataFrame) -> pd.DataFrame:
-        named = [x for x in parts["ids"] if len(x)]  # one for each of the equal blocks
-        ids = np.frombuffer(named[0], np.int64)
+        text = parts["ids"].map(len) > 0
+        named = int(text.sum())  # one for each of the equal blocks
+        ids = np.frombuffer(parts.loc[text, "ids"].iloc[0], np.int64)
         total = np.zeros((4, len(ids)))
-        for docs, sums in zip(parts["docs"], parts["sums"], strict=True):
-            total[:, np.frombuffer(docs, np.int32)] += np.frombuffer(sums, np.float64).reshape(4, -1)
-        score, base, known, tokens = total / len(named)
+        for local in parts.loc[text, "sums"]:
+            total += np.frombuffer(local, np.float64).reshape(-1, 4).T
+        for sums, docs, base, known in parts.loc[~text, ["sums", "docs", "base", "known"]].itertuples(index=False):
+            docs = unpacked_ints(docs)
+            total[:3, docs] += [np.frombuffer(sums, np.float64), np.frombuffer(base, np.float64), unpacked_ints(known)]
+        score, base, known, tokens = total / named
         return pd.DataFrame({"_d": ids, "n_tokens": np.rint(tokens).astype(np.int64), "n_known": np.rint(known).astype(np.int64), "base_score": base, "score": score})
 
     d = F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), whole(text))
     packed = docs.select(whole(text).cast("binary").alias("text"), d.alias("d")).mapInPandas(pack, PACKED)
-
-    @F.pandas_udf("bigint")
-    def both_keys(h: pd.Series, w: pd.Series) -> pd.Series:
-        return pd.Series(pair_key(h.to_numpy(np.int64), w.to_numpy(np.int64)).view(np.int64))
-
-    table = (
-        model.words.filter(F.col("c") < floor).select(F.lit("word").alias("kind"), F.col("w").alias("key"), "c", "value")
-        .union(model.pairs.filter(F.col("c") < floor).select(F.lit("pair"), both_keys("h", "w"), F.lit(0).cast("bigint"), "value"))
-        .withColumn("p", range_column(F.col("key"), ranges))
-    )
-    parts = packed.groupBy("p").cogroup(table.groupBy("p")).applyInPandas(look_up, "block bigint, docs binary, sums binary, ids binary")
+    parts = packed.unionByName(model.parts).repartition("p").sortWithinPartitions("p").mapInPandas(run, "block bigint, ids binary, sums binary, docs binary, base binary, known binary")
     each = parts.groupBy("block").applyInPandas(gather, "_d bigint, n_tokens bigint, n_known bigint, base_score double, score double")
     # identical rows of different blocks have equal scores
     scored = each.groupBy("_d").agg(*[F.min(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
