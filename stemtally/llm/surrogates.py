@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import hmac
 import re
+import secrets
 from collections.abc import Iterator
+from functools import cache
 from hashlib import sha256
 
 import pandas as pd
@@ -275,12 +277,23 @@ def assign(entities: DataFrame, key: bytes) -> DataFrame:
     return settled
 
 
+@cache
+def _drawn_key(application: str) -> bytes:
+    """A random secret, one for an application; it stands in no setting and so in no log."""
+    return secrets.token_bytes(32)
+
+
 def session_key(spark: SparkSession) -> bytes:
-    """The session's secret ``spark.stemtally.surrogates.key``; a local session without it, as in tests, uses a known one."""
+    """The session's secret ``spark.stemtally.surrogates.key``.
+
+    A local session without it, as in tests, uses a known one. Any other draws
+    a secret for its application: surrogates agree between all texts and
+    stages of a run, and only runs that share the setting have the same ones.
+    """
     key = spark.conf.get("spark.stemtally.surrogates.key", None)
-    if key is None and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.stemtally.surrogates.key to a secret")
-    return (key or "for tests only").encode()
+    if key:
+        return key.encode()
+    return b"for tests only" if spark.sparkContext.master.startswith("local") else _drawn_key(spark.sparkContext.applicationId)
 
 
 def replace(docs: DataFrame, key: bytes, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
